@@ -25,18 +25,20 @@ def job_costing(
 ) -> DataFrame:
     """Job-cost rows with variance and status, and on each the totals of all rows shown.
 
-    The totals come from a scalar subquery: partial sums in parallel, one row to the driver. A
+    The totals come from one scalar subquery: partial sums in parallel, one row to the driver. A
     window over everything would move all rows to one task.
     """
     condition = in_period(F.col("Service_Date"), whole_number(month), whole_number(year))
     services = tables["Service"] if condition is None else tables["Service"].filter(condition)
     jobs = _jobs(tables, services, match_ids(tables["Job_Costing"], "Estimate_ID", estimate_id))
-    return jobs.select(
+    totals = jobs.agg(F.struct(
+        F.sum("Total_Actual_Cost").alias("actual"), F.sum("Total_Estimated_Cost").alias("estimated"))).scalar()
+    return jobs.withColumn("_totals", totals).select(
         "Job_Cost_ID", "Estimate_ID", "Service_ID", "Service_Type", "Service_Date", "Client_Name",
         "Property_Location", "Total_Estimated_Cost", "Total_Actual_Cost", "Actual_Labor_Hours",
         "Actual_Labor_Cost", "Actual_Materials", "Variance", "Budget_Status",
-        jobs.agg(F.sum("Total_Actual_Cost")).scalar().alias("Grand_Total_Actual"),
-        jobs.agg(F.sum("Total_Estimated_Cost")).scalar().alias("Grand_Total_Estimated"),
+        F.col("_totals.actual").alias("Grand_Total_Actual"),
+        F.col("_totals.estimated").alias("Grand_Total_Estimated"),
     ).orderBy(F.desc("Service_Date"), "Job_Cost_ID")
 
 

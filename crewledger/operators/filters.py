@@ -45,6 +45,7 @@ def apply_filters(df: DataFrame, spec: dict[str, Any]) -> DataFrame:
 def match_ids(df: DataFrame, column: str, wanted: Any) -> DataFrame:
     """Keep rows whose id is wanted: one id, a DataFrame of ids (first column), or open for all."""
     if isinstance(wanted, DataFrame):
-        ids = wanted.select(F.col(wanted.columns[0]).alias(column))
+        # Distinct ids: an id asked for very often reaches the join once.
+        ids = wanted.select(F.col(wanted.columns[0]).alias(column)).distinct()
         return df.join(ids, column, "left_semi")
     return apply_filters(df, {column: wanted})

@@ -22,6 +22,7 @@ from crewledger.operators.quality import (
     REASON, Rule, flag, flag_unknown_parent, length_rules, number_rules, required_rules, split, value_rules,
 )
 from crewledger.schemas import PRIMARY_KEYS, SCHEMAS, references_of, schema_of
+from crewledger.session import use_checkpoints
 from crewledger.sources.tables import Tables
 
 SUBMISSION = "submission_id"
@@ -32,6 +33,16 @@ class Ingested(NamedTuple):
     rows: dict[str, DataFrame]
     rejects: DataFrame
 
+    def settled(self) -> Ingested:
+        """The same rows computed once into the cluster's checkpoint folder.
+
+        Take this before writing more than one of the tables: ids then do not depend on what has
+        been written in between, and the checks do not run again for every table.
+        """
+        use_checkpoints(self.rejects.sparkSession)
+        rows = {table: df.checkpoint() for table, df in self.rows.items()}
+        return Ingested(rows, self.rejects.checkpoint())
+
 
 def assign_ids(
     df: DataFrame, id_column: str, existing: DataFrame | int, order_by: str = SUBMISSION, buckets: int = 512

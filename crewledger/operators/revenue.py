@@ -2,14 +2,14 @@
 
 Services and invoices both hang off a contract, and the reports add up an invoice once for every
 service of its contract. That sum is computed without forming the service-invoice pairs: invoices
-are first reduced to one row per contract, every service row meets that one row, and the sums are
-taken over services. A contract with a third of all invoices and a third of all services costs no
-more than its rows.
+are reduced to one row per contract, services to one row per contract and report group, and a
+group's sum is its number of services times the contract's sum. Both reductions combine on the map
+side, so a contract with a third of all invoices and services reaches the join as a few rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crewledger.functions.money import average, or_zero
@@ -29,23 +29,27 @@ def _billed_contracts(tables: Tables) -> DataFrame:
     return sums.join(tables["Contract"].select("Contract_ID"), "Contract_ID", "left_semi")
 
 
-def _billed_services(tables: Tables, services: DataFrame, keys: list[str], dedupe: bool) -> DataFrame:
-    """Service rows (or, deduplicated, one row per contract and group) beside their invoice sums."""
-    if dedupe:
-        services = services.groupBy("Contract_ID", *keys).agg(
-            F.count(F.lit(1)).alias("services"),
-            F.min("Service_Date").alias("first"), F.max("Service_Date").alias("last"),
-        )
-    else:
-        date = F.col("Service_Date")
-        services = services.select(
-            "Contract_ID", *keys, F.lit(1).alias("services"), date.alias("first"), date.alias("last"))
-    return services.join(_billed_contracts(tables), "Contract_ID")
+def _billed_groups(tables: Tables, services: DataFrame, keys: list[str], dedupe: bool) -> DataFrame:
+    """One row per contract and report group beside the contract's invoice sums.
 
+    `weight` is how often each invoice of the contract counts in the group.
+    """
+    groups = services.filter(F.col("Contract_ID").isNotNull()).groupBy("Contract_ID", *keys).agg(
+        F.count(F.lit(1)).alias("services"),
+        F.min("Service_Date").alias("first"),
+        F.max("Service_Date").alias("last"),
+    )
+    weight = F.lit(1).cast("bigint") if dedupe else F.col("services")
+    return groups.withColumn("weight", weight).join(_billed_contracts(tables), "Contract_ID")
+
+
+def _weighted_sum(column: str) -> Column:
+    # A per-contract sum has 20 digits and a weight 14; their sum needs the widest decimal.
+    return F.sum(F.col(column) * F.col("weight").cast("decimal(14,0)")).cast("decimal(38,2)")
 
-def _wide_sum(column: str):
-    # A per-contract sum has 20 digits; adding them up over services needs the widest decimal.
-    return F.sum(F.col(column).cast("decimal(38,2)"))
+
+def _weighted_mean() -> Column:
+    return average(_weighted_sum("billed"), F.sum(F.col("amounts") * F.col("weight")))
 
 
 def revenue_by_service(
@@ -56,11 +60,11 @@ def revenue_by_service(
     A service counts once. With `dedupe_invoices` an invoice counts once per type as well.
     """
     services = apply_filters(tables["Service"], {"Service_Type": service_type})
-    rows = _billed_services(tables, services, ["Service_Type"], dedupe_invoices)
+    rows = _billed_groups(tables, services, ["Service_Type"], dedupe_invoices)
     return rows.groupBy("Service_Type").agg(
         F.sum("services").alias("Total_Services"),
-        _wide_sum("billed").alias("Total_Revenue"),
-        average(_wide_sum("billed"), F.sum("amounts")).alias("Avg_Revenue"),
+        _weighted_sum("billed").alias("Total_Revenue"),
+        _weighted_mean().alias("Avg_Revenue"),
         F.min("first").alias("First_Service"),
         F.max("last").alias("Latest_Service"),
     ).orderBy(F.desc("Total_Revenue"), "Service_Type")
@@ -68,11 +72,11 @@ def revenue_by_service(
 
 def vw_revenue_by_service_type(tables: Tables, dedupe_invoices: bool = False) -> DataFrame:
     """As above, but a service counts once for every invoice of its contract."""
-    rows = _billed_services(tables, tables["Service"], ["Service_Type"], dedupe_invoices)
+    rows = _billed_groups(tables, tables["Service"], ["Service_Type"], dedupe_invoices)
     return rows.groupBy("Service_Type").agg(
         F.sum(F.col("services") * F.col("invoices")).alias("Total_Services"),
-        _wide_sum("billed").alias("Total_Revenue"),
-        average(_wide_sum("billed"), F.sum("amounts")).alias("Avg_Revenue_Per_Service"),
+        _weighted_sum("billed").alias("Total_Revenue"),
+        _weighted_mean().alias("Avg_Revenue_Per_Service"),
         F.min("first").alias("Earliest_Service"),
         F.max("last").alias("Latest_Service"),
     ).orderBy(F.desc("Total_Revenue"), "Service_Type")
@@ -81,11 +85,11 @@ def vw_revenue_by_service_type(tables: Tables, dedupe_invoices: bool = False) ->
 def vw_revenue_by_location(tables: Tables, dedupe_invoices: bool = False) -> DataFrame:
     """Services, revenue and mean invoice per property location; unknown locations are left out."""
     located = tables["Service"].filter(F.col("Property_Location").isNotNull())
-    rows = _billed_services(tables, located, ["Property_Location"], dedupe_invoices)
+    rows = _billed_groups(tables, located, ["Property_Location"], dedupe_invoices)
     return rows.groupBy("Property_Location").agg(
         F.sum(F.col("services") * F.col("invoices")).alias("Total_Services"),
-        _wide_sum("billed").alias("Total_Revenue"),
-        average(_wide_sum("billed"), F.sum("amounts")).alias("Avg_Revenue"),
+        _weighted_sum("billed").alias("Total_Revenue"),
+        _weighted_mean().alias("Avg_Revenue"),
     ).orderBy(F.desc("Total_Revenue"), "Property_Location")
 
 
@@ -95,14 +99,18 @@ def vw_monthly_revenue_report(tables: Tables, dedupe_invoices: bool = False) ->
     named = tables["Service"].join(tables["Client"].select("Client_ID", "Client_Name"), "Client_ID")
     services = named.withColumns({
         "Revenue_Year": F.year("Service_Date"), "Revenue_Month": F.month("Service_Date")})
-    rows = _billed_services(tables, services, keys, dedupe_invoices)
+    rows = _billed_groups(tables, services, keys, dedupe_invoices)
     return rows.groupBy(keys).agg(
-        _wide_sum("billed").alias("Total_Revenue"),
-        _wide_sum("received").alias("Total_Received"),
+        _weighted_sum("billed").alias("Total_Revenue"),
+        _weighted_sum("received").alias("Total_Received"),
         F.sum(F.col("services") * F.col("invoices")).alias("Services_Rendered"),
     ).orderBy(F.desc("Revenue_Year"), F.desc("Revenue_Month"), "Service_Type", "Client_Name", "Property_Location")
 
 
+def _wide_sum(column: str) -> Column:
+    return F.sum(F.col(column).cast("decimal(38,2)"))
+
+
 def _client_revenue(tables: Tables) -> DataFrame:
     """Contracts with invoices, billed, collected and outstanding, one row per client id."""
     invoices = tables["Invoice"].groupBy("Contract_ID").agg(

@@ -302,7 +302,7 @@ def oracle_sql() -> dict[str, str]:
         "employees_list": _select("employee", "Employee_ID, Employee_Name, Employee_Role", "employee"),
         "employee_lookups": _sql("employee", """
             SELECT u.user_id AS Employee_ID, Employee_Name, Employee_Role, CAST(Is_Available AS BIGINT) AS Is_Available,
-                   CASE WHEN e.Employee_ID IS NULL THEN 0 ELSE 1 END AS Found
+                   CAST(e.Employee_ID IS NOT NULL AS BIGINT) AS Found
             FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN employee e ON u.user_id = e.Employee_ID"""),
         "service_employees": _select(
             "employee", "Employee_ID, Employee_Name, Employee_Role, Employee_Phone, Employee_Email, Is_Available:big",
