@@ -76,6 +76,16 @@ def _clean(text: str) -> Column:
     return blank_to_null(F.col(text))
 
 
+def _or_zero(field: str) -> Column:
+    """The field as text, `0` where it is NULL; text that is no number stays for the checks."""
+    return F.coalesce(F.col(field).cast("string"), F.lit("0"))
+
+
+def _filled_or_zero(field: str) -> Column:
+    """As above, with blank text taken for 0 as well."""
+    return F.coalesce(_clean(field), F.lit("0"))
+
+
 def _with_fields(submissions: DataFrame, fields: list[str]) -> DataFrame:
     absent = {f: F.lit(None).cast("string") for f in fields if f not in submissions.columns}
     return submissions.withColumns(absent) if absent else submissions
@@ -154,8 +164,8 @@ def ingest_estimate_requests(
         "Client_Email": _clean("client_email"),
         "Property_Address": _clean("property_address"),
         "Service_Description": _clean("service_description"),
-        "Estimated_Cost": F.coalesce(F.col("estimated_cost"), F.lit(0)),
-        "Estimated_Labor_Hours": F.coalesce(F.col("estimated_labor_hours"), F.lit(0)),
+        "Estimated_Cost": _filled_or_zero("estimated_cost"),
+        "Estimated_Labor_Hours": _filled_or_zero("estimated_labor_hours"),
     })
     flagged = _check(rows, "Client", {}, ["Client_Name", "Property_Address", "Service_Description"])
     numbers = ["Estimated_Cost", "Estimated_Labor_Hours"]
@@ -218,23 +228,22 @@ def ingest_estimates(submissions: DataFrame, tables: Tables, with_costing: bool
     fields = _with_fields(submissions, [
         "client_id", "employee_id", "property_address", "service_description", "estimated_cost",
         "estimated_labor_hours", "estimate_date", "service_id", "total_estimated_cost", *costs])
-    zero = F.lit(0)
     rows = _rename(fields, {
         "Client_ID": F.col("client_id"),
         "Employee_ID": _clean("employee_id"),
         "Property_Address": F.col("property_address"),
         "Service_Description": F.col("service_description"),
-        "Estimated_Cost": F.coalesce(F.col("estimated_cost"), zero),
-        "Estimated_Labor_Hours": F.coalesce(F.col("estimated_labor_hours"), zero),
+        "Estimated_Cost": _filled_or_zero("estimated_cost"),
+        "Estimated_Labor_Hours": _filled_or_zero("estimated_labor_hours"),
         "Estimate_Date": F.col("estimate_date"),
         "Service_ID": _clean("service_id"),
-        "Actual_Labor_Hours": F.coalesce(F.col("actual_labor_hours"), zero),
-        "Actual_Labor_Cost": F.coalesce(F.col("actual_labor_cost"), zero),
-        "Actual_Materials": F.coalesce(F.col("actual_materials"), zero),
+        "Actual_Labor_Hours": _filled_or_zero("actual_labor_hours"),
+        "Actual_Labor_Cost": _filled_or_zero("actual_labor_cost"),
+        "Actual_Materials": _filled_or_zero("actual_materials"),
         "Total_Actual_Cost": F.col("total_actual_cost"),
-        "Total_Estimated_Cost": F.coalesce(
-            F.nullif(_number("total_estimated_cost", "decimal(10,2)"), zero),
-            _number("estimated_cost", "decimal(10,2)"), zero),
+        "Total_Estimated_Cost": F.when(
+            _number("total_estimated_cost", "decimal(10,2)") == 0, _filled_or_zero("estimated_cost"),
+        ).otherwise(F.coalesce(_clean("total_estimated_cost"), _filled_or_zero("estimated_cost"))),
     })
     costing = [c for c in SCHEMAS["Job_Costing"].names if c in rows.columns]
     if not with_costing:
@@ -265,8 +274,8 @@ def ingest_invoices(submissions: DataFrame, tables: Tables) -> Ingested:
         "Client_ID": F.col("client_id"),
         "Invoice_Date": F.col("invoice_date"),
         "Due_Date": F.col("due_date"),
-        "Total_Amount": F.coalesce(F.col("total_amount"), F.lit(0)),
-        "Amount_Paid": F.coalesce(F.col("amount_paid"), F.lit(0)),
+        "Total_Amount": _or_zero("total_amount"),
+        "Amount_Paid": _or_zero("amount_paid"),
     })
     flagged = _check(rows, "Invoice", tables, ["Contract_ID", "Client_ID"]).withColumns({
         "Due_Date": default_due_date(F.col("Due_Date"), F.col("Invoice_Date")),
@@ -300,15 +309,14 @@ def ingest_job_costing(submissions: DataFrame, tables: Tables) -> Ingested:
     fields = _with_fields(submissions, [
         "service_id", "estimate_id", "actual_labor_hours", "actual_labor_cost", "actual_materials",
         "total_actual_cost", "total_estimated_cost"])
-    zero = F.lit(0)
     rows = _rename(fields, {
         "Service_ID": _clean("service_id"),
         "Estimate_ID": _clean("estimate_id"),
-        "Actual_Labor_Hours": F.coalesce(F.col("actual_labor_hours"), zero),
-        "Actual_Labor_Cost": F.coalesce(F.col("actual_labor_cost"), zero),
-        "Actual_Materials": F.coalesce(F.col("actual_materials"), zero),
-        "Total_Actual_Cost": F.coalesce(F.col("total_actual_cost"), zero),
-        "Total_Estimated_Cost": F.coalesce(F.col("total_estimated_cost"), zero),
+        "Actual_Labor_Hours": _filled_or_zero("actual_labor_hours"),
+        "Actual_Labor_Cost": _filled_or_zero("actual_labor_cost"),
+        "Actual_Materials": _filled_or_zero("actual_materials"),
+        "Total_Actual_Cost": _filled_or_zero("total_actual_cost"),
+        "Total_Estimated_Cost": _filled_or_zero("total_estimated_cost"),
     })
     done = _finish(_check(rows, "Job_Costing", tables, ["Service_ID"]), submissions, "Job_Costing", tables)
     variance = F.round(F.col("Total_Actual_Cost") - F.col("Total_Estimated_Cost"), 2)

@@ -11,6 +11,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crewledger.functions.dates import as_of_date, days_after
 from crewledger.schemas import PRIMARY_KEYS, SCHEMAS, schema_of
@@ -99,7 +100,7 @@ def scan_years(
     spark: SparkSession, path: str, table: str, first: int, last: int
 ) -> DataFrame:
     """Rows of the years first..last of a table written by `append`; other years are not listed."""
-    schema = schema_of(table).add(STORED_YEAR, "int")
+    schema = T.StructType([*schema_of(table), T.StructField(STORED_YEAR, T.IntegerType())])
     rows = spark.read.schema(schema).parquet(f"{path.rstrip('/')}/{table}")
     return rows.filter(F.col(STORED_YEAR).between(first, last)).drop(STORED_YEAR)
 
