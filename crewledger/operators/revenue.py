@@ -29,6 +29,11 @@ def _billed_contracts(tables: Tables) -> DataFrame:
     return sums.join(tables["Contract"].select("Contract_ID"), "Contract_ID", "left_semi")
 
 
+def without_case(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns with a collation under which `North Lane` and `north lane` are one group."""
+    return rows.withColumns({c: F.collate(F.col(c), "UTF8_LCASE") for c in columns})
+
+
 def _billed_groups(tables: Tables, services: DataFrame, keys: list[str], dedupe: bool) -> DataFrame:
     """One row per contract and report group beside the contract's invoice sums.
 
@@ -53,13 +58,17 @@ def _weighted_mean() -> Column:
 
 
 def revenue_by_service(
-    tables: Tables, service_type: str | None = None, dedupe_invoices: bool = False
+    tables: Tables, service_type: str | None = None, dedupe_invoices: bool = False, ignore_case: bool = False
 ) -> DataFrame:
     """Services, revenue, mean invoice and first and latest date per service type.
 
     A service counts once. With `dedupe_invoices` an invoice counts once per type as well.
+    `ignore_case` takes types that differ in case only for one, here and in the other reports.
     """
-    services = apply_filters(tables["Service"], {"Service_Type": service_type})
+    services = tables["Service"]
+    if ignore_case:
+        services = without_case(services, ["Service_Type"])
+    services = apply_filters(services, {"Service_Type": service_type})
     rows = _billed_groups(tables, services, ["Service_Type"], dedupe_invoices)
     return rows.groupBy("Service_Type").agg(
         F.sum("services").alias("Total_Services"),
@@ -70,9 +79,12 @@ def revenue_by_service(
     ).orderBy(F.desc("Total_Revenue"), "Service_Type")
 
 
-def vw_revenue_by_service_type(tables: Tables, dedupe_invoices: bool = False) -> DataFrame:
+def vw_revenue_by_service_type(
+    tables: Tables, dedupe_invoices: bool = False, ignore_case: bool = False
+) -> DataFrame:
     """As above, but a service counts once for every invoice of its contract."""
-    rows = _billed_groups(tables, tables["Service"], ["Service_Type"], dedupe_invoices)
+    services = without_case(tables["Service"], ["Service_Type"]) if ignore_case else tables["Service"]
+    rows = _billed_groups(tables, services, ["Service_Type"], dedupe_invoices)
     return rows.groupBy("Service_Type").agg(
         F.sum(F.col("services") * F.col("invoices")).alias("Total_Services"),
         _weighted_sum("billed").alias("Total_Revenue"),
@@ -82,9 +94,13 @@ def vw_revenue_by_service_type(tables: Tables, dedupe_invoices: bool = False) ->
     ).orderBy(F.desc("Total_Revenue"), "Service_Type")
 
 
-def vw_revenue_by_location(tables: Tables, dedupe_invoices: bool = False) -> DataFrame:
+def vw_revenue_by_location(
+    tables: Tables, dedupe_invoices: bool = False, ignore_case: bool = False
+) -> DataFrame:
     """Services, revenue and mean invoice per property location; unknown locations are left out."""
     located = tables["Service"].filter(F.col("Property_Location").isNotNull())
+    if ignore_case:
+        located = without_case(located, ["Property_Location"])
     rows = _billed_groups(tables, located, ["Property_Location"], dedupe_invoices)
     return rows.groupBy("Property_Location").agg(
         F.sum(F.col("services") * F.col("invoices")).alias("Total_Services"),
@@ -93,12 +109,16 @@ def vw_revenue_by_location(tables: Tables, dedupe_invoices: bool = False) -> Dat
     ).orderBy(F.desc("Total_Revenue"), "Property_Location")
 
 
-def vw_monthly_revenue_report(tables: Tables, dedupe_invoices: bool = False) -> DataFrame:
+def vw_monthly_revenue_report(
+    tables: Tables, dedupe_invoices: bool = False, ignore_case: bool = False
+) -> DataFrame:
     """Revenue by month of service, service type, client name and location."""
     keys = ["Revenue_Year", "Revenue_Month", "Service_Type", "Client_Name", "Property_Location"]
     named = tables["Service"].join(tables["Client"].select("Client_ID", "Client_Name"), "Client_ID")
     services = named.withColumns({
         "Revenue_Year": F.year("Service_Date"), "Revenue_Month": F.month("Service_Date")})
+    if ignore_case:
+        services = without_case(services, keys[2:])
     rows = _billed_groups(tables, services, keys, dedupe_invoices)
     return rows.groupBy(keys).agg(
         _weighted_sum("billed").alias("Total_Revenue"),

@@ -15,7 +15,7 @@ from tests.fixture import make_tables  # noqa: E402
 def spark():
     session = build_session(
         "tests", master="local[8]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false",
-        spark__driver__memory="4g", spark__sql__session__timeZone="UTC", spark__ui__showConsoleProgress="false",
+        spark__driver__memory="4g", spark__sql__maxMetadataStringLength="4000", spark__sql__session__timeZone="UTC", spark__ui__showConsoleProgress="false",
     )
     session.sparkContext.setLogLevel("ERROR")
     use_checkpoints(session)

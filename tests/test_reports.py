@@ -241,6 +241,18 @@ def test_revenue_by_location(tables):
         "West End": (3, D("610.50")), "South Row": (3, D(100))}
 
 
+def test_groups_that_differ_in_case(tables):
+    rows = revenue.vw_revenue_by_location(tables, ignore_case=True).collect()
+    merged = {r["Property_Location"].lower(): (r["Total_Services"], r["Total_Revenue"]) for r in rows}
+    assert len(rows) == 4
+    assert merged["north lane"] == (3, D(1100))
+    assert column(revenue.revenue_by_service(tables, "ROOF", ignore_case=True), "Total_Services") == [2]
+    assert revenue.revenue_by_service(tables, "ROOF").count() == 0
+    assert revenue.vw_revenue_by_service_type(tables, ignore_case=True).count() == 3
+    assert revenue.vw_monthly_revenue_report(tables, ignore_case=True).count() == \
+        revenue.vw_monthly_revenue_report(tables).count()
+
+
 def test_monthly_report_groups_by_name(tables):
     rows = as_dicts(revenue.vw_monthly_revenue_report(tables))
     kim = [(r["Revenue_Year"], r["Revenue_Month"], r["Service_Type"], r["Total_Revenue"], r["Total_Received"])
