@@ -114,6 +114,21 @@ def _malformed_rules(table: str, columns: list[str]) -> list[Rule]:
     return rules
 
 
+def _named_parents(rows: DataFrame, column: str, parents: DataFrame) -> DataFrame:
+    """The keys of the parents that a batch names.
+
+    A batch is small beside the tables it refers to. Its distinct keys can then be broadcast to the
+    scan of a parent table, which a left join would have to shuffle whole.
+    """
+    key = parents.columns[0]
+    named = rows.select(_number(column, "bigint").alias(key)).distinct()
+    return parents.select(key).join(named, key, "left_semi")
+
+
+def _flag_unknown(flagged: DataFrame, rows: DataFrame, column: str, parents: DataFrame) -> DataFrame:
+    return flag_unknown_parent(flagged, column, _named_parents(rows, column, parents), SUBMISSION)
+
+
 def _check(rows: DataFrame, table: str, tables: Tables, required: list[str]) -> DataFrame:
     """Flag what the table's declaration rejects. Row rules first, then the keys referred to."""
     own = [c for c in schema_of(table).names if c in rows.columns]
@@ -122,7 +137,7 @@ def _check(rows: DataFrame, table: str, tables: Tables, required: list[str]) ->
     flagged = flag(flagged, value_rules(table, own))
     for column, parent in references_of(table).items():
         if column in own:
-            flagged = flag_unknown_parent(flagged, column, tables[parent], SUBMISSION)
+            flagged = _flag_unknown(flagged, rows, column, tables[parent])
     return flagged
 
 
@@ -255,7 +270,7 @@ def ingest_estimates(submissions: DataFrame, tables: Tables, with_costing: bool
         # The service only matters to submissions that carry costs.
         flagged = flagged.withColumn(
             "Service_ID", F.when(_given("Service_ID") & _given("Total_Actual_Cost"), F.col("Service_ID")))
-        flagged = flag_unknown_parent(flagged, "Service_ID", tables["Service"], SUBMISSION)
+        flagged = _flag_unknown(flagged, rows, "Service_ID", tables["Service"])
     checked = split(flagged)
     estimates = assign_ids(checked.accepted, "Estimate_ID", tables["Estimate"])
     output = {"Estimate": estimates.select(SUBMISSION, *schema_of("Estimate").names)}

@@ -6,6 +6,7 @@ text, whole numbers and flags as bigint.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -231,7 +232,7 @@ def _estimate_requests(t: Tables) -> DataFrame:
 def _streamed_balances(t: Tables) -> DataFrame:
     """Stream all purchases, sent twice over, into a payment log and apply the log."""
     spark, folder = t._spark, t._folder
-    state = f"{shared_folder(spark)}/payment-stream-{spark._jvm.java.util.UUID.randomUUID()}"
+    state = f"{shared_folder(spark)}/payment-stream-{uuid.uuid4()}"
     source = spark.readStream.schema(_star(t, "events").schema).option("pathGlobFilter", "events.parquet")
     sent = bindings.payments_of(source.parquet(folder), _star(t, "orders"))
     log = f"{state}/log"

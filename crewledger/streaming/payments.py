@@ -17,11 +17,12 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def use_disk_state(spark: SparkSession) -> None:
-    """Keep the ids seen on local disk beside each executor, with changelogs in the checkpoint.
+    """Keep stream state on disk instead of in memory; the checkpoint folder holds the lasting copy.
 
-    The ids of all payments ever seen need not fit into memory then.
+    The ids of all payments ever seen grow for good and need not fit into memory then.
     """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
 def payment_log_writer(payments: DataFrame, log: str, checkpoint: str) -> DataStreamWriter:
@@ -31,7 +32,9 @@ def payment_log_writer(payments: DataFrame, log: str, checkpoint: str) -> DataSt
     it would forget old ids and refuse late payments, and balances must miss neither. The file
     sink commits whole batches, so a restart from the checkpoint repeats nothing. State is
     partitioned by payment id, and a batch costs as much as its own rows, however long the log.
+    The number of state partitions is `spark.sql.shuffle.partitions` of the first start.
     """
+    use_disk_state(payments.sparkSession)
     once = payments.select(schema_of("Payment").names).dropDuplicates(["Payment_ID"])
     return (once.writeStream.format("parquet").outputMode("append")
             .option("path", log).option("checkpointLocation", checkpoint))
