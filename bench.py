@@ -2,7 +2,8 @@
 
 BENCH_SF_DIR  folder of Parquet tables   (default /root/testdata/sf0.1)
 BENCH_CPUS    threads of the local master (default 8)
-BENCH_RUNS    timed runs per query; the median counts (default 1, after one untimed run)
+BENCH_RUNS    timed runs per query; the median counts (default 1)
+BENCH_WARM    1 for an untimed run of each query first (default 0: one query warms the session up)
 BENCH_ONLY    comma-separated query names (default all)
 
 A query's rows are all computed and thrown away, so that neither the driver nor a file system is
@@ -31,6 +32,7 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "1"))
+    warm = os.environ.get("BENCH_WARM", "0") == "1"
     only = [name for name in os.environ.get("BENCH_ONLY", "").split(",") if name]
     spark = build_session(
         "bench", master=f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__ui__enabled="false",
@@ -41,7 +43,8 @@ def main() -> None:
     for name, query in queries().items():
         if only and name not in only:
             continue
-        timed(query, spark, folder)
+        if warm or not seconds:
+            timed(query, spark, folder)
         seconds[name] = round(statistics.median(timed(query, spark, folder) for _ in range(runs)), 3)
     scale = re.search(r"sf([0-9.]+)", folder)
     print(json.dumps({
