@@ -215,7 +215,7 @@ def referrals(spark: SparkSession, folder: str) -> DataFrame:
 def job_costs(spark: SparkSession, folder: str) -> DataFrame:
     price, kept, tax = F.col("l_extendedprice"), 1 - F.col("l_discount"), 1 + F.col("l_tax")
     jobs = read(spark, folder, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-        F.sum(price.cast("decimal(10,2)")).alias("estimated"),
+        F.sum((price.cast("decimal(10,2)") * 100).cast("bigint")).alias("estimated"),
         F.sum(F.col("l_quantity").cast("decimal(6,2)")).alias("hours"),
         F.sum(_cents(price * kept * tax)).alias("actual"),
         F.sum(_cents(price * kept)).alias("labor"),
@@ -225,7 +225,7 @@ def job_costs(spark: SparkSession, folder: str) -> DataFrame:
         Job_Cost_ID=_service_id(), Service_ID=_service_id(), Estimate_ID=F.col("l_orderkey"),
         Actual_Labor_Hours=F.col("hours"), Actual_Labor_Cost=_from_cents("labor"),
         Actual_Materials=(F.col("actual") - F.col("labor")).cast("decimal(18,0)") / 100,
-        Total_Actual_Cost=_from_cents("actual"), Total_Estimated_Cost=F.col("estimated"),
+        Total_Actual_Cost=_from_cents("actual"), Total_Estimated_Cost=_from_cents("estimated"),
     )
 
 

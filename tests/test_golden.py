@@ -1,0 +1,62 @@
+"""Report values known beforehand."""
+
+from __future__ import annotations
+
+from decimal import Decimal as D
+
+import pytest
+
+from crewledger.operators import costing, crew, invoices, revenue, totals
+from tests.fixture import column
+from tests.golden import golden_tables
+
+
+@pytest.fixture(scope="module")
+def business(spark):
+    return golden_tables(spark)
+
+
+def test_dashboard(business):
+    assert tuple(revenue.dashboard_stats(business).first()) == (10, 25, 13, D(37139))
+
+
+def test_open_and_all_invoices(business):
+    open_set = business["Invoice"].filter("Invoice_Status IN ('Unpaid', 'Partial')")
+    assert tuple(totals.invoice_totals(open_set).first()) == (13, D(6810), D(1585), D(5225))
+    assert tuple(totals.invoice_totals(business["Invoice"]).first()) == (75, D(37139), D(31914), D(5225))
+    by_status = dict(business["Invoice"].groupBy("Invoice_Status").count().collect())
+    assert by_status == {"Paid": 62, "Partial": 5, "Unpaid": 8}
+
+
+def test_top_clients(business):
+    rows = revenue.top_clients(business).collect()
+    assert [(r["Client_ID"], r["Total_Collected"]) for r in rows] == [
+        (6, 7359), (9, 7125), (1, 4090), (5, 3285), (3, 2875), (8, 2790), (4, 2400), (2, 1070), (7, 500), (10, 420)]
+    second = next(r for r in rows if r["Client_ID"] == 2)
+    assert (second["Total_Contracts"], second["Total_Billed"], second["Outstanding_Balance"]) == (3, 1630, 560)
+
+
+def test_services_by_type(business):
+    rows = {r["Service_Type"]: r["Total_Services"] for r in revenue.revenue_by_service(business).collect()}
+    assert rows == {"Landscaping": 19, "Sprinkler Repair": 7, "Hauling": 4}
+
+
+def test_available_employees(business):
+    assert column(crew.service_employees(business), "Employee_ID") == [1, 2, 3, 5, 6]
+
+
+def test_job_costs(business):
+    rows = costing.vw_job_costing(business)
+    assert set(column(rows, "Budget_Status")) == {"Under Budget"}
+    assert tuple(totals.job_cost_totals(rows).first()) == (10, D(6400), D(4980), D(-1420))
+
+
+def test_schedule(business):
+    assert crew.schedule_workload(business, "2025-06-01").count() == 30
+
+
+def test_aging(business):
+    rows = invoices.outstanding_invoices(business, "2025-06-01").collect()
+    assert len(rows) == 13
+    assert (rows[0]["Invoice_ID"], rows[0]["Days_Overdue"], rows[0]["Aging_Bucket"]) == (2, 482, "60+ Days")
+    assert invoices.vw_outstanding_invoices(business, "2025-06-01").first()["Aging_Bucket"] == "Over 90 Days"
