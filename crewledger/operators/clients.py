@@ -12,18 +12,22 @@ from pyspark.sql.window import Window
 from crewledger.functions.text import contains_ignoring_case, like_ignoring_case
 from crewledger.operators.filters import apply_filters, is_open, match_ids
 from crewledger.operators.joins import lookup, with_childless
+from crewledger.operators.order import listing
+from crewledger.operators.quality import Checked, check_foreign_key
 from crewledger.operators.revenue import top_clients
 from crewledger.sources.tables import Tables
 
 
+@listing("Client_Name", "Client_ID")
 def clients_list(tables: Tables) -> DataFrame:
-    return tables["Client"].select("Client_ID", "Client_Name").orderBy("Client_Name", "Client_ID")
+    return tables["Client"].select("Client_ID", "Client_Name")
 
 
+@listing("Client_Name", "Client_ID")
 def clients_full(tables: Tables) -> DataFrame:
     return tables["Client"].select(
         "Client_ID", "Client_Name", "Client_Phone", "Client_Email", "Property_Address",
-    ).orderBy("Client_Name", "Client_ID")
+    )
 
 
 def client_by_id(tables: Tables, client_id: Any) -> DataFrame:
@@ -32,6 +36,13 @@ def client_by_id(tables: Tables, client_id: Any) -> DataFrame:
     return wanted.select("Client_ID", "Client_Name", "Client_Phone", "Client_Email", "Property_Address")
 
 
+def client_exists(
+    tables: Tables, rows: DataFrame, column: str = "Client_ID", row_key: str = "submission_id"
+) -> Checked:
+    """The rows that name an existing client, and the others with a reason."""
+    return check_foreign_key(rows, column, tables["Client"], row_key)
+
+
 def rank_clients(
     tables: Tables, limit: int | str = 10, client_id: Any = None, keep_global_rank: bool = False
 ) -> DataFrame:
@@ -48,16 +59,17 @@ def rank_clients(
     return match_ids(best, "Client_ID", client_id).withColumn("Rank", rank)
 
 
+@listing("-Feedback_Date", "Feedback_ID")
 def client_feedback(tables: Tables, client_id: Any = None, rating: Any = None) -> DataFrame:
     """Feedback that names a known service, newest first."""
     wanted = apply_filters(match_ids(tables["Client_Feedback"], "Client_ID", client_id), {"Rating": rating})
     return (wanted.join(tables["Client"].select("Client_ID", "Client_Name"), "Client_ID")
             .join(tables["Service"].select("Service_ID", "Service_Type", "Service_Date"), "Service_ID")
             .select("Feedback_ID", "Client_ID", "Client_Name", "Service_Type", "Service_Date", "Rating",
-                    "Comments", "Suggestions", "Feedback_Date")
-            .orderBy(F.desc("Feedback_Date"), "Feedback_ID"))
+                    "Comments", "Suggestions", "Feedback_Date"))
 
 
+@listing("-Feedback_Date", "Feedback_ID")
 def vw_client_feedback(tables: Tables) -> DataFrame:
     """All feedback, with its service where there is one."""
     named = tables["Client_Feedback"].join(tables["Client"].select("Client_ID", "Client_Name"), "Client_ID")
@@ -66,9 +78,10 @@ def vw_client_feedback(tables: Tables) -> DataFrame:
     return lookup(named, services, "Service_ID", "Feedback_ID").select(
         "Feedback_ID", "Client_ID", "Client_Name", F.col("Known_Service_ID").alias("Service_ID"),
         "Service_Type", "Rating", "Comments", "Suggestions", "Feedback_Date",
-    ).orderBy(F.desc("Feedback_Date"), "Feedback_ID")
+    )
 
 
+@listing("-Referral_Date", "Referral_ID")
 def referrals(tables: Tables, referrer_id: Any = None) -> DataFrame:
     """Referrals with the names of the referrer and, once known as a client, of the referee."""
     clients = tables["Client"]
@@ -81,7 +94,7 @@ def referrals(tables: Tables, referrer_id: Any = None) -> DataFrame:
     return lookup(named, referees, "Referee_ID", "Referral_ID").select(
         "Referral_ID", "Referee_Name", "Referrer_ID", "Referrer_Name", "Referee_ID",
         "Referee_Client_Name", "Referral_Date", "Status",
-    ).orderBy(F.desc("Referral_Date"), "Referral_ID")
+    )
 
 
 def filter_referrals(rows: DataFrame, name: str | None = None) -> DataFrame:
@@ -104,6 +117,7 @@ def sort_referrals(rows: DataFrame, column: str = "Referral_Date", ascending: bo
     return rows.orderBy(key.asc() if ascending else key.desc(), "Referral_ID")
 
 
+@listing("Client_Name", "-Service_Date", "Service_ID", "Invoice_ID")
 def client_service_history(tables: Tables, client_id: Any = None, location: str | None = None) -> DataFrame:
     """Services of a client with the invoices of their contract, by client name, latest first.
 
@@ -119,10 +133,12 @@ def client_service_history(tables: Tables, client_id: Any = None, location: str
     return (services.join(clients, "Client_ID").join(contracts, "Contract_ID").join(invoices, "Contract_ID")
             .select("Client_ID", "Client_Name", "Client_Phone", "Client_Email", "Service_ID",
                     "Service_Date", "Service_Type", "Property_Location", "Contract_ID",
-                    "Contract_Price", "Invoice_ID", "Invoice_Status", "Total_Amount", "Amount_Paid")
-            .orderBy("Client_Name", F.desc("Service_Date"), "Service_ID", "Invoice_ID"))
+                    "Contract_Price", "Invoice_ID", "Invoice_Status", "Total_Amount", "Amount_Paid"))
 
 
+@listing(
+    "Client_Name", "-Service_Date", "Client_ID", "Estimate_ID", "Contract_ID", "Service_ID", "Invoice_ID", "Payment_ID",
+)
 def vw_client_service_history(tables: Tables) -> DataFrame:
     """Every client with all estimates, contracts, services, invoices and payments.
 
@@ -147,6 +163,4 @@ def vw_client_service_history(tables: Tables) -> DataFrame:
             .select("Client_ID", "Client_Name", "Property_Address", "Estimate_ID", "Estimate_Date",
                     "Estimated_Cost", "Contract_ID", "Contract_StartDate", "Contract_EndDate",
                     "Service_ID", "Service_Type", "Service_Date", "Property_Location", "Invoice_ID",
-                    "Total_Amount", "Invoice_Status", "Payment_ID", "Payment_Amount", "Payment_Date")
-            .orderBy("Client_Name", F.desc("Service_Date"), "Client_ID", "Estimate_ID", "Contract_ID",
-                     "Service_ID", "Invoice_ID", "Payment_ID"))
+                    "Total_Amount", "Invoice_Status", "Payment_ID", "Payment_Amount", "Payment_Date"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from crewledger.functions.dates import in_period
 from crewledger.functions.status import budget_status
 from crewledger.operators.filters import match_ids, whole_number
+from crewledger.operators.order import listing
 from crewledger.sources.tables import Tables, with_virtual
 
 
@@ -20,6 +21,7 @@ def _jobs(tables: Tables, services: DataFrame, costs: DataFrame) -> DataFrame:
             .withColumn("Budget_Status", budget_status(F.col("Variance"))))
 
 
+@listing("-Service_Date", "Job_Cost_ID")
 def job_costing(
     tables: Tables, estimate_id: Any = None, month: Any = None, year: Any = None
 ) -> DataFrame:
@@ -39,13 +41,14 @@ def job_costing(
         "Actual_Labor_Cost", "Actual_Materials", "Variance", "Budget_Status",
         F.col("_totals.actual").alias("Grand_Total_Actual"),
         F.col("_totals.estimated").alias("Grand_Total_Estimated"),
-    ).orderBy(F.desc("Service_Date"), "Job_Cost_ID")
+    )
 
 
+@listing("-Service_Date", "Job_Cost_ID")
 def vw_job_costing(tables: Tables) -> DataFrame:
     """Job-cost rows with variance and status, without estimate and totals."""
     return _jobs(tables, tables["Service"], tables["Job_Costing"]).select(
         "Job_Cost_ID", "Service_ID", "Service_Type", "Service_Date", "Client_Name",
         "Property_Location", "Total_Estimated_Cost", "Total_Actual_Cost", "Actual_Labor_Hours",
         "Actual_Labor_Cost", "Actual_Materials", "Variance", "Budget_Status",
-    ).orderBy(F.desc("Service_Date"), "Job_Cost_ID")
+    )

@@ -12,14 +12,16 @@ from crewledger.functions.dates import as_of_date
 from crewledger.functions.status import schedule_status
 from crewledger.operators.filters import is_open, match_ids
 from crewledger.operators.joins import lookup
+from crewledger.operators.order import listing
 from crewledger.sources.tables import Tables
 
 PUBLIC_COLUMNS = ["Employee_ID", "Employee_Name", "Employee_Role", "Is_Available"]
 
 
+@listing("Employee_Name", "Employee_ID")
 def employees_list(tables: Tables) -> DataFrame:
     return tables["Employee"].select(
-        "Employee_ID", "Employee_Name", "Employee_Role").orderBy("Employee_Name", "Employee_ID")
+        "Employee_ID", "Employee_Name", "Employee_Role")
 
 
 def employee_count(tables: Tables) -> DataFrame:
@@ -41,12 +43,13 @@ def employee_lookups(tables: Tables, wanted: DataFrame) -> DataFrame:
         *PUBLIC_COLUMNS, F.coalesce("Known", F.lit(False)).alias("Found"))
 
 
+@listing("Employee_Name", "Employee_ID")
 def service_employees(tables: Tables) -> DataFrame:
     """Employees available for a job, with their contact details."""
     return tables["Employee"].filter(F.col("Is_Available") == 1).select(
         "Employee_ID", "Employee_Name", "Employee_Role", "Employee_Phone", "Employee_Email",
         "Is_Available",
-    ).orderBy("Employee_Name", "Employee_ID")
+    )
 
 
 def vw_service_employees(tables: Tables) -> DataFrame:
@@ -54,6 +57,7 @@ def vw_service_employees(tables: Tables) -> DataFrame:
     return service_employees(tables).drop("Employee_Email")
 
 
+@listing("Service_Date", "Service_ID", "Employee_Name")
 def schedule_workload(tables: Tables, as_of: str | datetime.date | None = None) -> DataFrame:
     """Services with the employees assigned, oldest first, marked Completed, Today or Upcoming."""
     crews = tables["Service_Employee"].join(
@@ -63,7 +67,6 @@ def schedule_workload(tables: Tables, as_of: str | datetime.date | None = None)
     clients = tables["Client"].select("Client_ID", "Client_Name")
     return (services.join(clients, "Client_ID").join(crews, "Service_ID")
             .withColumn("Status", schedule_status(F.col("Service_Date"), as_of_date(as_of)))
-            .orderBy("Service_Date", "Service_ID", "Employee_ID")
             .select("Service_ID", "Service_Date", "Service_Type", "Client_Name", "Property_Location",
                     "Employee_Name", "Employee_Role", "Status"))
 
@@ -88,6 +91,7 @@ def employee_clients(tables: Tables) -> DataFrame:
         "Property_Address", "Last_Service_Date", "Times_Served", "Last_Description")
 
 
+@listing("-Last_Service_Date", "Client_ID")
 def my_clients(tables: Tables, employee_id: Any) -> DataFrame:
     """The clients of one employee (or of a DataFrame of ids), the latest served first."""
     rows = employee_clients(tables)
@@ -96,4 +100,4 @@ def my_clients(tables: Tables, employee_id: Any) -> DataFrame:
              "Last_Service_Date", "Times_Served", "Last_Description"]
     if isinstance(employee_id, DataFrame):
         shown.insert(0, "Employee_ID")
-    return mine.select(shown).orderBy(F.desc("Last_Service_Date"), *shown[:2])
+    return mine.select(shown)

@@ -12,6 +12,7 @@ from crewledger.functions.money import hourly_rate
 from crewledger.functions.text import label_or
 from crewledger.operators.filters import is_open, match_ids, whole_number
 from crewledger.operators.joins import lookup
+from crewledger.operators.order import listing
 from crewledger.sources.tables import Tables
 
 
@@ -24,6 +25,7 @@ def _with_people(tables: Tables, estimates: DataFrame) -> DataFrame:
     return joined.withColumnRenamed("Estimator_ID", "Employee_ID")
 
 
+@listing("-Estimate_Date", "Estimate_ID")
 def estimate_employees(
     tables: Tables, month: Any = None, year: Any = None, employee_id: Any = None
 ) -> DataFrame:
@@ -37,7 +39,7 @@ def estimate_employees(
     return rows.select(
         "Estimate_ID", "Client_Name", "Property_Address", "Service_Description", "Estimated_Cost",
         "Estimated_Labor_Hours", "Estimate_Date", "Employee_ID", "Employee_Name", "Employee_Role",
-    ).orderBy(F.desc("Estimate_Date"), "Estimate_ID")
+    )
 
 
 def vw_estimate_employees(tables: Tables) -> DataFrame:
@@ -47,13 +49,14 @@ def vw_estimate_employees(tables: Tables) -> DataFrame:
         "Estimated_Cost", "Employee_ID", "Employee_Name", "Employee_Role")
 
 
+@listing("-Estimate_Date", "Estimate_ID")
 def all_estimates(tables: Tables) -> DataFrame:
     """All estimates, newest first, with the ids of the client and the estimator."""
     return _with_people(tables, tables["Estimate"]).select(
         "Estimate_ID", "Client_Name", "Client_ID", "Property_Address", "Service_Description",
         "Estimated_Cost", "Estimated_Labor_Hours", "Estimate_Date", "Employee_ID", "Employee_Name",
         "Employee_Role",
-    ).orderBy(F.desc("Estimate_Date"), "Estimate_ID")
+    )
 
 
 def estimate_by_id(tables: Tables, estimate_id: Any) -> DataFrame:

@@ -14,6 +14,7 @@ from crewledger.functions.money import balance, or_zero
 from crewledger.functions.status import aging_bucket
 from crewledger.operators.filters import apply_filters, match_ids, whole_number
 from crewledger.operators.joins import lookup
+from crewledger.operators.order import listing
 from crewledger.sources.tables import Tables
 
 OPEN_STATUSES = ["Unpaid", "Partial"]
@@ -35,31 +36,35 @@ def _named_contracts(tables: Tables) -> DataFrame:
     return contracts.join(_names(tables), "Client_ID")
 
 
+@listing("-Contract_ID")
 def contracts_list(tables: Tables) -> DataFrame:
     """Contracts with the client's name, latest first."""
-    return _named_contracts(tables).select(CONTRACT_COLUMNS).orderBy(F.desc("Contract_ID"))
+    return _named_contracts(tables).select(CONTRACT_COLUMNS)
 
 
+@listing("-Contract_ID")
 def contracts_for_client(tables: Tables, name: str | None = None, client_id: Any = None) -> DataFrame:
     """Contracts of a client, by name or by id; names need not be unique."""
     named = apply_filters(_named_contracts(tables), {"Client_Name": name})
-    return match_ids(named, "Client_ID", client_id).select(CONTRACT_COLUMNS).orderBy(F.desc("Contract_ID"))
+    return match_ids(named, "Client_ID", client_id).select(CONTRACT_COLUMNS)
 
 
+@listing("-Invoice_Date", "Invoice_ID")
 def invoices_by_client(tables: Tables, client_id: Any = None) -> DataFrame:
     """Invoices with their balance, newest first; `client_id` may be a DataFrame of ids."""
     return match_ids(tables["Invoice"], "Client_ID", client_id).select(
         "Invoice_ID", "Contract_ID", "Client_ID", "Total_Amount", "Amount_Paid", _balance_due(),
         "Invoice_Status", "Invoice_Date", "Due_Date",
-    ).orderBy(F.desc("Invoice_Date"), "Invoice_ID")
+    )
 
 
+@listing("-Invoice_Date", "Invoice_ID")
 def all_invoices(tables: Tables) -> DataFrame:
     """Every invoice with its client's name and balance, newest first."""
     return tables["Invoice"].join(_names(tables), "Client_ID").select(
         "Invoice_ID", "Contract_ID", "Client_ID", "Client_Name", "Invoice_Date", "Due_Date",
         "Total_Amount", "Amount_Paid", _balance_due(), "Invoice_Status",
-    ).orderBy(F.desc("Invoice_Date"), "Invoice_ID")
+    )
 
 
 def filter_invoices(invoices: DataFrame, client_id: Any = None, status: str | None = None) -> DataFrame:
@@ -71,6 +76,7 @@ def _in_month(rows: DataFrame, date: str, month: Any, year: Any) -> DataFrame:
     return rows if condition is None else rows.filter(condition)
 
 
+@listing("-Invoice_Date", "Invoice_ID")
 def monthly_revenue(tables: Tables, month: Any = None, year: Any = None) -> DataFrame:
     """Every invoice dated in a period, newest first."""
     dated = _in_month(tables["Invoice"], "Invoice_Date", month, year)
@@ -78,7 +84,7 @@ def monthly_revenue(tables: Tables, month: Any = None, year: Any = None) -> Data
         "Invoice_ID", "Invoice_Date", "Due_Date", "Total_Amount", "Amount_Paid", _balance_due(),
         "Invoice_Status", "Client_Name",
         F.year("Invoice_Date").alias("Year"), F.month("Invoice_Date").alias("Month"),
-    ).orderBy(F.desc("Invoice_Date"), "Invoice_ID")
+    )
 
 
 def _aged(invoices: DataFrame, as_of: str | datetime.date | None, scheme: str) -> DataFrame:
@@ -87,15 +93,17 @@ def _aged(invoices: DataFrame, as_of: str | datetime.date | None, scheme: str) -
             .withColumn("Aging_Bucket", aging_bucket(F.col("Days_Overdue"), scheme)))
 
 
+@listing("-Days_Overdue", "Invoice_ID")
 def outstanding_invoices(tables: Tables, as_of: str | datetime.date | None = None) -> DataFrame:
     """Unpaid and partly paid invoices in four age buckets, most overdue first."""
     unsettled = tables["Invoice"].filter(F.col("Invoice_Status").isin(OPEN_STATUSES))
     return _aged(unsettled.join(_names(tables), "Client_ID"), as_of, "short").select(
         "Invoice_ID", "Client_Name", "Client_ID", "Invoice_Date", "Due_Date", "Total_Amount",
         "Amount_Paid", "Balance_Due", "Invoice_Status", "Days_Overdue", "Aging_Bucket",
-    ).orderBy(F.desc("Days_Overdue"), "Invoice_ID")
+    )
 
 
+@listing("-Days_Overdue", "Invoice_ID")
 def vw_outstanding_invoices(tables: Tables, as_of: str | datetime.date | None = None) -> DataFrame:
     """Invoices in any status but Paid, five age buckets, with the client's e-mail address."""
     unsettled = (tables["Invoice"].filter(F.col("Invoice_Status") != "Paid")
@@ -104,7 +112,7 @@ def vw_outstanding_invoices(tables: Tables, as_of: str | datetime.date | None =
     return _aged(unsettled.join(clients, "Client_ID"), as_of, "long").select(
         "Invoice_ID", "Client_ID", "Client_Name", "Client_Email", "Invoice_Date", "Due_Date",
         "Total_Amount", "Amount_Paid", "Balance_Due", "Days_Overdue", "Aging_Bucket",
-    ).orderBy(F.desc("Days_Overdue"), "Invoice_ID")
+    )
 
 
 def recent_outstanding(
@@ -124,6 +132,7 @@ def days_overdue_clamped(invoices: DataFrame) -> DataFrame:
     return invoices.withColumn("Days_Overdue", shown)
 
 
+@listing("-Payment_Date", "Payment_ID")
 def vw_payments_this_month(tables: Tables, as_of: str | datetime.date | None = None) -> DataFrame:
     """Payments dated in the month of `as_of`, newest first."""
     start = F.trunc(as_of_date(as_of), "month")
@@ -138,7 +147,7 @@ def vw_payments_this_month(tables: Tables, as_of: str | datetime.date | None = N
     return lookup(payments.join(owners, "Contract_ID"), invoices, "Invoice_ID", "Payment_ID").select(
         "Payment_ID", "Client_Name", "Contract_ID", "Payment_Amount", "Payment_Method",
         "Payment_Date", "Payment_Status", F.col("Billed_ID").alias("Invoice_ID"), "Invoice_Total",
-    ).orderBy(F.desc("Payment_Date"), "Payment_ID")
+    )
 
 
 def _period_key(month, year):

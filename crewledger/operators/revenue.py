@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from crewledger.functions.money import average, or_zero
 from crewledger.operators.filters import apply_filters
 from crewledger.operators.invoices import OPEN_STATUSES
+from crewledger.operators.order import listing
 from crewledger.sources.tables import Tables
 
 
@@ -109,6 +110,7 @@ def vw_revenue_by_location(
     ).orderBy(F.desc("Total_Revenue"), "Property_Location")
 
 
+@listing("-Revenue_Year", "-Revenue_Month", "Service_Type", "Client_Name", "Property_Location")
 def vw_monthly_revenue_report(
     tables: Tables, dedupe_invoices: bool = False, ignore_case: bool = False
 ) -> DataFrame:
@@ -124,7 +126,7 @@ def vw_monthly_revenue_report(
         _weighted_sum("billed").alias("Total_Revenue"),
         _weighted_sum("received").alias("Total_Received"),
         F.sum(F.col("services") * F.col("invoices")).alias("Services_Rendered"),
-    ).orderBy(F.desc("Revenue_Year"), F.desc("Revenue_Month"), "Service_Type", "Client_Name", "Property_Location")
+    )
 
 
 def _wide_sum(column: str) -> Column:
@@ -155,12 +157,12 @@ def top_clients(tables: Tables, limit: int | str = 10) -> DataFrame:
             .orderBy(F.desc("Total_Collected"), "Client_ID").limit(int(limit)))
 
 
+@listing("-Total_Collected", "Client_ID")
 def vw_top_clients_by_revenue(tables: Tables) -> DataFrame:
     """Every client with invoices, the one that paid most first, with contact details."""
     clients = tables["Client"].select("Client_ID", "Client_Name", "Client_Email", "Client_Phone")
     return (clients.join(_client_revenue(tables), "Client_ID")
-            .select("Client_ID", "Client_Name", "Client_Email", "Client_Phone", *REVENUE_COLUMNS)
-            .orderBy(F.desc("Total_Collected"), "Client_ID"))
+            .select("Client_ID", "Client_Name", "Client_Email", "Client_Phone", *REVENUE_COLUMNS))
 
 
 def dashboard_stats(tables: Tables) -> DataFrame:

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from crewledger.functions.text import contains_ignoring_case
 from crewledger.operators.filters import is_open, match_ids
+from crewledger.operators.order import listing
 from crewledger.sources.tables import Tables
 
 
+@listing("-Service_Date", "Service_ID")
 def services_by_client(tables: Tables, client_id: Any) -> DataFrame:
     """Services of a client, newest first; no id, no services. Takes a DataFrame of ids as well."""
     services = tables["Service"]
@@ -20,7 +22,7 @@ def services_by_client(tables: Tables, client_id: Any) -> DataFrame:
     shown = ["Service_ID", "Service_Type", "Service_Date"]
     if isinstance(client_id, DataFrame):
         shown.insert(0, "Client_ID")
-    return wanted.select(shown).orderBy(F.desc("Service_Date"), "Service_ID")
+    return wanted.select(shown)
 
 
 def service_types(tables: Tables) -> DataFrame:

@@ -269,8 +269,8 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "clients_list": clients.clients_list,
     "clients_full": clients.clients_full,
     "client_by_id": lambda t: clients.client_by_id(t, t["Referral"].select("Referrer_ID")),
-    "client_exists": lambda t: _reason_counts(quality.check_foreign_key(
-        _star(t, "events").select("event_id", F.col("event_id").alias("Client_ID")), "Client_ID", t["Client"], "event_id")),
+    "client_exists": lambda t: _reason_counts(clients.client_exists(
+        t, _star(t, "events").select("event_id", F.col("event_id").alias("Client_ID")), row_key="event_id")),
     "employees_list": crew.employees_list,
     "employee_lookups": lambda t: crew.employee_lookups(t, _star(t, "events").select("user_id")),
     "service_employees": crew.service_employees,

@@ -70,6 +70,12 @@ def test_aggregates_drop_the_sort_of_a_listing(stored):
     assert "rangepartitioning" not in plan
 
 
+def test_a_listing_to_be_stored_is_not_sorted(stored):
+    for operator in (invoices.all_invoices, clients.vw_client_service_history, costing.job_costing):
+        assert "rangepartitioning" in plan_of(operator(stored))
+        assert "rangepartitioning" not in plan_of(operator(stored, ordered=False))
+
+
 def test_top_k_does_not_sort_everything(stored):
     assert "TakeOrderedAndProject" in plan_of(revenue.top_clients(stored))
     assert "TakeOrderedAndProject" in plan_of(invoices.recent_outstanding(stored, "2024-07-01"))

@@ -194,7 +194,7 @@ def test_job_costing(tables):
 def test_schedule(tables):
     rows = as_dicts(crew.schedule_workload(tables, AS_OF))
     assert [(r["Service_ID"], r["Employee_Name"], r["Status"]) for r in rows] == [
-        (6, "Abe Lund", "Completed"), (1, "Zoe Hart", "Completed"), (1, "Abe Lund", "Completed"),
+        (6, "Abe Lund", "Completed"), (1, "Abe Lund", "Completed"), (1, "Zoe Hart", "Completed"),
         (2, "Abe Lund", "Completed"), (3, "Abe Lund", "Completed"), (4, "Zoe Hart", "Today"),
         (5, "Mia Noor", "Upcoming")]
 
