@@ -38,7 +38,7 @@ def test_top_clients(business):
 
 def test_services_by_type(business):
     rows = {r["Service_Type"]: r["Total_Services"] for r in revenue.revenue_by_service(business).collect()}
-    assert rows == {"Landscaping": 19, "Sprinkler Repair": 7, "Hauling": 4}
+    assert rows == {"Garden": 19, "Sprinklers": 7, "Transport": 4}
 
 
 def test_available_employees(business):
