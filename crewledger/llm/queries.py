@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crewledger.llm import minhash_bbit
+from crewledger.llm import minhash_bbit, pack_reduction, separator_scan, tokens, tree_bpe
+from crewledger.session import use_checkpoints
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +18,32 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def working_folder(spark: SparkSession) -> str:
+    """A folder of this call's own below the one that all executors share."""
+    use_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}"
+
+
+def op3_pack_reduction(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of at most 4096 tokens."""
+    return pack_reduction.pack(table(spark, folder, "documents"), tokens.public_path("word_bpe_49k.json"))
+
+
+def op6_separator_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Token count of every document in flat files written from all documents."""
+    path = tokens.public_path("word_bpe_49k.json")
+    end = separator_scan.separator_of(path)
+    flat = f"{working_folder(spark)}/flat"
+    separator_scan.write_flat(table(spark, folder, "documents"), flat, path, end)
+    return separator_scan.count_documents(spark, flat, end)
+
+
+def op7_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every text and the text they decode to, as digests."""
+    path = tokens.public_path("byte_bpe_50k.json")
+    return tree_bpe.digests(tree_bpe.encode(table(spark, folder, "documents"), path), path)
+
+
 def op9_minhash_bbit(spark: SparkSession, folder: str) -> DataFrame:
     """Component of every document among near-duplicates at 85 percent."""
     found = minhash_bbit.near_duplicates(table(spark, folder, "documents"))
@@ -25,3 +53,7 @@ def op9_minhash_bbit(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {name: run for name, run in globals().items() if name.startswith("op") and name[2].isdigit()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
