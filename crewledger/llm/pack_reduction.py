@@ -238,6 +238,7 @@ def pack(
     slots = plan_packing(histogram, capacity).arrays()
     placed = ranked(cut, -(-max(histogram.values(), default=1) // PER_BUCKET))
     span = 1 << 40  # ranks are below
+    kept = cut.columns
 
     def place(batches):
         keys = slots["length"] * span + slots["first"]
@@ -249,7 +250,7 @@ def pack(
             sequence = slots["bin"][slot] + nth // each
             offset = slots["offset"][slot] + nth % each * length
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in cut.columns), pa.array(sequence), pa.array(offset)], names=[*cut.columns, "sequence_id", "offset"])
+                [*(batch.column(c) for c in kept), pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
 
     reach_package(docs.sparkSession)
     schema = T.StructType([*cut.schema.fields]).add("sequence_id", "long").add("offset", "long")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crewledger.llm import minhash_bbit, pack_reduction, separator_scan, tokens, tree_bpe
+from crewledger.llm import language_em, minhash_bbit, pack_reduction, quality_mcd, separator_scan, tokens, tree_bpe
 from crewledger.session import use_checkpoints
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,18 @@ def working_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}"
 
 
+def op1_quality_mcd(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts, base rules and the verdict of the robust estimates for every document."""
+    found = quality_mcd.judged(table(spark, folder, "documents"))
+    return found.select("doc_id", f"{found.columns[-1]}.*")
+
+
+def op2_language_em(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document."""
+    found = language_em.with_language(table(spark, folder, "documents"))
+    return found.select("doc_id", language_em.held_out().alias("held_out"), f"{found.columns[-1]}.*")
+
+
 def op3_pack_reduction(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece of every document with its place in a sequence of at most 4096 tokens."""
     return pack_reduction.pack(table(spark, folder, "documents"), tokens.public_path("word_bpe_49k.json"))
