@@ -200,7 +200,7 @@ def with_language(
     return add_columns(docs, text, [T.StructField(free_name(docs, name), kind)], make)
 
 
-def identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
+def identified(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
     """The documents with a language that makes up at least `least_score` of them, with their columns.
 
     A missing language is filled in with the predicted one.

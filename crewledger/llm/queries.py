@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crewledger.llm import language_em, minhash_bbit, pack_reduction, quality_mcd, separator_scan, tokens, tree_bpe
+from crewledger.llm import (
+    edit_embedding, external_shuffle, language_em, minhash_bbit, pack_reduction, pii_boost, quality_mcd, separator_scan, tokens, tree_bpe,
+    url_rules,
+)
 from crewledger.session import use_checkpoints
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +44,22 @@ def op3_pack_reduction(spark: SparkSession, folder: str) -> DataFrame:
     return pack_reduction.pack(table(spark, folder, "documents"), tokens.public_path("word_bpe_49k.json"))
 
 
+def op4_pii_boost(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document: base rules and boosted proposals."""
+    return pii_boost.digests(table(spark, folder, "documents"))
+
+
+def op5_external_shuffle(spark: SparkSession, folder: str) -> DataFrame:
+    """Shard and slot of every document after the two passes."""
+    docs = table(spark, folder, "documents")
+    found = external_shuffle.shuffled(docs)
+    shard, grown, slot = found.columns[-3:]
+    return found.select(
+        "doc_id", external_shuffle.size_of("text").alias("size"),
+        F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("text_crc32"), F.lit("key").alias("law"),
+        F.col(shard).alias("shard"), F.col(slot).alias("slot"), F.col(grown).alias("grown_shard"))
+
+
 def op6_separator_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Token count of every document in flat files written from all documents."""
     path = tokens.public_path("word_bpe_49k.json")
@@ -56,6 +75,11 @@ def op7_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return tree_bpe.digests(tree_bpe.encode(table(spark, folder, "documents"), path), path)
 
 
+def op8_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page's URL by hand-written and mined rules."""
+    return url_rules.judged(table(spark, folder, "pages"))
+
+
 def op9_minhash_bbit(spark: SparkSession, folder: str) -> DataFrame:
     """Component of every document among near-duplicates at 85 percent."""
     found = minhash_bbit.near_duplicates(table(spark, folder, "documents"))
@@ -63,6 +87,11 @@ def op9_minhash_bbit(spark: SparkSession, folder: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
+def op10_edit_embedding(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness."""
+    return edit_embedding.compared(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: run for name, run in globals().items() if name.startswith("op") and name[2].isdigit()}
 
