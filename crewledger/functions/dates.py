@@ -30,9 +30,14 @@ def in_period(date: Column, month: int | None, year: int | None) -> Column | Non
     """Condition for a month and/or year, None when both are open.
 
     With a year the condition is a range, which reaches the Parquet scan; `year(d) = y` would not.
+    A month or year that does not exist matches nothing.
     """
+    if month is not None and not 1 <= month <= 12 or year is not None and not 1 <= year <= 9999:
+        return F.lit(False)
     if year is None:
         return None if month is None else F.month(date) == month
+    if year == 9999 and month in (None, 12):
+        return date >= F.lit(datetime.date(year, month or 1, 1))
     first, after = period_bounds(year, month)
     return (date >= F.lit(first)) & (date < F.lit(after))
 

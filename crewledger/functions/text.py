@@ -17,8 +17,9 @@ def contains_ignoring_case(text: Column, part: str) -> Column:
 
 
 def like_ignoring_case(text: Column, part: str) -> Column:
-    """LIKE '%part%'; `%` and `_` inside `part` stay wildcards. NULL text never matches."""
-    return F.lower(text).like(f"%{part.lower()}%")
+    """LIKE '%part%'; `%` and `_` inside `part` stay wildcards, a backslash stands for itself. NULL text never matches."""
+    escaped = part.lower().replace("\\", "\\\\")
+    return F.lower(text).like(f"%{escaped}%")
 
 
 def label_or(text: Column, label: str) -> Column:

@@ -33,7 +33,10 @@ def job_costing(
     condition = in_period(F.col("Service_Date"), whole_number(month), whole_number(year))
     services = tables["Service"] if condition is None else tables["Service"].filter(condition)
     jobs = _jobs(tables, services, match_ids(tables["Job_Costing"], "Estimate_ID", estimate_id))
-    totals = jobs.agg(F.struct(
+    # The totals need keys and amounts only: services and clients take part as lists of keys.
+    known = services.select("Service_ID", "Client_ID").join(tables["Client"].select("Client_ID"), "Client_ID", "left_semi")
+    costed = match_ids(tables["Job_Costing"], "Estimate_ID", estimate_id).join(known, "Service_ID")
+    totals = costed.agg(F.struct(
         F.sum("Total_Actual_Cost").alias("actual"), F.sum("Total_Estimated_Cost").alias("estimated"))).scalar()
     return jobs.withColumn("_totals", totals).select(
         "Job_Cost_ID", "Estimate_ID", "Service_ID", "Service_Type", "Service_Date", "Client_Name",

@@ -74,11 +74,13 @@ def schedule_workload(tables: Tables, as_of: str | datetime.date | None = None)
 def employee_clients(tables: Tables) -> DataFrame:
     """Each client an employee has served: last date, number of services, greatest description.
 
-    An employee is assigned to a service once, so rows are services. They are reduced to one row
-    per employee and client before names and addresses join.
+    Services count once, however often a service or an assignment is stored. Rows are reduced to
+    one per employee and client before names and addresses join.
     """
     services = tables["Service"].select("Service_ID", "Client_ID", "Service_Date", "Service_Description")
     served = (tables["Service_Employee"].join(services, "Service_ID")
+              .groupBy("Employee_ID", "Client_ID", "Service_ID").agg(
+                  F.max("Service_Date").alias("Service_Date"), F.max("Service_Description").alias("Service_Description"))
               .groupBy("Employee_ID", "Client_ID").agg(
                   F.max("Service_Date").alias("Last_Service_Date"),
                   F.count(F.lit(1)).alias("Times_Served"),

@@ -14,8 +14,11 @@ def is_open(value: Any) -> bool:
 
 
 def whole_number(value: Any) -> int | None:
-    """A number given as int or text; None for an open filter. Other text raises ValueError."""
-    return None if is_open(value) else int(value)
+    """A number given as int or text; None for an open filter, and -1, which matches nothing, for other text."""
+    try:
+        return None if is_open(value) else int(value)
+    except ValueError:
+        return -1
 
 
 def equals(df: DataFrame, column: str, value: Any) -> Column:

@@ -17,7 +17,6 @@ from pyspark.sql.window import Window
 from crewledger.functions.dates import as_of_date, default_due_date
 from crewledger.functions.status import budget_status, new_invoice_status
 from crewledger.functions.text import blank_to_null
-from crewledger.operators.joins import lookup
 from crewledger.operators.quality import (
     REASON, Rule, flag, flag_unknown_parent, length_rules, number_rules, required_rules, split, value_rules,
 )
@@ -122,7 +121,7 @@ def _named_parents(rows: DataFrame, column: str, parents: DataFrame) -> DataFram
     """
     key = parents.columns[0]
     named = rows.select(_number(column, "bigint").alias(key)).distinct()
-    return parents.select(key).join(named, key, "left_semi")
+    return parents.select(key).join(named, key, "left_semi").distinct()
 
 
 def _flag_unknown(flagged: DataFrame, rows: DataFrame, column: str, parents: DataFrame) -> DataFrame:

@@ -141,10 +141,11 @@ def vw_payments_this_month(tables: Tables, as_of: str | datetime.date | None = N
         "Payment_ID", "Contract_ID", "Invoice_ID", "Payment_Amount", "Payment_Method",
         "Payment_Date", "Payment_Status",
     )
-    owners = tables["Contract"].select("Contract_ID", "Client_ID").join(_names(tables), "Client_ID")
+    # From the month's few payments outwards, so that contracts and clients are not joined in full.
+    owned = payments.join(tables["Contract"].select("Contract_ID", "Client_ID"), "Contract_ID").join(_names(tables), "Client_ID")
     invoices = tables["Invoice"].select(
         "Invoice_ID", F.col("Invoice_ID").alias("Billed_ID"), F.col("Total_Amount").alias("Invoice_Total"))
-    return lookup(payments.join(owners, "Contract_ID"), invoices, "Invoice_ID", "Payment_ID").select(
+    return lookup(owned, invoices, "Invoice_ID", "Payment_ID").select(
         "Payment_ID", "Client_Name", "Contract_ID", "Payment_Amount", "Payment_Method",
         "Payment_Date", "Payment_Status", F.col("Billed_ID").alias("Invoice_ID"), "Invoice_Total",
     )

@@ -6,6 +6,7 @@ schema and are evaluated in one pass. Key checks are joins and aggregates on the
 
 from __future__ import annotations
 
+import functools
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 
 from crewledger.functions.text import blank_to_null
 from crewledger.operators.joins import lookup
-from crewledger.schemas import PRIMARY_KEYS, references_of, schema_of
+from crewledger.schemas import PRIMARY_KEYS, SCHEMAS, references_of, schema_of
 from crewledger.sources.tables import Tables
 
 REASON = "reason"
@@ -95,8 +96,11 @@ def check_values(df: DataFrame, table: str) -> Checked:
 def flag_unknown_parent(
     df: DataFrame, column: str, parents: DataFrame, row_key: str | list[str]
 ) -> DataFrame:
-    """Flag rows whose key is not the (first-column) key of any parent; rows without a key pass."""
-    known = parents.select(F.col(parents.columns[0]).alias(column), F.lit(True).alias("_known"))
+    """Flag rows whose key is not the (first-column) key of any parent; rows without a key pass.
+
+    Parents are made distinct first, so that one stored twice does not multiply the rows.
+    """
+    known = parents.select(F.col(parents.columns[0]).alias(column)).distinct().withColumn("_known", F.lit(True))
     broken = F.col(column).isNotNull() & F.col("_known").isNull()
     return flag(lookup(df, known, column, row_key), [(broken, f"{column} is unknown")]).drop("_known")
 
@@ -121,19 +125,35 @@ def orphan_counts(tables: Tables, table: str) -> DataFrame:
     return rejects.groupBy(REASON).agg(F.count(F.lit(1)).alias("Row_Count"))
 
 
+def all_orphan_counts(tables: Tables) -> DataFrame:
+    """Rejected rows by table and reason, over every foreign key that is declared."""
+    parts = []
+    for table in SCHEMAS:
+        for column, parent in references_of(table).items():
+            rejects = check_foreign_key(tables[table], column, tables[parent], PRIMARY_KEYS[table]).rejects
+            parts.append(rejects.groupBy(REASON).agg(F.count(F.lit(1)).alias("Row_Count")).select(
+                F.lit(table).alias("Table_Name"), F.lit(column).alias("Column_Name"), "Row_Count"))
+    return functools.reduce(DataFrame.unionAll, parts)
+
+
 def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
     """Keys that occur more than once and how often."""
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("Row_Count")).filter(F.col("Row_Count") > 1)
 
 
 def check_unique(df: DataFrame, key: list[str]) -> Checked:
-    """Accept rows whose key occurs once; every row of a repeated key is rejected.
+    """Accept rows whose key occurs once; rows of a repeated key, or with a NULL in it, are rejected.
 
     Counts combine on the map side, so a key held by most rows reaches the join as one row.
     """
-    repeated = duplicate_keys(df, key).select(key)
-    rejects = df.join(repeated, key, "left_semi").withColumn(REASON, F.lit(f"{', '.join(key)} is not unique"))
-    return Checked(df.join(repeated, key, "left_anti"), rejects)
+    missing = F.lit(False)
+    for column in key:
+        missing = missing | F.col(column).isNull()
+    whole = df.filter(~missing)
+    repeated = duplicate_keys(whole, key).select(key)
+    rejects = whole.join(repeated, key, "left_semi").withColumn(REASON, F.lit(f"{', '.join(key)} is not unique"))
+    absent = df.filter(missing).withColumn(REASON, F.lit(f"{', '.join(key)} is required"))
+    return Checked(whole.join(repeated, key, "left_anti"), rejects.unionByName(absent))
 
 
 def one_per_key(df: DataFrame, key: list[str]) -> DataFrame:

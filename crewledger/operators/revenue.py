@@ -138,8 +138,10 @@ def _client_revenue(tables: Tables) -> DataFrame:
     invoices = tables["Invoice"].groupBy("Contract_ID").agg(
         F.sum("Total_Amount").alias("billed"), F.sum("Amount_Paid").alias("received"))
     contracts = tables["Contract"].select("Contract_ID", "Client_ID")
-    # One row per contract is left, so counting rows counts distinct contracts.
-    return contracts.join(invoices, "Contract_ID").groupBy("Client_ID").agg(
+    # A contract stored twice adds its invoices twice, but counts once.
+    per_contract = contracts.join(invoices, "Contract_ID").groupBy("Client_ID", "Contract_ID").agg(
+        _wide_sum("billed").alias("billed"), _wide_sum("received").alias("received"))
+    return per_contract.groupBy("Client_ID").agg(
         F.count(F.lit(1)).alias("Total_Contracts"),
         _wide_sum("billed").alias("Total_Billed"),
         _wide_sum("received").alias("Total_Collected"),

@@ -18,9 +18,10 @@ from crewledger.functions.text import stars
 from crewledger.operators import (
     clients, costing, crew, estimates, ingest, invoices, payments, quality, revenue, services, totals,
 )
+from crewledger.plans import views
 from crewledger.session import prepare, shared_folder
 from crewledger.sources import bindings
-from crewledger.sources.tables import Tables, with_virtual
+from crewledger.sources.tables import Tables, append, read_table, with_virtual
 from crewledger.streaming import payments as payment_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 AGING_DAY = "2001-07-01"
 SCHEDULE_DAY = "1998-06-15"
 PAYMENT_DAY = "2024-01-15"
+VIEW_DAY = "2024-01-15"
 INGEST_DAY = "2024-02-01"
 # Month and year of the billing periods shown together; None stands for any.
 PERIODS = [(5, 1997), (None, 1997), (3, None), (None, None), (5, 1997), (1, 2030)]
@@ -264,6 +266,33 @@ def _reason_counts(checked: quality.Checked) -> DataFrame:
         checked.rejects.select("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("Row_Count"))
 
 
+def _doubled(t: Tables, *names: str) -> Tables:
+    """The tables with the rows of some of them stored twice."""
+    changed = type(t)(t._spark, t._folder)
+    for name in names:
+        changed[name] = t[name].unionByName(t[name])
+    return changed
+
+
+def _stored(t: Tables, rows: DataFrame, table: str) -> DataFrame:
+    """Rows written by `append` and read again."""
+    folder = f"{shared_folder(t._spark)}/{uuid.uuid4()}"
+    append(rows, folder, table)
+    return read_table(t._spark, folder, table)
+
+
+def _stored_totals(t: Tables) -> DataFrame:
+    return totals.invoice_totals(_stored(t, t["Invoice"], "Invoice"))
+
+
+def _view_sizes(t: Tables) -> DataFrame:
+    """Rows of every reporting view, selected by its name."""
+    spark = t._spark
+    return spark.sql(" UNION ALL ".join(
+        f"SELECT '{name}' AS View_Name, count(*) AS Row_Count FROM {name}" for name in views.register_views(spark, t, VIEW_DAY)))
+
+
+
 TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     # look-ups, projections, filters
     "clients_list": clients.clients_list,
@@ -351,6 +380,14 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
         ["Total_Amount", "Amount_Paid", "Balance_Due"]),
     # checks
     "foreign_key_check": lambda t: quality.orphan_counts(t, "Client_Feedback"),
+    "foreign_key_checks": quality.all_orphan_counts,
+    # Tables stored twice over: counts and checks are those of the tables stored once.
+    "foreign_key_check_repeated": lambda t: quality.orphan_counts(_doubled(t, "Service", "Client"), "Client_Feedback"),
+    "employee_clients_repeated": lambda t: crew.employee_clients(_doubled(t, "Service", "Service_Employee")),
+    # stored and read again, and read by name
+    "stored_round_trip": _stored_totals,
+    "balances_round_trip": lambda t: _stored(t, payments.apply_payments(t["Invoice"], t["Payment"]), "Invoice"),
+    "views_by_name": _view_sizes,
     "size_check": lambda t: _reason_counts(quality.check_sizes(_size_forms(t), "Client")),
     "value_check": lambda t: _reason_counts(quality.check_values(_rated(t), "Client_Feedback")),
     "required_check": lambda t: _reason_counts(quality.check_required(employee_forms(t), ["employee_role"])),

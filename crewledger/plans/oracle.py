@@ -6,6 +6,8 @@ proves the shortcuts the Spark plans take.
 
 from __future__ import annotations
 
+from crewledger.schemas import FOREIGN_KEYS, SCHEMAS
+
 # The eleven tables as projections of the star schema.
 ROLES = {
     "client": """
@@ -289,7 +291,49 @@ INGEST_DATE = "'2024-02-01'"
 VALUE = "CAST(value AS DECIMAL(10,2))"
 
 
+# Role of each table, in the order of the schema, and the query that each view has a row for.
+TABLE_ROLES = {
+    "Client": "client", "Employee": "employee", "Estimate": "estimate", "Contract": "contract", "Service": "service",
+    "Service_Employee": "crew", "Invoice": "invoice", "Payment": "payment", "Client_Feedback": "feedback",
+    "Referral": "referral", "Job_Costing": "job",
+}
+VIEW_QUERIES = {
+    "vw_ClientFeedback": "vw_client_feedback", "vw_EstimateEmployees": "vw_estimate_employees",
+    "vw_ServiceEmployees": "vw_service_employees", "vw_PaymentsThisMonth": "vw_payments_this_month",
+    "vw_RevenueByServiceType": "vw_revenue_by_service_type", "vw_TopClientsByRevenue": "vw_top_clients_by_revenue",
+    "vw_RevenueByLocation": "vw_revenue_by_location", "vw_MonthlyRevenueReport": "vw_monthly_revenue_report",
+    "vw_OutstandingInvoices": "vw_outstanding_invoices", "vw_ClientServiceHistory": "vw_client_service_history",
+    "vw_JobCostingReport": "vw_job_costing", "vw_ScheduleWorkload": "schedule_workload", "vw_Employee_Clients": "vw_employee_clients",
+}
+
+
+def _unknown_parents() -> str:
+    keys = {table: SCHEMAS[table].names[0] for table in SCHEMAS}
+    checks = [
+        f"""SELECT '{child}' AS Table_Name, '{column}' AS Column_Name, count(*) AS Row_Count FROM {TABLE_ROLES[child]}
+            WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT {keys[parent]} FROM {TABLE_ROLES[parent]}) HAVING count(*) > 0"""
+        for (child, column), parent in FOREIGN_KEYS.items()
+    ]
+    return _sql(" ".join(TABLE_ROLES.values()), " UNION ALL ".join(checks))
+
+
 def oracle_sql() -> dict[str, str]:
+    found = _plain_sql()
+    counted = " UNION ALL ".join(f"SELECT '{view}' AS View_Name, (SELECT count(*) FROM ({found[query]})) AS Row_Count"
+                                 for view, query in VIEW_QUERIES.items())
+    return found | {
+        "foreign_key_checks": _unknown_parents(),
+        "foreign_key_check_repeated": found["foreign_key_check"],
+        "employee_clients_repeated": found["vw_employee_clients"],
+        "stored_round_trip": _sql("invoice", f"""
+            SELECT count(*) AS Invoice_Count, {_num('sum(Total_Amount)')} AS Total_Billed, {_num('sum(Amount_Paid)')} AS Total_Collected,
+                   {_num('sum(Total_Amount) - sum(Amount_Paid)')} AS Total_Outstanding FROM invoice"""),
+        "balances_round_trip": found["apply_payments"],
+        "views_by_name": counted,
+    }
+
+
+def _plain_sql() -> dict[str, str]:
     month = "strftime(Invoice_Date, '%B')"
     wanted = "(SELECT Client_ID FROM feedback)"
     return {

@@ -12,21 +12,21 @@ from crewledger.sources.tables import Tables
 
 
 def views(tables: Tables, as_of: str | datetime.date | None = None) -> dict[str, DataFrame]:
-    """Every reporting view as a lazy DataFrame."""
+    """Every reporting view as a lazy DataFrame, unsorted: who selects from a view orders it."""
     # The view names.
     return {
-        "vw_ClientFeedback": clients.vw_client_feedback(tables),
+        "vw_ClientFeedback": clients.vw_client_feedback(tables, ordered=False),
         "vw_EstimateEmployees": estimates.vw_estimate_employees(tables),
         "vw_ServiceEmployees": crew.vw_service_employees(tables),
-        "vw_PaymentsThisMonth": invoices.vw_payments_this_month(tables, as_of),
+        "vw_PaymentsThisMonth": invoices.vw_payments_this_month(tables, as_of, ordered=False),
         "vw_RevenueByServiceType": revenue.vw_revenue_by_service_type(tables),
-        "vw_TopClientsByRevenue": revenue.vw_top_clients_by_revenue(tables),
+        "vw_TopClientsByRevenue": revenue.vw_top_clients_by_revenue(tables, ordered=False),
         "vw_RevenueByLocation": revenue.vw_revenue_by_location(tables),
-        "vw_MonthlyRevenueReport": revenue.vw_monthly_revenue_report(tables),
-        "vw_OutstandingInvoices": invoices.vw_outstanding_invoices(tables, as_of),
+        "vw_MonthlyRevenueReport": revenue.vw_monthly_revenue_report(tables, ordered=False),
+        "vw_OutstandingInvoices": invoices.vw_outstanding_invoices(tables, as_of, ordered=False),
         "vw_ClientServiceHistory": clients.vw_client_service_history(tables),
-        "vw_JobCostingReport": costing.vw_job_costing(tables),
-        "vw_ScheduleWorkload": crew.schedule_workload(tables, as_of),
+        "vw_JobCostingReport": costing.vw_job_costing(tables, ordered=False),
+        "vw_ScheduleWorkload": crew.schedule_workload(tables, as_of, ordered=False),
         "vw_Employee_Clients": crew.employee_clients(tables),
     }
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,9 +82,20 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
+def _declared(field: T.StructField) -> Column:
+    """The column in its declared type; an error where a value does not fit."""
+    typed = F.expr(f"try_cast(`{field.name}` AS {field.dataType.simpleString()})")
+    lost = F.col(field.name).isNotNull() & typed.isNull()
+    problem = F.raise_error(F.lit(f"{field.name} does not fit {field.dataType.simpleString()}"))
+    return F.when(lost, problem).otherwise(typed).cast(field.dataType).alias(field.name)
+
+
 def append(df: DataFrame, path: str, table: str) -> None:
-    """Append accepted rows; large tables are laid out by the year of their date."""
-    rows = df.select(schema_of(table).names)
+    """Append rows in the declared types; large tables are laid out by the year of their date.
+
+    A value that does not fit its declared type stops the write: stored, it could not be read back.
+    """
+    rows = df.select([_declared(field) for field in schema_of(table)])
     date = PARTITION_DATE.get(table)
     target = f"{path.rstrip('/')}/{table}"
     if date is None:

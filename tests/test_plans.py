@@ -7,13 +7,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as driver
 from crewledger.operators import clients, costing, crew, estimates, invoices, payments, quality, revenue
+from crewledger.plans import catalogue
 from crewledger.schemas import SCHEMAS
 from crewledger.sources.tables import append, load_tables
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = driver.queries()
+QUERIES = catalogue.queries()
 
 # Windows are used only over rows whose number is bounded: one per id bucket, one
 # per calendar month, or the rows left by a limit.
