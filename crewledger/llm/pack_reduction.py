@@ -28,7 +28,7 @@ from crewledger.llm.tokens import pieces_of
 CAPACITY = 4096
 END_ID = 1
 # Ranks are counted within buckets of about this many items of one length.
-PER_BUCKET = 10_000
+PER_BUCKET = 2_000
 
 
 def pieces(
@@ -84,74 +84,71 @@ class Plan:
         return dict(zip(("length", "first", "bin", "each", "offset"), columns.T, strict=True))
 
 
-def dominating(present: list[int], count: dict[int, int], capacity: int) -> list[int] | None:
-    """Lengths that may share a bin with one of the longest items for good; None if nothing proves it.
+def dominating(present: list[int], count: dict[int, int], capacity: int, item: int) -> list[int] | None:
+    """Lengths that may share a bin with one item for good; None if nothing proves it.
 
-    `present` has the lengths in ascending order. With room for k of the smallest others beside it:
-    k = 0: the item alone. An exact partner fills the bin, so no other set is better. k = 1: the largest
-    partner that fits takes the place of any other one. k = 2: the largest single partner is as good as any
-    two that fit if it is at least as long as the best two together; two are as good as any if no other
-    set can hold more than the smallest pair and that pair's room leaves nothing longer in its place.
+    `present` has the lengths left in ascending order. With room for k of the smallest others beside it:
+    k = 0: the item alone. An exact partner fills the bin, so no other set is better. k = 1: the longest
+    partner that fits takes the place of any other one. k = 2: the longest partner is as good as any set if it is at
+    least as long as the best two together.
     """
-    longest = present[-1]
-    room = capacity - longest
-    left = dict(count)
-    left[longest] -= 1
-    others = [s for s in present if left[s] > 0 and s <= room]
+    room = capacity - item
+    others = present[: bisect.bisect_right(present, room)]
+    left = {item: count[item] - 1}
+    if not left[item] and item <= room:
+        others.remove(item)
     if not others:
-        return [longest]
+        return [item]
     best = others[-1]
     if best == room:
-        return [longest, best]
+        return [item, best]
     k, held = 0, 0
     for s in others:
-        take = min(left[s], (room - held) // s)
+        n = left.get(s, count[s])
+        take = min(n, (room - held) // s)
         k, held = k + take, held + take * s
-        if take < left[s] or k > 2:
+        if take < n or k > 2:
             break
     if k == 1:
-        return [longest, best]
+        return [item, best]
     if k == 2:
         pairs = 0
         for n, a in enumerate(others):
             at = bisect.bisect_right(others, room - a) - 1
-            if at > n or at == n and left[a] > 1:
+            if at > n or at == n and left.get(a, count[a]) > 1:
                 pairs = max(pairs, a + others[at])
         if best >= pairs:
-            return [longest, best]
+            return [item, best]
     return None
 
 
 def reduce(count: dict[int, int], plan: Plan) -> None:
     """Fixes dominating sets, longest item first, and takes them out of `count`."""
     present = sorted(s for s in count if count[s] > 0)
-    skipped: dict[int, int] = {}
-    while present:
-        found = dominating(present, count, plan.capacity)
-        longest = present[-1]
-        if found is None:
-            skipped[longest] = count.pop(longest)
-            present.pop()
-            continue
-        if len(found) == 1:
-            bins = count[longest]
-        else:
-            bins = count[longest] // 2 if found[1] == longest else min(count[longest], count[found[1]])
-        if len(found) == 2 and found[0] == found[1]:
-            plan.place(longest, plan.bins, bins, 2, 0)
-        else:
-            offset = 0
+    for item in reversed(present.copy()):
+        # Longer items that nothing dominates stay, as partners of this one.
+        while count[item]:
+            found = dominating(present, count, plan.capacity, item)
+            if found is None:
+                break
+            if len(found) == 1:
+                bins = count[item]
+            else:
+                bins = count[item] // 2 if found[1] == item else min(count[item], count[found[1]])
+            if found[-1] == item and len(found) == 2:
+                plan.place(item, plan.bins, bins, 2, 0)
+            else:
+                offset = 0
+                for s in found:
+                    plan.place(s, plan.bins, bins, 1, offset)
+                    offset += s
+            plan.bins += bins
+            plan.fixed += bins
             for s in found:
-                plan.place(s, plan.bins, bins, 1, offset)
-                offset += s
-        plan.bins += bins
-        plan.fixed += bins
-        for s in found:
-            count[s] -= bins
-        for s in set(found):
-            if not count[s]:
-                present.remove(s)
-    count.update(skipped)
+                count[s] -= bins
+            for s in set(found):
+                if not count[s]:
+                    present.remove(s)
 
 
 def best_fit(count: dict[int, int], plan: Plan) -> None:

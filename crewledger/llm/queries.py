@@ -96,5 +96,70 @@ def queries() -> dict[str, Query]:
     return {name: run for name, run in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+UPPER, LOWER = url_rules.UPPER, url_rules.LOWER
+
+NEAR_DUPLICATES = rf"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    shingles AS (
+        SELECT DISTINCT doc_id, array_to_string(w[n : n + 4], ' ') AS s
+        FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS n FROM words WHERE len(w) > 0)),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    links AS (
+        SELECT a.doc_id AS u, b.doc_id AS v
+        FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+        JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+        GROUP BY a.doc_id, b.doc_id, x.n, y.n
+        HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+    reached AS (
+        SELECT doc_id, doc_id AS other FROM documents
+        UNION SELECT r.doc_id, l.v FROM reached r JOIN links l ON l.u = r.other),
+    found AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+    FROM found LEFT JOIN sizes USING (doc_id)"""
+
+_FITS = " ".join(
+    f"WHEN (host = '{rule.partition('/')[0]}' OR ends_with(host, '.{rule.partition('/')[0]}')) "
+    f"AND starts_with(path, '/{rule.partition('/')[2]}') THEN '{rule}'"
+    for _, rule in sorted(url_rules.RULES, key=lambda r: (-len(r[1]), r[1])))
+_VERDICTS = " ".join(f"WHEN '{rule}' THEN '{verdict}'" for verdict, rule in url_rules.RULES)
+
+URL_VERDICTS = rf"""
+    WITH rests AS (
+        SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    parts AS (
+        SELECT page_id, url, rest, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
+               regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) AS query,
+               translate(split_part(url, '://', 1), '{UPPER}', '{LOWER}') AS scheme FROM rests),
+    low AS (SELECT *, translate(path, '{UPPER}', '{LOWER}') AS low, CASE {_FITS} END AS rule FROM parts),
+    tokens AS (
+        SELECT page_id, url, host, path, rule, CASE rule {_VERDICTS} END AS own, CASE WHEN rest = '' THEN [] ELSE list_distinct(list_concat(
+            list_concat(list_transform(list_filter([scheme], lambda x: x <> ''), lambda x: 's:' || x),
+                        list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || x)),
+            list_concat(
+                list_concat(list_transform(list_filter(string_split(low, '/'), lambda x: regexp_full_match(x, '[a-z_-]+')), lambda x: 'p:' || x),
+                            list_transform(list_filter([regexp_extract(low, '\.([a-z]{{1,5}})$', 1)], lambda x: x <> ''), lambda x: 'e:' || x)),
+                list_transform(list_filter(list_transform(string_split(query, '&'), lambda x: split_part(x, '=', 1)), lambda x: x <> ''), lambda x: 'q:' || x)))) END AS t
+        FROM low),
+    labelled AS (SELECT row_number() OVER () AS n, own, t FROM tokens WHERE own IS NOT NULL),
+    items AS (SELECT n, own, unnest(t) AS i FROM labelled),
+    sets AS (
+        SELECT i AS name, 1 AS size, own FROM items
+        UNION ALL SELECT a.i || ' ' || b.i, 2, a.own FROM items a JOIN items b ON a.n = b.n AND a.i < b.i),
+    counted AS (SELECT name, size, own, count(*) AS n, sum(count(*)) OVER (PARTITION BY name) AS all_n FROM sets GROUP BY name, size, own),
+    rules AS (
+        SELECT name, string_split(name, ' ') AS t, size, own AS verdict, n::DOUBLE / all_n::DOUBLE AS confidence, n AS support FROM counted
+        WHERE n >= ceil({url_rules.SUPPORT} * (SELECT count(*) FROM labelled)) AND n::DOUBLE / all_n::DOUBLE >= {url_rules.CONFIDENCE}),
+    others AS (SELECT DISTINCT url, t FROM tokens WHERE own IS NULL AND len(t) > 0),
+    best AS (
+        SELECT url, first(struct_pack(name := r.name, verdict := r.verdict)
+                          ORDER BY confidence DESC, support DESC, size, r.name, r.verdict) AS b
+        FROM others o JOIN rules r ON list_has_all(o.t, r.t) GROUP BY url)
+    SELECT page_id, host, path, rule, coalesce(own, b.verdict, '{url_rules.DEFAULT}') AS verdict,
+           CASE WHEN own IS NULL THEN b.name END AS mined_rule
+    FROM tokens LEFT JOIN best USING (url)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators that it can express."""
+    return {"op8_url_rules": URL_VERDICTS, "op9_minhash_bbit": NEAR_DUPLICATES}
