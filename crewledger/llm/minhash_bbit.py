@@ -23,6 +23,9 @@ BANDS, ROWS = 32, 6
 # deviation of 0.033; pairs estimated six of those below the limit are not looked at again.
 LANES, BITS = 128, 4
 SLACK = 6 * 0.033
+# Most members and shingles of a block, on average; a set larger than that is a block of its own size.
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 18
+CELL_COLUMNS = 4096
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -170,14 +173,74 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(keep, "u long, v long")
 
 
+def spanning_links(label: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs of positions that join all labels which any pair at the limit joins, fewer pairs than sets.
+
+    Shared shingles of all pairs are counted exactly, as products of 0/1 matrices of CELL_COLUMNS shingles.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    value, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = times[column] > 1
+    owner = np.repeat(np.arange(len(sets)), size)[common]
+    column = (np.cumsum(times > 1) - 1)[column[common]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = np.zeros((len(sets), len(sets)), np.int64)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, CELL_COLUMNS):
+        low, high = np.searchsorted(column, [first, first + CELL_COLUMNS])
+        has = np.zeros((len(sets), CELL_COLUMNS), np.float32)
+        has[owner[low:high], column[low:high] - first] = 1
+        shared += (has @ has.T).astype(np.int64)
+    linked = 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
+    same = label[:, None] == label[None, :]
+    seen, found = np.zeros(len(sets), bool), []
+    for root in range(len(sets)):
+        waiting = [] if seen[root] else [root]
+        seen[root] = True
+        while waiting:
+            x = waiting.pop()
+            reached = np.flatnonzero((linked[x] | same[x]) & ~seen)
+            seen[reached] = True
+            waiting.extend(reached.tolist())
+            found.extend((x, y) for y in reached.tolist() if not same[x, y])
+    return found
+
+
+def links_across(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that join the labels within each bucket of `members` (bucket, node, label, n).
+
+    A bucket is dealt into blocks of bounded size by a hash of the node, and every two blocks meet in a
+    cell, so no task holds more than two blocks of a bucket of any size. A cell returns fewer links than
+    it has members: those that connect what its links connect, confirmed on whole sets.
+    """
+    ids = members.select(F.col("node").alias("id")).distinct()
+    sets = set_bytes(docs.join(ids, "id", "left_semi")).groupBy("id").agg(F.first("shingles").alias("shingles"))
+    blocks = members.groupBy("bucket").agg(F.ceil(F.greatest(
+        F.count(F.lit(1)) / F.lit(BLOCK_ROWS), F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("k"))
+    cells = members.join(blocks, "bucket").withColumn("b", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).select(
+        "bucket", "node", "label", F.explode(F.expr(
+            "transform(sequence(0, k - 1), o -> struct(least(b, o) AS low, greatest(b, o) AS high))")).alias("cell"))
+    held = cells.select("bucket", "cell.low", "cell.high", "node", "label").join(sets, F.col("node") == sets.id).drop("id")
+
+    def find(cell: pa.Table) -> pa.Table:
+        node = cell.column("node").to_numpy()
+        found = spanning_links(
+            cell.column("label").to_numpy(), [np.frombuffer(x, np.uint64) for x in cell.column("shingles").to_pylist()], percent)
+        ends = node[np.array(found, np.int64).reshape(-1, 2)]
+        return pa.table({"u": ends.min(axis=1), "v": ends.max(axis=1)}, pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+
+    return held.groupBy("bucket", "low", "high").applyInArrow(find, "u long, v long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """(id, n_shingles, component_id) per row: component_id is the smallest id reachable over links.
 
     A link is a pair of texts with 100 * intersection >= percent * union. Rows with equal sets become one
     node first, so that copies never meet in pairs. Every bucket then links its members to its smallest
     one only; that settles a group of near copies of any size in one step, linear in its size. What is
-    left are buckets whose members did not end up in one component; there, and only there, members
-    of different components are compared, on 64 bytes each, inside the join that pairs them.
+    left are buckets whose members did not end up in one component. There a semi join on 64 bytes each
+    keeps the members that have a likely partner in another component, and `links_across` finds the
+    links between components on whole sets, block against block.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
     sketched = settled(sketches(docs, id_column, text))
@@ -219,12 +282,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
                         F.col("lanes").alias("u_lanes"), F.col("n_shingles").alias("u_n"))
     right = loose.select("bucket", F.col("node").alias("v"), F.col("label").alias("v_label"),
                          F.col("lanes").alias("v_lanes"), F.col("n_shingles").alias("v_n"))
-    across = left.join(
-        right,
-        (left.bucket == right.bucket) & (left.u_label < right.v_label) & F.expr(sizes) & (estimate("u_lanes", "v_lanes") >= limit),
-    ).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    across = settled(across.join(likely, ["u", "v"], "left_anti"))
-    more = links if across.isEmpty() else links.union(confirmed(across, node_rows, percent))
+    near = (left.bucket == right.bucket) & (left.u_label != right.v_label) & F.expr(sizes) & (
+        estimate("u_lanes", "v_lanes") >= limit)
+    partnered = settled(left.join(right, near, "left_semi").select(
+        "bucket", F.col("u").alias("node"), F.col("u_label").alias("label"), F.col("u_n").alias("n")))
+    more = links if partnered.isEmpty() else links.union(settled(links_across(partnered, node_rows, percent)))
 
     labels = components(more.union(copies))
     return sketched.join(labels, sketched.id == labels.node, "left").select(

@@ -112,6 +112,57 @@ def test_near_duplicates_against_all_pairs(docs, rows):
     assert collections.Counter(map(tuple, found.collect())) == wanted
 
 
+def near_group(count, base_words, most_edits, seed):
+    """Texts that differ from one base in up to `most_edits` words: alike, but often below the limit."""
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(base_words)]
+    texts = []
+    for _ in range(count):
+        words = list(base)
+        for place in rng.sample(range(base_words), rng.randint(0, most_edits)):
+            words[place] = f"x{rng.randint(0, 10**9)}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_near_duplicates_of_a_loose_group_in_many_blocks(spark, monkeypatch):
+    """Members between and above the limit, dealt into blocks of eight: the same components as all pairs."""
+    monkeypatch.setattr(minhash_bbit, "BLOCK_ROWS", 8)
+    texts = near_group(120, 150, 6, 11)
+    sets = [shingles(t) for t in texts]
+    label = reach([(a, b) for a, b in itertools.combinations(range(len(texts)), 2)
+                   if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])])
+    expected = {n: label.get(n, n) for n in range(len(texts))}
+    assert 1 < len(set(expected.values())) < len(texts)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {row["id"]: row["component_id"] for row in minhash_bbit.near_duplicates(frame).collect()}
+    assert found == expected
+
+
+def test_spanning_links_connect_what_all_links_connect():
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        n = int(rng.integers(2, 40))
+        base = rng.integers(0, 1 << 60, 60, dtype=np.uint64)
+        sets = []
+        for _ in range(n):
+            x = base.copy()
+            edits = int(rng.integers(0, 10))
+            x[rng.integers(0, 60, edits)] = rng.integers(0, 1 << 60, edits, dtype=np.uint64)
+            sets.append(np.unique(x))
+        label = rng.integers(0, max(1, n - 3), n)
+
+        def linked(a, b):
+            shared = len(np.intersect1d(a, b))
+            return 100 * shared >= 85 * (len(a) + len(b) - shared)
+
+        pairs = list(itertools.combinations(range(n), 2))
+        same = [(i, j) for i, j in pairs if label[i] == label[j]]
+        found = minhash_bbit.spanning_links(label, sets, 85)
+        assert len(found) < n and all(linked(sets[i], sets[j]) for i, j in found)
+        assert reach(same + found) == reach(same + [(i, j) for i, j in pairs if linked(sets[i], sets[j])])
+
+
 def test_near_duplicate_chain_in_one_bucket(spark):
     """Members of a bucket that its smallest one does not reach are linked to each other."""
     r = random.Random(1)
