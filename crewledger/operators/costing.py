@@ -7,11 +7,10 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crewledger.functions.dates import in_period
 from crewledger.functions.status import budget_status
 from crewledger.operators.filters import match_ids, whole_number
 from crewledger.operators.order import listing
-from crewledger.sources.tables import Tables, with_virtual
+from crewledger.sources.tables import Tables, in_stored_period, with_virtual
 
 
 def _jobs(tables: Tables, services: DataFrame, costs: DataFrame) -> DataFrame:
@@ -30,8 +29,7 @@ def job_costing(
     The totals come from one scalar subquery: partial sums in parallel, one row to the driver. A
     window over everything would move all rows to one task.
     """
-    condition = in_period(F.col("Service_Date"), whole_number(month), whole_number(year))
-    services = tables["Service"] if condition is None else tables["Service"].filter(condition)
+    services = in_stored_period(tables["Service"], "Service_Date", whole_number(month), whole_number(year))
     jobs = _jobs(tables, services, match_ids(tables["Job_Costing"], "Estimate_ID", estimate_id))
     # The totals need keys and amounts only: services and clients take part as lists of keys.
     known = services.select("Service_ID", "Client_ID").join(tables["Client"].select("Client_ID"), "Client_ID", "left_semi")

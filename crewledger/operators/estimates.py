@@ -7,13 +7,12 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crewledger.functions.dates import in_period
 from crewledger.functions.money import hourly_rate
 from crewledger.functions.text import label_or
 from crewledger.operators.filters import is_open, match_ids, whole_number
 from crewledger.operators.joins import lookup
 from crewledger.operators.order import listing
-from crewledger.sources.tables import Tables
+from crewledger.sources.tables import Tables, in_stored_period
 
 
 def _with_people(tables: Tables, estimates: DataFrame) -> DataFrame:
@@ -33,8 +32,7 @@ def estimate_employees(
 
     A filter on the employee leaves unassigned estimates out.
     """
-    condition = in_period(F.col("Estimate_Date"), whole_number(month), whole_number(year))
-    estimates = tables["Estimate"] if condition is None else tables["Estimate"].filter(condition)
+    estimates = in_stored_period(tables["Estimate"], "Estimate_Date", whole_number(month), whole_number(year))
     rows = match_ids(_with_people(tables, estimates), "Employee_ID", employee_id)
     return rows.select(
         "Estimate_ID", "Client_Name", "Property_Address", "Service_Description", "Estimated_Cost",

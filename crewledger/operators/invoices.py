@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from crewledger.functions.dates import as_of_date, days_after, in_period, month_name
+from crewledger.functions.dates import as_of_date, days_after, month_name
 from crewledger.functions.money import balance, or_zero
 from crewledger.functions.status import aging_bucket
 from crewledger.operators.filters import apply_filters, match_ids, whole_number
 from crewledger.operators.joins import lookup
 from crewledger.operators.order import listing
-from crewledger.sources.tables import Tables
+from crewledger.sources.tables import Tables, in_stored_period, in_stored_year
 
 OPEN_STATUSES = ["Unpaid", "Partial"]
 
@@ -72,8 +72,7 @@ def filter_invoices(invoices: DataFrame, client_id: Any = None, status: str | No
 
 
 def _in_month(rows: DataFrame, date: str, month: Any, year: Any) -> DataFrame:
-    condition = in_period(F.col(date), whole_number(month), whole_number(year))
-    return rows if condition is None else rows.filter(condition)
+    return in_stored_period(rows, date, whole_number(month), whole_number(year))
 
 
 @listing("-Invoice_Date", "Invoice_ID")
@@ -137,7 +136,7 @@ def vw_payments_this_month(tables: Tables, as_of: str | datetime.date | None = N
     """Payments dated in the month of `as_of`, newest first."""
     start = F.trunc(as_of_date(as_of), "month")
     paid = F.col("Payment_Date")
-    payments = tables["Payment"].filter((paid >= start) & (paid < F.add_months(start, 1))).select(
+    payments = in_stored_year(tables["Payment"], F.year(start)).filter((paid >= start) & (paid < F.add_months(start, 1))).select(
         "Payment_ID", "Contract_ID", "Invoice_ID", "Payment_Amount", "Payment_Method",
         "Payment_Date", "Payment_Status",
     )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crewledger.functions.dates import as_of_date, days_after
+from crewledger.functions.dates import as_of_date, days_after, in_period
 from crewledger.schemas import PRIMARY_KEYS, SCHEMAS, schema_of
 
 Tables = dict[str, DataFrame]
@@ -28,18 +28,43 @@ PARTITION_DATE = {
 STORED_YEAR = "Stored_Year"
 
 
-def read_table(spark: SparkSession, path: str, table: str, fmt: str = "parquet") -> DataFrame:
-    reader = spark.read.schema(schema_of(table))
+def read_table(
+    spark: SparkSession, path: str, table: str, fmt: str = "parquet", stored_years: bool = False
+) -> DataFrame:
+    """The declared columns of a table and, with `stored_years`, the year a large one is laid out by.
+
+    Reports of a period then list only the folders of its year (`in_stored_period`).
+    """
+    schema = schema_of(table)
+    if stored_years and table in PARTITION_DATE:
+        schema = T.StructType([*schema, T.StructField(STORED_YEAR, T.IntegerType())])
+    reader = spark.read.schema(schema)
     if fmt == "csv":
         reader = reader.option("header", True).option("mode", "FAILFAST")
-    return reader.format(fmt).load(f"{path.rstrip('/')}/{table}").select(schema_of(table).names)
+    return reader.format(fmt).load(f"{path.rstrip('/')}/{table}").select(schema.names)
 
 
 def load_tables(
-    spark: SparkSession, path: str, fmt: str = "parquet", names: Iterable[str] = SCHEMAS
+    spark: SparkSession, path: str, fmt: str = "parquet", names: Iterable[str] = SCHEMAS, stored_years: bool = False
 ) -> Tables:
     """All tables below one folder, each in a sub-folder of its own name."""
-    return {name: read_table(spark, path, name, fmt) for name in names}
+    return {name: read_table(spark, path, name, fmt, stored_years) for name in names}
+
+
+def in_stored_year(rows: DataFrame, year: Column) -> DataFrame:
+    """Rows that may be dated in `year`, by their folder; all of them where no folder is known."""
+    if STORED_YEAR not in rows.columns:
+        return rows
+    # Files outside a year's folder have no stored year. They stay for the filter on the date.
+    return rows.filter(F.coalesce(F.col(STORED_YEAR) == year, F.lit(True)))
+
+
+def in_stored_period(rows: DataFrame, date: str, month: int | None, year: int | None) -> DataFrame:
+    """Rows dated in a month and/or year, None being open; folders of other years are not listed."""
+    condition = in_period(F.col(date), month, year)
+    if condition is None:
+        return rows
+    return (rows if year is None else in_stored_year(rows, F.lit(year))).filter(condition)
 
 
 def jdbc_options(url: str, table: str, least: int, most: int, partitions: int) -> dict[str, str]:

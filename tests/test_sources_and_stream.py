@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import datetime
 import json
+import re
 from decimal import Decimal as D
 
 import pytest
 from pyspark.sql import functions as F
 
 from crewledger.functions import dates, status, text
+from crewledger.operators import costing, estimates, invoices
 from crewledger.operators.filters import apply_filters, equals
 from crewledger.operators.payments import apply_payments
 from crewledger.schemas import FOREIGN_KEYS, PRIMARY_KEYS, SCHEMAS, schema_of
@@ -43,6 +45,33 @@ def test_round_trip(spark, tables, tmp_path):
     assert f"PartitionFilters: [isnotnull({STORED_YEAR}" in plan
 
 
+def test_reports_of_a_period_list_its_year_only(spark, tables, tmp_path):
+    path = str(tmp_path)
+    for table, rows in tables.items():
+        append(rows, path, table)
+    stored = load_tables(spark, path, stored_years=True)
+    reports = {
+        "estimates": lambda t: estimates.estimate_employees(t, year=2024),
+        "invoices": lambda t: invoices.monthly_revenue(t, month=3, year=2024),
+        "costs": lambda t: costing.job_costing(t, year=2024),
+        "payments": lambda t: invoices.vw_payments_this_month(t, "2024-03-20"),
+    }
+    for name, report in reports.items():
+        pruned = report(stored)
+        assert sorted(map(str, pruned.collect())) == sorted(map(str, report(tables).collect())), name
+        plan = pruned._jdf.queryExecution().executedPlan().toString()
+        assert re.search(rf"PartitionFilters: \[coalesce\(\({STORED_YEAR}#\d+ = 2024\), true\)\]", plan), name
+    assert sorted(invoices.monthly_revenue(stored).columns) == sorted(invoices.monthly_revenue(tables).columns)
+
+
+def test_files_outside_year_folders_are_read(spark, tables, tmp_path):
+    tables["Invoice"].write.parquet(str(tmp_path / "Invoice"))
+    tables["Client"].write.parquet(str(tmp_path / "Client"))
+    stored = load_tables(spark, str(tmp_path), names=["Invoice", "Client"], stored_years=True)
+    found, wanted = (column(invoices.monthly_revenue(t, year=2024), "Invoice_ID") for t in (stored, tables))
+    assert found == wanted and found
+
+
 def test_csv_and_json(spark, tables, tmp_path):
     tables["Invoice"].write.option("header", True).csv(str(tmp_path / "Invoice"))
     rows = read_table(spark, str(tmp_path), "Invoice", "csv")
