@@ -232,6 +232,27 @@ def test_outliers_go_and_ordinary_text_stays(spark):
     assert ids == {n for n, *_ in clean}
 
 
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.2])
+def test_text_with_some_symbols_goes(spark, share):
+    """Junk that holds 5 to 20 symbols in 100 characters, where ordinary text has none."""
+    r = random.Random(6)
+    vocabulary = ["".join(r.choice("etaoinshr") for _ in range(r.randrange(2, 9))) for _ in range(500)]
+
+    def prose(n):
+        return " ".join(r.choice(vocabulary) for _ in range(n))
+
+    def junk():
+        chars = list(prose(150))
+        letters = [n for n, c in enumerate(chars) if c != " "]
+        for n in r.sample(letters, math.ceil(share * len(letters))):
+            chars[n] = r.choice("#*$%&|<>")
+        return "".join(chars)
+
+    clean = [(n, prose(r.randrange(40, 400)), "en", "s") for n in range(200)]
+    frame = spark.createDataFrame(clean + [(1000 + n, junk(), "en", "s") for n in range(20)], "doc_id long, text string, lang string, source string")
+    assert {row["doc_id"] for row in quality_mcd.kept(frame).select("doc_id").collect()} == {n for n, *_ in clean}
+
+
 def test_determinant_estimate_against_numpy(spark):
     """One group: the concentration steps with exact quantiles end near the distributed ones."""
     r = np.random.default_rng(1)
