@@ -25,8 +25,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of every group of near-duplicates."""
-    return minhash_bbit.deduplicated(docs)
+    """The first document of every group of near-duplicates at 80 percent."""
+    return minhash_bbit.deduplicated(docs, percent=80)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ is one shingle; a null id is never linked; rows that repeat an id are one node o
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,12 +19,13 @@ from crewledger.llm.frames import map_slices, segment_starts, settled
 from crewledger.llm.words import Words, encoded, mix, seeds, window_hashes, word_hashes
 
 WIDTH = 5
-# A pair at 0.85 shares none of 32 bands of 6 minima with probability (1 - 0.85^6)^32 = 2.6e-7.
-BANDS, ROWS = 32, 6
+# A pair at the limit shares no band with at most this probability: 0.85 takes 32 bands of 6 minima, as
+# (1 - 0.85^6)^32 = 2.6e-7, and 0.80 takes 39 bands of 5, as (1 - 0.80^5)^39 = 1.9e-7.
+MISSED, MOST_BANDS = 2.7e-7, 39
 # 128 minima keep 4 bits each, in 8 longs. At a similarity of 0.85 the corrected estimate has a standard
-# deviation of 0.033; pairs estimated six of those below the limit are not looked at again.
+# deviation of 0.033; pairs estimated this many of those below the limit are not looked at again.
 LANES, BITS = 128, 4
-SLACK = 6 * 0.033
+DEVIATIONS = 6
 # Most members and shingles of a block, on average; a set larger than that is a block of its own size.
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 18
 CELL_COLUMNS = 4096
@@ -56,6 +59,25 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return value, np.bincount(text, minlength=len(texts)).astype(np.int64)
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and minima a band for a limit: the longest bands of which MOST_BANDS are enough, else as many as it takes."""
+    alike = percent / 100
+    if not 0 < alike < 1:
+        raise ValueError(f"a limit from 1 to 99 percent is needed, not {percent}")
+    for rows in range(16, 0, -1):
+        bands = math.ceil(math.log(MISSED) / math.log1p(-(alike**rows)))
+        if bands <= MOST_BANDS:
+            break
+    return bands, rows
+
+
+def slack(percent: int) -> float:
+    """How far below the limit the estimate of a pair at the limit may come."""
+    chance = 1 / (1 << BITS)
+    equal = chance + (1 - chance) * percent / 100
+    return DEVIATIONS * math.ceil(1000 * math.sqrt(equal * (1 - equal) / LANES) / (1 - chance)) / 1000
+
+
 def signatures(value: np.ndarray, counts: np.ndarray, hashes: int) -> np.ndarray:
     """Minima of `hashes` seeded permutations for every non-empty set, one row per set."""
     starts = segment_starts(counts)[counts > 0]
@@ -68,14 +90,14 @@ def signatures(value: np.ndarray, counts: np.ndarray, hashes: int) -> np.ndarray
     return minima
 
 
-def band_hashes(minima: np.ndarray) -> np.ndarray:
+def band_hashes(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One 64-bit key per band, different between bands."""
-    out = np.zeros((len(minima), BANDS), np.uint64)
+    out = np.zeros((len(minima), bands), np.uint64)
     with np.errstate(over="ignore"):
-        for band, salt in enumerate(seeds(BANDS, 3)):
+        for band, salt in enumerate(seeds(bands, 3)):
             key = np.full(len(minima), salt, np.uint64)
-            for row in range(ROWS):
-                key = mix(key ^ minima[:, band * ROWS + row])
+            for row in range(rows):
+                key = mix(key ^ minima[:, band * rows + row])
             out[:, band] = key
     return out
 
@@ -100,12 +122,13 @@ SKETCH = T.StructType([
 ])
 
 
-def sketches(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def sketches(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """Per row: size and 128-bit print of its shingle set, band keys and packed low bits (null if empty)."""
+    bands, per_band = banding(percent)
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         value, counts = shingle_sets(encoded(batch.column("text")))
-        minima = signatures(value, counts, max(BANDS * ROWS, LANES))
+        minima = signatures(value, counts, max(bands * per_band, LANES))
         filled = counts > 0
         prints = np.zeros((2, len(counts)), np.uint64)
         if filled.any():
@@ -120,7 +143,7 @@ def sketches(docs: DataFrame, id_column: str = "doc_id", text: str = "text") ->
 
         return pa.RecordBatch.from_arrays(
             [batch.column("id").cast(pa.int64()), pa.array(counts), *[pa.array(p.view(np.int64)) for p in prints],
-             lists(band_hashes(minima)), lists(packed(minima))],
+             lists(band_hashes(minima, bands, per_band)), lists(packed(minima))],
             names=SKETCH.names,
         )
 
@@ -243,7 +266,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     links between components on whole sets, block against block.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
-    sketched = settled(sketches(docs, id_column, text))
+    sketched = settled(sketches(docs, id_column, text, percent))
     filled = sketched.filter("n_shingles > 0 and id is not null")
     prints = ["n_shingles", "print_a", "print_b"]
     nodes = settled(
@@ -259,7 +282,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     shared = keys.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("other")).filter("centre < other")
     members = settled(keys.join(shared.select("bucket", "centre"), "bucket"))
     stars = members.filter("centre < node").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
-    limit = percent / 100 - SLACK
+    limit = percent / 100 - slack(percent)
     lanes = nodes.select("node", "lanes", "n_shingles")
     side = {
         end: lanes.select(F.col("node").alias(end), F.col("lanes").alias(f"{end}_lanes"), F.col("n_shingles").alias(f"{end}_n"))
@@ -293,12 +316,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         "id", "n_shingles", F.coalesce("label", "id").alias("component_id"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents of `docs` that are the first of their component, with all columns.
+def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The documents of `docs` that are the first of their component at `percent`, with all columns.
 
     Rows without an id stay; of rows that repeat a kept id one stays.
     """
-    found = settled(near_duplicates(docs))
+    found = settled(near_duplicates(docs, percent=percent))
     dropped = found.filter("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
     kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
     repeated = found.filter("id is not null").groupBy(F.col("id").alias("doc_id")).count().filter("count > 1").select("doc_id")

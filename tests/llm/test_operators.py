@@ -190,6 +190,31 @@ def test_estimates_follow_similarity(spark):
         assert abs(frame.select(minhash_bbit.estimate("a", "b")).first()[0] - true) < 0.2
 
 
+def test_stage_drops_copies_between_eighty_and_eighty_five(spark):
+    """Pairs at about 0.82 go through the stage as one text, those at about 0.77 as two; op9 keeps both at 85."""
+    r = random.Random(8)
+    texts = []
+    for pair in range(60):
+        words = [f"w{r.randrange(10**9)}" for _ in range(104)]
+        # Of 100 shingles each, a changed end of n words leaves 100 - n: 91 / 109 = 0.83 and 87 / 113 = 0.77.
+        other = words[:-9] + [f"x{r.randrange(10**9)}" for _ in range(9)] if pair < 40 else words[:-13] + [f"x{r.randrange(10**9)}" for _ in range(13)]
+        texts += [" ".join(words), " ".join(other)]
+    alike = [len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) for a, b in zip(texts[::2], texts[1::2], strict=True)]
+    assert all(0.8 <= x < 0.85 for x in alike[:40]) and all(x < 0.8 for x in alike[40:])
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {row["doc_id"] for row in corpus_pipeline.near_dedup(spark, frame, FOLDER).collect()}
+    assert kept == set(range(120)) - set(range(1, 80, 2))
+    assert minhash_bbit.deduplicated(frame).count() == 120
+
+
+def test_bands_and_slack_follow_the_limit():
+    assert minhash_bbit.banding(85) == (32, 6) and abs(minhash_bbit.slack(85) - 6 * 0.033) < 1e-9
+    for percent in (50, 70, 80, 85, 90, 99):
+        bands, rows = minhash_bbit.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= 2.7e-7
+    assert minhash_bbit.slack(80) > minhash_bbit.slack(85) > minhash_bbit.slack(95)
+
+
 def test_deduplicated_keeps_one_of_each_group(docs, rows):
     found = minhash_bbit.deduplicated(docs)
     assert found.columns == docs.columns
