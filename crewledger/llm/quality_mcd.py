@@ -7,8 +7,9 @@ three quarters that are nearest, their mean and covariance. Steps run as grouped
 holds a third of all documents reaches the reducers as one partial sum per task.
 
 Defined cases: a null or blank text has no words and fails the base rules; null languages and sources
-are groups of their own; groups too small for an estimate are pooled by language, then all together, and what is
-still too small rejects nothing; repeated rows are judged alike.
+are groups of their own; a group too small for an estimate is judged by that of all documents of its language, and
+if these are too few by that of all documents; a table too small for any estimate rejects nothing; repeated rows are
+judged alike.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ SPAN = 8
 DIMENSIONS = 5
 # Share of a group that an estimate rests on, and steps taken towards it.
 CORE, STEPS = 0.75, 4
-# Groups with fewer usable documents are pooled.
+# Groups with fewer usable documents get no estimate of their own.
 LEAST_GROUP = 60
 # Least standard deviation of each transformed statistic: closer differences are no sign of bad quality.
 # Where no text has symbols, the third one rejects a text from about 4.4 symbols in 100 characters on.
@@ -170,12 +171,16 @@ def _key(column: str) -> Column:
 def estimates(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lang, source, unit) of all groups and the model of each unit, from rows (lang, source, x0..) of usable documents."""
     sizes = points.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    small = sizes.filter(f"n < {LEAST_GROUP}").groupBy("lang").agg(F.sum("n").alias("pooled"))
-    units = settled(sizes.join(small, "lang", "left").select(
-        "lang", "source",
-        F.when(F.col("n") >= LEAST_GROUP, F.concat_ws("/", "lang", "source"))
-        .when(F.col("pooled") >= LEAST_GROUP, F.col("lang")).otherwise(F.lit("all")).alias("unit")))
-    rows = settled(points.join(units, ["lang", "source"]).select("unit", *X))
+    langs = sizes.groupBy("lang").agg(F.sum("n").alias("lang_n"), F.min("n").alias("least_n"))
+    short = langs.agg(F.max(F.expr(f"lang_n < {LEAST_GROUP}")).alias("any_short"))
+    own = F.when(F.col("n") >= LEAST_GROUP, F.concat_ws("/", "lang", "source"))
+    whole = F.when(F.col("lang_n") >= LEAST_GROUP, F.col("lang"))
+    # A document counts for its own group, and for its language and the whole table if a small group falls back to them.
+    units = settled(sizes.join(langs, "lang").crossJoin(short).select(
+        "lang", "source", F.coalesce(own, whole, F.lit("all")).alias("unit"),
+        F.array_compact(F.array(own, F.when(F.col("least_n") < LEAST_GROUP, whole), F.when(F.col("any_short"), F.lit("all")))).alias("counted")))
+    rows = settled(points.join(units, ["lang", "source"]).select(F.explode("counted").alias("unit"), *X))
+    units = units.drop("counted")
     enough = rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(x, 0.5, 1000).alias(f"c{x}") for x in X]).filter(f"n >= {LEAST_GROUP}")
     spread = rows.join(enough, "unit").groupBy("unit").agg(
         F.array(*[F.max(f"c{x}") for x in X]).alias("centre"),

@@ -278,6 +278,23 @@ def test_text_with_some_symbols_goes(spark, share):
     assert {row["doc_id"] for row in quality_mcd.kept(frame).select("doc_id").collect()} == {n for n, *_ in clean}
 
 
+def test_small_groups_fall_back_to_their_language_then_to_all(spark):
+    """Twenty junk documents of a rare source, or of a rare language, beside large sources: all go, clean ones stay."""
+    r = random.Random(9)
+    vocabulary = ["".join(r.choice("etaoinshr") for _ in range(r.randrange(2, 9))) for _ in range(500)]
+
+    def prose(end=""):
+        return " ".join(r.choice(vocabulary) + end for _ in range(r.randrange(40, 400)))
+
+    clean = [(n, prose(), "en", f"s{n % 2}") for n in range(200)] + [(n, prose(), "en", "few") for n in range(200, 210)]
+    clean += [(n, prose(), "de", "few") for n in range(210, 220)]
+    bad = [(1000 + n, prose("%%#"), "en" if n < 20 else "fr", "rare") for n in range(40)]
+    frame = spark.createDataFrame(clean + bad, "doc_id long, text string, lang string, source string")
+    assert {row["doc_id"] for row in quality_mcd.kept(frame).select("doc_id").collect()} == {n for n, *_ in clean}
+    few = spark.createDataFrame(clean[:20] + bad[:20], frame.schema)
+    assert quality_mcd.kept(few).count() == 40
+
+
 def test_determinant_estimate_against_numpy(spark):
     """One group: the concentration steps with exact quantiles end near the distributed ones."""
     r = np.random.default_rng(1)
