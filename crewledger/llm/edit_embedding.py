@@ -8,7 +8,8 @@ written sequences. Band functions sample steps of the sequence; the least sample
 all blocks is one component of the fingerprint, of which eight bits are kept. Fingerprints are compared by the share
 of equal components, corrected for chance. Every step is sampled, every block counts: no text is cut short.
 
-Near documents are found by bands of components, and verified by their common blocks.
+Near documents are found by bands of components. `near_components` verifies them by their common blocks, as exact
+sets, and compares what a bucket leaves in several components block against block.
 
 Defined cases: a null text is the empty one; empty texts have a fingerprint of their own; equal texts have
 equal fingerprints; of rows that repeat an id the one with the smaller text hash comes first; a null id
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crewledger.llm import minhash_bbit
 from crewledger.llm.frames import SLICE_BYTES, map_slices, reach_package, segment_starts, settled
 from crewledger.llm.words import encoded, mix, seeds, window_hashes
 
@@ -35,6 +37,8 @@ CONTEXT, ENDS, LONGEST = 8, 32, 96
 STEPS = 3 * LONGEST
 COMPONENTS, SAMPLES, KEPT_BITS = 64, 8, 8
 BAND = 4
+# Documents are linked if they share this part of their distinct blocks.
+ALIKE = 70
 # Documents of one range of ids, which one task walks through in order.
 PER_RANGE = 4_000
 MOST_RANGES = 20_000
@@ -160,6 +164,46 @@ def near_documents(docs: DataFrame, least: float = 0.7, id_column: str = "doc_id
     return near.union(copies)
 
 
+def block_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 64-bit hashes of the blocks of all texts end to end, and how many each text has; 0 for an empty text."""
+    raw = [t.decode().encode("utf-32-le") for t in texts]
+    lengths = np.fromiter((len(r) // 4 for r in raw), np.int64, len(raw))
+    points = np.frombuffer(b"".join(raw), "<u4")
+    if not len(points):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    starts = segment_starts(lengths)
+    begin, size = block_ends(points, starts, lengths)
+    begin, size = begin[size > 0], size[size > 0]
+    order = np.argsort(begin)
+    begin, size = begin[order], size[order]
+    place = np.arange(len(points)) - np.repeat(begin, size)
+    with np.errstate(over="ignore"):
+        value = mix(np.add.reduceat(mix(points.astype(np.uint64) ^ seeds(LONGEST, 16)[place]), begin))
+    filled = np.flatnonzero(lengths > 0)
+    owner = filled[np.searchsorted(starts[filled], begin, "right") - 1]
+    order = np.lexsort((value, owner))
+    value, owner = value[order], owner[order]
+    first = np.ones(len(value), bool)
+    first[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+    return value[first], np.bincount(owner[first], minlength=len(texts)).astype(np.int64)
+
+
+def near_components(docs: DataFrame, percent: int = ALIKE, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, component_id) for every id: component_id is the smallest id reachable over links.
+
+    A link is a pair of documents that share a band and have 100 * common >= percent * all of their distinct blocks.
+    """
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = encoded(batch.column("text"))
+        value, counts = block_sets(texts)
+        return minhash_bbit.sketch(batch.column("id"), value, counts, components(texts)[counts > 0], COMPONENTS // BAND, BAND)
+
+    found = minhash_bbit.linked(map_slices(rows, "text", minhash_bbit.SKETCH, make), rows, percent, block_sets, COMPONENTS)
+    return found.filter("id is not null").select("id", "component_id").distinct()
+
+
 def ranges_of(ids: DataFrame) -> tuple[list[int], dict[int, int | None]]:
     """Upper bounds of id ranges of about PER_RANGE documents, and the smallest id of each range that is not empty."""
     reach_package(ids.sparkSession)

@@ -7,6 +7,7 @@ is one shingle; a null id is never linked; rows that repeat an id are one node o
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -71,11 +72,11 @@ def banding(percent: int) -> tuple[int, int]:
     return bands, rows
 
 
-def slack(percent: int) -> float:
+def slack(percent: int, lanes: int = LANES) -> float:
     """How far below the limit the estimate of a pair at the limit may come."""
     chance = 1 / (1 << BITS)
     equal = chance + (1 - chance) * percent / 100
-    return DEVIATIONS * math.ceil(1000 * math.sqrt(equal * (1 - equal) / LANES) / (1 - chance)) / 1000
+    return DEVIATIONS * math.ceil(1000 * math.sqrt(equal * (1 - equal) / lanes) / (1 - chance)) / 1000
 
 
 def signatures(value: np.ndarray, counts: np.ndarray, hashes: int) -> np.ndarray:
@@ -106,7 +107,7 @@ def packed(minima: np.ndarray) -> np.ndarray:
     """The low bits of the first LANES minima, 16 lanes to a 64-bit number."""
     low = mix(minima[:, :LANES]) & np.uint64((1 << BITS) - 1)
     per = 64 // BITS
-    out = np.zeros((len(minima), LANES // per), np.uint64)
+    out = np.zeros((len(minima), low.shape[1] // per), np.uint64)
     for lane in range(per):
         out |= low[:, lane::per] << np.uint64(BITS * lane)
     return out
@@ -122,36 +123,40 @@ SKETCH = T.StructType([
 ])
 
 
+def sketch(ids: pa.Array, value: np.ndarray, counts: np.ndarray, minima: np.ndarray, bands: int, rows: int) -> pa.RecordBatch:
+    """The columns of SKETCH for sets laid end to end, from the minima of those that are not empty."""
+    filled = counts > 0
+    prints = np.zeros((2, len(counts)), np.uint64)
+    if filled.any():
+        starts = segment_starts(counts)[filled]
+        with np.errstate(over="ignore"):
+            for k, salt in enumerate(seeds(2, 4)):
+                prints[k, filled] = np.add.reduceat(mix(value ^ salt), starts)
+
+    def lists(found: np.ndarray) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum(np.where(filled, found.shape[1], 0))]).astype(np.int32)
+        return pa.ListArray.from_arrays(ends, pa.array(found.ravel().view(np.int64)))
+
+    return pa.RecordBatch.from_arrays(
+        [ids.cast(pa.int64()), pa.array(counts), *[pa.array(p.view(np.int64)) for p in prints],
+         lists(band_hashes(minima, bands, rows)), lists(packed(minima))],
+        names=SKETCH.names,
+    )
+
+
 def sketches(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """Per row: size and 128-bit print of its shingle set, band keys and packed low bits (null if empty)."""
     bands, per_band = banding(percent)
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         value, counts = shingle_sets(encoded(batch.column("text")))
-        minima = signatures(value, counts, max(bands * per_band, LANES))
-        filled = counts > 0
-        prints = np.zeros((2, len(counts)), np.uint64)
-        if filled.any():
-            starts = segment_starts(counts)[filled]
-            with np.errstate(over="ignore"):
-                for k, salt in enumerate(seeds(2, 4)):
-                    prints[k, filled] = np.add.reduceat(mix(value ^ salt), starts)
-
-        def lists(rows: np.ndarray) -> pa.Array:
-            ends = np.concatenate([[0], np.cumsum(np.where(filled, rows.shape[1], 0))]).astype(np.int32)
-            return pa.ListArray.from_arrays(ends, pa.array(rows.ravel().view(np.int64)))
-
-        return pa.RecordBatch.from_arrays(
-            [batch.column("id").cast(pa.int64()), pa.array(counts), *[pa.array(p.view(np.int64)) for p in prints],
-             lists(band_hashes(minima, bands, per_band)), lists(packed(minima))],
-            names=SKETCH.names,
-        )
+        return sketch(batch.column("id"), value, counts, signatures(value, counts, max(bands * per_band, LANES)), bands, per_band)
 
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
     return map_slices(rows, "text", SKETCH, make)
 
 
-def estimate(a: str, b: str) -> Column:
+def estimate(a: str, b: str, lanes: int = LANES) -> Column:
     """Similarity from two arrays of packed lanes, corrected for lanes that are equal by chance."""
     ones = "1229782938247303441"  # 0x1111111111111111: one bit per lane of four
     differ = (
@@ -159,14 +164,17 @@ def estimate(a: str, b: str) -> Column:
         f"bit_count((z | shiftright(z, 1) | shiftright(z, 2) | shiftright(z, 3)) & {ones}L))"
     )
     chance = 1 / (1 << BITS)
-    return (1 - F.expr(differ) / F.lit(float(LANES)) - chance) / (1 - chance)
+    return (1 - F.expr(differ) / F.lit(float(lanes)) - chance) / (1 - chance)
+
+
+Sets = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
 
-def set_bytes(docs: DataFrame) -> DataFrame:
+def set_bytes(docs: DataFrame, sets_of: Sets) -> DataFrame:
     """(id, shingles) with the sorted 64-bit set of each text as bytes."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        value, counts = shingle_sets(encoded(batch.column("text")))
+        value, counts = sets_of(encoded(batch.column("text")))
         ends = np.concatenate([[0], np.cumsum(counts)]) * 8
         raw = pa.Array.from_buffers(
             pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(value.tobytes())]
@@ -176,10 +184,10 @@ def set_bytes(docs: DataFrame) -> DataFrame:
     return map_slices(docs, "text", "id long, shingles binary", make)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, sets_of: Sets = shingle_sets) -> DataFrame:
     """The pairs (u, v) whose whole shingle sets have 100 * intersection >= percent * union."""
     ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    sets = settled(set_bytes(docs.join(ids, "id", "left_semi")).groupBy("id").agg(F.first("shingles").alias("shingles")))
+    sets = settled(set_bytes(docs.join(ids, "id", "left_semi"), sets_of).groupBy("id").agg(F.first("shingles").alias("shingles")))
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(
         sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v"
     )
@@ -229,7 +237,7 @@ def spanning_links(label: np.ndarray, sets: list[np.ndarray], percent: int) -> l
     return found
 
 
-def links_across(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def links_across(members: DataFrame, docs: DataFrame, percent: int, sets_of: Sets = shingle_sets) -> DataFrame:
     """Links (u, v) that join the labels within each bucket of `members` (bucket, node, label, n).
 
     A bucket is dealt into blocks of bounded size by a hash of the node, and every two blocks meet in a
@@ -237,7 +245,7 @@ def links_across(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame
     it has members: those that connect what its links connect, confirmed on whole sets.
     """
     ids = members.select(F.col("node").alias("id")).distinct()
-    sets = set_bytes(docs.join(ids, "id", "left_semi")).groupBy("id").agg(F.first("shingles").alias("shingles"))
+    sets = set_bytes(docs.join(ids, "id", "left_semi"), sets_of).groupBy("id").agg(F.first("shingles").alias("shingles"))
     blocks = members.groupBy("bucket").agg(F.ceil(F.greatest(
         F.count(F.lit(1)) / F.lit(BLOCK_ROWS), F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("k"))
     cells = members.join(blocks, "bucket").withColumn("b", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).select(
@@ -266,7 +274,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     links between components on whole sets, block against block.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
-    sketched = settled(sketches(docs, id_column, text, percent))
+    return linked(sketches(docs, id_column, text, percent), rows, percent)
+
+
+def linked(sketched: DataFrame, rows: DataFrame, percent: int, sets_of: Sets = shingle_sets, n_lanes: int = LANES) -> DataFrame:
+    """`near_duplicates` of `rows` (id, text) by their SKETCH rows, whose sets are those of `sets_of`."""
+    sketched = settled(sketched)
     filled = sketched.filter("n_shingles > 0 and id is not null")
     prints = ["n_shingles", "print_a", "print_b"]
     nodes = settled(
@@ -282,7 +295,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     shared = keys.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("other")).filter("centre < other")
     members = settled(keys.join(shared.select("bucket", "centre"), "bucket"))
     stars = members.filter("centre < node").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
-    limit = percent / 100 - slack(percent)
+    limit = percent / 100 - slack(percent, n_lanes)
     lanes = nodes.select("node", "lanes", "n_shingles")
     side = {
         end: lanes.select(F.col("node").alias(end), F.col("lanes").alias(f"{end}_lanes"), F.col("n_shingles").alias(f"{end}_n"))
@@ -290,8 +303,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     }
     sizes = f"100 * least(u_n, v_n) >= {percent} * greatest(u_n, v_n)"  # else no overlap can be large enough
     likely = stars.join(side["u"], "u").join(side["v"], "v").filter(sizes).filter(
-        estimate("u_lanes", "v_lanes") >= limit).select("u", "v")
-    links = settled(confirmed(settled(likely), node_rows, percent))
+        estimate("u_lanes", "v_lanes", n_lanes) >= limit).select("u", "v")
+    links = settled(confirmed(settled(likely), node_rows, percent, sets_of))
 
     # Buckets that these links leave in several components.
     first = components(links)
@@ -306,10 +319,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     right = loose.select("bucket", F.col("node").alias("v"), F.col("label").alias("v_label"),
                          F.col("lanes").alias("v_lanes"), F.col("n_shingles").alias("v_n"))
     near = (left.bucket == right.bucket) & (left.u_label != right.v_label) & F.expr(sizes) & (
-        estimate("u_lanes", "v_lanes") >= limit)
+        estimate("u_lanes", "v_lanes", n_lanes) >= limit)
     partnered = settled(left.join(right, near, "left_semi").select(
         "bucket", F.col("u").alias("node"), F.col("u_label").alias("label"), F.col("u_n").alias("n")))
-    more = links if partnered.isEmpty() else links.union(settled(links_across(partnered, node_rows, percent)))
+    more = links if partnered.isEmpty() else links.union(settled(links_across(partnered, node_rows, percent, sets_of)))
 
     labels = components(more.union(copies))
     return sketched.join(labels, sketched.id == labels.node, "left").select(

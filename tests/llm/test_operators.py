@@ -692,6 +692,33 @@ def test_near_documents_by_bands(docs):
     assert all(not (u < 160 and v < 160) for u, v in pairs)
 
 
+def plain_blocks(text):
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    begin, size = edit_embedding.block_ends(points, np.array([0]), np.array([len(points)]))
+    return {text[b : b + n] for b, n in zip(begin, size, strict=True) if n}
+
+
+def test_linked_documents_against_all_pairs(spark, rows, tmp_path):
+    """The query's components are those of all pairs with 70 percent common blocks, also in groups that a star leaves apart."""
+    r = random.Random(12)
+    texts = [row[:2] for row in rows if row[0] is not None]
+    for group in range(6):
+        base = [f"w{r.randrange(10**6)}" for _ in range(900)]
+        for n in range(12):
+            words = list(base)
+            for place in r.sample(range(900), r.randrange(0, 40)):
+                words[place] = f"x{r.randrange(10**6)}"
+            texts.append((1000 + 100 * group + n, " ".join(words)))
+    sets = [(n, plain_blocks(t or "")) for n, t in texts]
+    edges = [(a, b) for (a, x), (b, y) in itertools.combinations(sets, 2) if x and y and 100 * len(x & y) >= 70 * len(x | y)]
+    label = reach(edges)
+    spark.createDataFrame([*texts, (None, "no id")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.op10_edit_embedding(spark, str(tmp_path)).collect()
+    assert len(found) == len(texts) + 1
+    assert {x["doc_id"]: x["component_id"] for x in found} == {n: label.get(n, n) for n, _ in sets} | {None: None}
+    assert 1 < len({label.get(n, n) for n, _ in texts if n >= 1000}) < 72
+
+
 # ── empty tables, pipeline ───────────────────────────────────────────────────────────────────
 
 
