@@ -7,6 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from crewledger.session import use_checkpoints
 
 
 def sort_key(name: str) -> Column:
@@ -31,3 +34,30 @@ def listing(*keys: str) -> Callable[[Callable[..., DataFrame]], Callable[..., Da
         return sorted_listing
 
     return decorate
+
+
+# Rows of a task are numbered in the low bits of Spark's own numbers, the task in the bits above.
+ROW_BITS = 33
+
+
+def with_positions(rows: DataFrame, *order: Column, name: str = "Position") -> DataFrame:
+    """The rows with their position in an order over all of them, from 1.
+
+    No task gets more than its range of the order: the rows are sorted by ranges and numbered within
+    each, and the ranges' sizes, one row a task, give the places before it. The sorted rows are kept in
+    the checkpoint folder, as ranges sampled anew would not be the same. Rows equal in the whole order get
+    positions of their own, in any order; end it with a primary key. A row's position counts all rows,
+    so filter afterwards to keep a rank among all, before to rank what is shown.
+    """
+    use_checkpoints(rows.sparkSession)
+    taken = {c.lower() for c in rows.columns}
+    at = next(n for n in ("_at", "_sorted_at", "__sorted_at") if n not in taken)
+    placed = rows.orderBy(*order).withColumn(at, F.monotonically_increasing_id()).checkpoint()
+    task = F.shiftrightunsigned(at, ROW_BITS)
+    sizes = placed.groupBy(task.alias("_task")).agg(F.count(F.lit(1)).alias("_size"))
+    # One row for every task that sorted: small enough for a window and a broadcast.
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col("_task"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    own = F.col(at).bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    position = (F.col("_before") + own + 1).alias(name)
+    return placed.join(F.broadcast(offsets), task == F.col("_task")).select(*[placed[c] for c in rows.columns], position)
