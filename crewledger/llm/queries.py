@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crewledger.llm import (
-    edit_embedding, external_shuffle, language_em, minhash_bbit, pack_reduction, pii_boost, quality_mcd, separator_scan, tokens, tree_bpe,
+    conversation_trie, edit_embedding, external_shuffle, language_em, minhash_bbit, pack_reduction, pii_boost, quality_mcd, separator_scan, tokens, tree_bpe,
     url_rules,
 )
 from crewledger.session import use_checkpoints
@@ -94,6 +94,11 @@ def op10_edit_embedding(spark: SparkSession, folder: str) -> DataFrame:
     return found.join(linked, found.doc_id == linked.id, "left").select(*found.columns, "component_id")
 
 
+def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return conversation_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     return {name: run for name, run in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -161,7 +166,39 @@ URL_VERDICTS = rf"""
            CASE WHEN own IS NULL THEN b.name END AS mined_rule
     FROM tokens LEFT JOIN best USING (url)"""
 
+# A checksum over the digits of an id, from a table that the polynomial gives.
+CONVERSATION_TRIE = """
+    WITH RECURSIVE crc AS (
+        SELECT list(list_reduce(list_concat([n], range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))) ORDER BY n) AS t
+        FROM (SELECT unnest(range(256)) AS n)),
+    turns AS (
+        SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+        FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (SELECT c, list(struct_pack(r := r, x := x) ORDER BY p) AS ts, CAST(c AS VARCHAR) AS digits FROM turns GROUP BY c),
+    borrowing AS (
+        SELECT c, ts, xor(list_reduce(list_concat([4294967295], list_transform(range(length(digits)), lambda i: CAST(ascii(digits[i + 1]) AS BIGINT))),
+                                      lambda x, b: xor(x >> 8, t[1 + (xor(x, b) & 255)])), 4294967295) % 6 AS h FROM own, crc),
+    convs AS (
+        SELECT b.c, list_concat(CASE WHEN o.c IS NULL THEN [] ELSE o.ts[1 : b.h] END, b.ts[b.h + 1 :]) AS k
+        FROM borrowing b LEFT JOIN own o ON o.c = b.c - b.c % 100),
+    members AS (SELECT c, k, unnest(generate_series(0, len(k))) AS d FROM convs),
+    nodes AS (
+        SELECT k[1 : d] AS k, d, min(c) AS c, count(*) AS n,
+               sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE len(k) = d), '')) AS ends
+        FROM members GROUP BY k[1 : d], d),
+    kids AS (SELECT k[1 : d - 1] AS k, count(*) AS m FROM nodes WHERE d > 0 GROUP BY k[1 : d - 1]),
+    valued AS (
+        SELECT n.k, d, CASE WHEN m IS NULL THEN 1 ELSE 0 END AS leaf, CASE WHEN d = 0 THEN 0 ELSE (n - 1) * length(n.k[d].x) END AS saved
+        FROM nodes n LEFT JOIN kids USING (k)),
+    sums AS (
+        SELECT k[1 : e] AS k, CAST(sum(leaf) AS BIGINT) AS leaves, CAST(sum(saved) AS BIGINT) AS saved
+        FROM (SELECT *, unnest(generate_series(0, d)) AS e FROM valued) GROUP BY k[1 : e])
+    SELECT n.c AS conv_id, n.d AS depth, p.c AS parent_conv_id, n.n AS n_convs, coalesce(m, 0) AS n_children, leaves AS n_leaves,
+           saved AS saved_tokens, n.ends AS ends_sha256
+    FROM nodes n JOIN sums USING (k) LEFT JOIN kids USING (k) LEFT JOIN nodes p ON n.d > 0 AND p.k = n.k[1 : n.d - 1]"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that it can express."""
-    return {"op8_url_rules": URL_VERDICTS, "op9_minhash_bbit": NEAR_DUPLICATES}
+    return {"op8_url_rules": URL_VERDICTS, "op9_minhash_bbit": NEAR_DUPLICATES, "op13_conversation_trie": CONVERSATION_TRIE}
