@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crewledger.llm import (
-    conversation_trie, edit_embedding, external_shuffle, language_em, minhash_bbit, pack_reduction, pii_boost, quality_mcd, separator_scan, tokens, tree_bpe,
+    collocations, conversation_trie, edit_embedding, external_shuffle, language_em, minhash_bbit, pack_reduction, pii_boost, quality_mcd, separator_scan, tokens, tree_bpe,
     url_rules,
 )
 from crewledger.session import use_checkpoints
@@ -94,6 +94,11 @@ def op10_edit_embedding(spark: SparkSession, folder: str) -> DataFrame:
     return found.join(linked, found.doc_id == linked.id, "left").select(*found.columns, "component_id")
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The best phrases of two to four words of every language."""
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
     """Every node of the prefix trie of the rebuilt conversations."""
     return conversation_trie.prefix_trie(table(spark, folder, "conversations"))
@@ -199,6 +204,33 @@ CONVERSATION_TRIE = """
     FROM nodes n JOIN sums USING (k) LEFT JOIN kids USING (k) LEFT JOIN nodes p ON n.d > 0 AND p.k = n.k[1 : n.d - 1]"""
 
 
+COLLOCATIONS = rf"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang,
+               unnest(regexp_split_to_array(translate(text, '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    found AS (
+        SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f
+        FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM lists, (VALUES (1), (2), (3), (4)) AS s(k) WHERE len(w) >= k)
+        GROUP BY ALL),
+    totals AS (SELECT lang, sum(f) AS n FROM found WHERE k = 1 GROUP BY lang),
+    candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM found WHERE k > 1 AND f >= 30),
+    cuts AS (
+        SELECT c.lang, c.phrase, a, cut, h.f AS l, t.f AS r, CAST(2000000 * CAST(a AS HUGEINT) // (h.f + t.f) AS BIGINT) AS score
+        FROM (SELECT *, unnest(generate_series(1, k - 1)) AS cut FROM candidates) c
+        JOIN found h ON h.lang = c.lang AND h.phrase = array_to_string(w[: cut], ' ')
+        JOIN found t ON t.lang = c.lang AND t.phrase = array_to_string(w[cut + 1 :], ' ')),
+    lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+    free AS (
+        SELECT * FROM lowest s WHERE NOT EXISTS (
+            SELECT 1 FROM (SELECT lang, k, a, array_to_string(w[i : i + m - 1], ' ') AS phrase
+                           FROM (SELECT *, unnest(generate_series(1, k - m + 1)) AS i FROM candidates, (VALUES (2), (3)) AS s(m) WHERE m < k)) g
+            WHERE g.lang = s.lang AND g.phrase = s.phrase AND 100 * g.a >= 80 * s.a))
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+    FROM free JOIN totals USING (lang) QUALIFY rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that it can express."""
-    return {"op8_url_rules": URL_VERDICTS, "op9_minhash_bbit": NEAR_DUPLICATES, "op13_conversation_trie": CONVERSATION_TRIE}
+    return {"op8_url_rules": URL_VERDICTS, "op9_minhash_bbit": NEAR_DUPLICATES, "op12_collocations": COLLOCATIONS,
+            "op13_conversation_trie": CONVERSATION_TRIE}
