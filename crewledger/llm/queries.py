@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crewledger.llm import (
-    collocations, conversation_trie, edit_embedding, external_shuffle, language_em, minhash_bbit, pack_reduction, pii_boost, quality_mcd, separator_scan, tokens, tree_bpe,
-    url_rules,
+    collocations, conversation_trie, edit_embedding, external_shuffle, language_em, minhash_bbit, pack_reduction, pii_boost, quality_mcd, separator_scan, tokens, toxicity_lexicon,
+    tree_bpe, url_rules,
 )
 from crewledger.session import use_checkpoints
 
@@ -94,6 +94,14 @@ def op10_edit_embedding(spark: SparkSession, folder: str) -> DataFrame:
     return found.join(linked, found.doc_id == linked.id, "left").select(*found.columns, "component_id")
 
 
+def op11_toxicity_lexicon(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    lexicon = toxicity_lexicon.learned(docs, table(spark, folder, "labels"))
+    return toxicity_lexicon.scored(docs, lexicon).select(
+        "doc_id", toxicity_lexicon.held_out().alias("held_out"), "score", F.expr("cast(score >= 0.5 as int)").alias("predicted"))
+
+
 def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
     """The best phrases of two to four words of every language."""
     return collocations.collocations(table(spark, folder, "documents"))
