@@ -19,6 +19,7 @@ from crewledger.session import shared_folder
 from crewledger.sources.tables import (
     STORED_YEAR, append, jdbc_options, load_tables, read_table, scan_years, with_virtual, write_json,
 )
+from crewledger.streaming import payments as payment_stream
 from crewledger.streaming.payments import current_balances, payment_log_writer, read_log
 from tests.fixture import as_dicts, column
 
@@ -124,13 +125,51 @@ def test_stream_equals_batch_through_replays_and_restarts(spark, tables, tmp_pat
     assert balances(current_balances(tables["Invoice"], stored)) == expected
 
 
-def test_lost_checkpoint_is_caught_when_balances_are_read(spark, tables, tmp_path):
+def test_lost_checkpoint_stores_nothing_twice(spark, tables, tmp_path):
+    """Everything is sent again under a new checkpoint, whose batches have the old numbers and other rows."""
     source, log = str(tmp_path / "in"), str(tmp_path / "log")
-    tables["Payment"].coalesce(1).write.parquet(source)
+    for _, rows in sorted(((n, tables["Payment"].filter(F.col("Payment_ID") % 2 == n)) for n in (0, 1)), key=lambda x: x[0]):
+        rows.coalesce(1).write.mode("append").parquet(source)
     run_stream(spark, source, log, str(tmp_path / "one"))
-    doubled = read_log(spark, log).unionByName(read_log(spark, log))
-    expected = balances(apply_payments(tables["Invoice"], tables["Payment"]))
-    assert balances(current_balances(tables["Invoice"], doubled, distinct_ids=False)) == expected
+    tables["Payment"].withColumn("Payment_ID", F.col("Payment_ID") + 100).coalesce(1).write.mode("append").parquet(source)
+    run_stream(spark, source, log, str(tmp_path / "two"))
+    sent = tables["Payment"].unionByName(tables["Payment"].withColumn("Payment_ID", F.col("Payment_ID") + 100))
+    assert sorted(column(read_log(spark, log), "Payment_ID")) == sorted(column(sent, "Payment_ID"))
+    assert balances(current_balances(tables["Invoice"], read_log(spark, log))) == balances(apply_payments(tables["Invoice"], sent))
+
+
+def test_batch_broken_off_halfway_is_replaced(spark, tables, tmp_path):
+    """A batch whose first attempt wrote one of its two ranges and a wrong row."""
+    log = str(tmp_path / "log")
+    rows = tables["Payment"].withColumn("Payment_ID", F.col("Payment_ID") * 700_000)
+    payment_stream.open_log(spark, log)
+    payment_stream.append_payments(rows.filter("Payment_ID < 1000000").withColumn("Payment_Amount", F.col("Payment_Amount") + 1), log, "a-7")
+    payment_stream.append_payments(rows, log, "a-7")
+    payment_stream.append_payments(rows, log, "a-7")
+    payment_stream.append_payments(rows, log, "a-8")
+    assert sorted(map(tuple, read_log(spark, log).collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_payments_without_an_id_are_left_out(spark, tables, tmp_path):
+    log = str(tmp_path / "log")
+    payment_stream.open_log(spark, log)
+    payment_stream.append_payments(tables["Payment"].withColumn("Payment_ID", F.lit(None).cast("long")), log, "a-0")
+    assert read_log(spark, log).count() == 0
+
+
+def test_batch_reads_its_ranges_only(spark, tables, tmp_path):
+    log = str(tmp_path / "log")
+    payment_stream.open_log(spark, log)
+    rows = tables["Payment"].crossJoin(spark.range(5).select(F.col("id").alias("n"))).withColumn(
+        "Payment_ID", F.col("Payment_ID") + F.col("n") * 1_000_000).drop("n")
+    payment_stream.append_payments(rows, log, "a-0")
+    assert payment_stream.touched_ranges(rows.withColumn("Id_Range", payment_stream.id_range())) == [0, 1, 2, 3, 4]
+    known = payment_stream.known_ids(spark, log, [1, 3], "a-1")
+    assert {r["Payment_ID"] // 1_000_000 for r in known.collect()} == {1, 3}
+    plan = known._jdf.queryExecution().executedPlan()
+    assert re.search(r"PartitionFilters: \[[^\]]*Id_Range#\d+L IN \(1,3\)", plan.toString())
+    files = {r[0] for r in known.select(F.input_file_name()).distinct().collect()}
+    assert files and all(re.search("Id_Range=[13]/", f) for f in files)
 
 
 def test_shared_folder_is_the_clusters(spark):
