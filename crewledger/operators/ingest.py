@@ -8,67 +8,109 @@ fields count as NULL. Nothing is written here; see `sources.tables.append`.
 from __future__ import annotations
 
 import datetime
-from typing import NamedTuple
+import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from crewledger.functions.dates import as_of_date, default_due_date
 from crewledger.functions.status import budget_status, new_invoice_status
 from crewledger.functions.text import blank_to_null
+from crewledger.operators.order import numbered
 from crewledger.operators.quality import (
-    REASON, Rule, flag, flag_unknown_parent, length_rules, number_rules, required_rules, split, value_rules,
+    REASON, Checked, Rule, flag, flag_unknown_keys, length_rules, number_rules, required_rules, split, value_rules,
 )
 from crewledger.schemas import PRIMARY_KEYS, SCHEMAS, references_of, schema_of
 from crewledger.session import use_checkpoints
-from crewledger.sources.tables import Tables
+from crewledger.sources.tables import SUBMISSION, SUBMITTED, Tables, append, stored_submissions, without_stored
 
-SUBMISSION = "submission_id"
-MOST_BUCKETS = 65_536
+Rows = dict[str, DataFrame]
 
 
-class Ingested(NamedTuple):
-    rows: dict[str, DataFrame]
-    rejects: DataFrame
+class Ingested:
+    """What a batch becomes: the rows to append per table, and the rejects with a reason.
+
+    `rejects` alone are lazy. The first use of `rows` evaluates the checked batch once, into the cluster's checkpoint
+    folder; rows of all tables and the rejects are then read from there.
+    """
+
+    def __init__(self, flagged: DataFrame, build: Callable[[DataFrame, Starts], Rows], keyed: Tables | None = None) -> None:
+        self._flagged, self._build, self._keyed = flagged, build, keyed or {}
+
+    @functools.cached_property
+    def _checked(self) -> Checked:
+        use_checkpoints(self._flagged.sparkSession)
+        self._flagged = self._flagged.checkpoint()
+        return split(self._flagged)
+
+    @functools.cached_property
+    def rows(self) -> Rows:
+        return self._build(self._checked.accepted, self._keyed)
+
+    @property
+    def rejects(self) -> DataFrame:
+        return split(self._flagged).rejects.select(SUBMISSION, REASON)
 
     def settled(self) -> Ingested:
-        """The same rows computed once into the cluster's checkpoint folder.
+        """The same with the greatest ids in use looked up now.
 
         Take this before writing more than one of the tables: ids then do not depend on what has
-        been written in between, and the checks do not run again for every table.
+        been written in between.
         """
-        use_checkpoints(self.rejects.sparkSession)
-        rows = {table: df.checkpoint() for table, df in self.rows.items()}
-        return Ingested(rows, self.rejects.checkpoint())
+        greatest = {table: _greatest(rows).first()[0] for table, rows in self._keyed.items()}
+        fixed = Ingested(self._flagged, self._build, greatest)
+        fixed._checked = self._checked
+        fixed._flagged = self._flagged
+        return fixed
 
 
-def assign_ids(
-    df: DataFrame, id_column: str, existing: DataFrame | int, order_by: str = SUBMISSION, buckets: int = 512
-) -> DataFrame:
-    """Consecutive ids after the greatest existing one, without sorting all rows in one task.
+def _greatest(table: DataFrame) -> DataFrame:
+    return table.agg(F.coalesce(F.max(table.columns[0]), F.lit(0)).cast("bigint"))
+
+
+Starts = dict[str, "DataFrame | int"]
+
 
-    Rows fall into hash buckets of their unique `order_by` value, which spreads them evenly. A
-    bucket starts where the sizes of the buckets before it end. All of it depends on the data
-    alone, so a recomputed task gives its rows the same ids again. `existing` is the table the
-    rows will join (keyed by its first column) or its greatest id.
+def assign_ids(df: DataFrame, id_column: str, existing: DataFrame | int, checkpointed: bool = False) -> DataFrame:
+    """Consecutive ids after the greatest existing one, without moving or sorting a row.
+
+    Rows are numbered where they lie in a checkpoint, so a recomputed task gives them the same ids again. `existing`
+    is the table the rows will join (keyed by its first column) or its greatest id. Rows that come straight from a
+    checkpoint by narrow steps (`checkpointed`) are not written once more.
+    """
+    if not checkpointed:
+        use_checkpoints(df.sparkSession)
+        df = df.checkpoint()
+    start = _greatest(existing).scalar() if isinstance(existing, DataFrame) else F.lit(existing).cast("bigint")
+    return numbered(df, "_number").withColumn(id_column, start + F.col("_number")).drop("_number")
+
+
+def ingest_once(
+    operator: Callable[..., Ingested], submissions: DataFrame, tables: Tables, path: str, last_table: str, **options
+) -> Ingested:
+    """Run an ingest operator on the submissions that are not stored yet and append its rows below `path`.
+
+    Rows carry their submission into the files, so a batch sent again, or run again after a crash, stores nothing
+    twice. A form that makes rows of two tables counts as stored with the last of them; rows of the first that a
+    crash left behind are kept and their ids used. One job at a time may write to a table.
     """
-    if not 0 < buckets <= MOST_BUCKETS:
-        raise ValueError(f"buckets must lie in 1..{MOST_BUCKETS}")
-    if isinstance(existing, DataFrame):
-        first_column = F.col(existing.columns[0])
-        start = existing.agg(F.coalesce(F.max(first_column), F.lit(0)).cast("bigint")).scalar()
-    else:
-        start = F.lit(existing).cast("bigint")
-    bucketed = df.withColumn("_bucket", F.pmod(F.xxhash64(order_by), F.lit(buckets)).cast("int"))
-    # One row per bucket: at most `buckets` rows, small enough for one task and for a broadcast.
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size")).select(
-        "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(order_by))
-    numbered = bucketed.withColumn("_in_bucket", place).join(F.broadcast(offsets), "_bucket")
-    return numbered.withColumn(id_column, start + F.col("_offset") + F.col("_in_bucket")).drop(
-        "_bucket", "_offset", "_in_bucket")
+    spark = submissions.sparkSession
+    done = operator(without_stored(spark, path, last_table, submissions), tables, **options).settled()
+    known: dict[str, DataFrame] = {}
+    for table in [*(t for t in done.rows if t != last_table), last_table]:
+        rows = done.rows[table]
+        for parent, stored in known.items():
+            key = stored.columns[1]
+            if key in rows.columns:
+                rows = rows.withColumn(SUBMITTED, F.col(SUBMISSION).cast("string")).join(
+                    stored.withColumnRenamed(key, "_stored_key"), SUBMITTED, "left").withColumn(
+                        key, F.coalesce("_stored_key", key)).drop("_stored_key", SUBMITTED)
+        if table != last_table:
+            known[table] = stored_submissions(spark, path, table, rows).checkpoint()
+            rows = without_stored(spark, path, table, rows)
+        append(rows, path, table)
+    return done
 
 
 def _clean(text: str) -> Column:
@@ -113,38 +155,33 @@ def _malformed_rules(table: str, columns: list[str]) -> list[Rule]:
     return rules
 
 
-def _named_parents(rows: DataFrame, column: str, parents: DataFrame) -> DataFrame:
-    """The keys of the parents that a batch names.
-
-    A batch is small beside the tables it refers to. Its distinct keys can then be broadcast to the
-    scan of a parent table, which a left join would have to shuffle whole.
-    """
-    key = parents.columns[0]
-    named = rows.select(_number(column, "bigint").alias(key)).distinct()
-    return parents.select(key).join(named, key, "left_semi").distinct()
+def positive_rules(columns: list[str]) -> list[Rule]:
+    """Amounts that a form page asks for: absent, 0 and less are refused."""
+    return [(F.coalesce(F.col(c) <= 0, F.lit(True)), f"{c} is not positive") for c in columns]
 
 
-def _flag_unknown(flagged: DataFrame, rows: DataFrame, column: str, parents: DataFrame) -> DataFrame:
-    return flag_unknown_parent(flagged, column, _named_parents(rows, column, parents), SUBMISSION)
-
+def _check(
+    rows: DataFrame, table: str, tables: Tables, required: list[str], further: list[Rule] | None = None, keys: dict[str, str] | None = None
+) -> DataFrame:
+    """Flag what the table's declaration rejects. Row rules first, `further` ones on typed values, then the keys referred to.
 
-def _check(rows: DataFrame, table: str, tables: Tables, required: list[str]) -> DataFrame:
-    """Flag what the table's declaration rejects. Row rules first, then the keys referred to."""
+    The batch is read twice, for its keys and for its rows, and each table it refers to once.
+    """
     own = [c for c in schema_of(table).names if c in rows.columns]
     rules = required_rules(required) + _malformed_rules(table, own) + length_rules(table, own) + number_rules(table, own)
     flagged = _typed(flag(rows, rules), table)
-    flagged = flag(flagged, value_rules(table, own))
-    for column, parent in references_of(table).items():
-        if column in own:
-            flagged = _flag_unknown(flagged, rows, column, tables[parent])
-    return flagged
+    flagged = flag(flagged, value_rules(table, own) + (further or []))
+    if keys is None:
+        keys = {column: parent for column, parent in references_of(table).items() if column in own}
+    return flag_unknown_keys(flagged, keys, tables, SUBMISSION, keys=rows)
+
 
+def _finish(flagged: DataFrame, table: str, tables: Tables, also: dict[str, Column] | None = None) -> Ingested:
+    def build(accepted: DataFrame, starts: Starts) -> Rows:
+        numbered_rows = assign_ids(accepted, PRIMARY_KEYS[table][0], starts[table], checkpointed=True)
+        return {table: numbered_rows.select(SUBMISSION, *schema_of(table).names).withColumns(also or {})}
 
-def _finish(flagged: DataFrame, submissions: DataFrame, table: str, tables: Tables) -> Ingested:
-    checked = split(flagged)
-    key = PRIMARY_KEYS[table][0]
-    rows = assign_ids(checked.accepted, key, tables[table]).select(SUBMISSION, *schema_of(table).names)
-    return Ingested({table: rows}, checked.rejects.select(SUBMISSION, REASON))
+    return Ingested(flagged, build, {table: tables[table]})
 
 
 def _rename(submissions: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -162,7 +199,7 @@ def ingest_feedback(submissions: DataFrame, tables: Tables, as_of: str | datetim
         "Suggestions": F.coalesce("suggestions", F.lit("")),
         "Feedback_Date": as_of_date(as_of),
     })
-    return _finish(_check(rows, "Client_Feedback", tables, ["Client_ID"]), submissions, "Client_Feedback", tables)
+    return _finish(_check(rows, "Client_Feedback", tables, ["Client_ID"]), "Client_Feedback", tables)
 
 
 def ingest_estimate_requests(
@@ -183,20 +220,14 @@ def ingest_estimate_requests(
     })
     flagged = _check(rows, "Client", {}, ["Client_Name", "Property_Address", "Service_Description"])
     numbers = ["Estimated_Cost", "Estimated_Labor_Hours"]
-    checked = split(_typed(flag(flagged, number_rules("Estimate", numbers)), "Estimate"))
-    placed = assign_ids(checked.accepted, "_place", 0)
-    estimates = tables["Estimate"].agg(F.coalesce(F.max("Estimate_ID"), F.lit(0))).scalar()
-    clients = tables["Client"].agg(F.coalesce(F.max("Client_ID"), F.lit(0))).scalar()
-    numbered = placed.withColumns({
-        "Client_ID": F.col("_place") + clients,
-        "Estimate_ID": F.col("_place") + estimates,
-        "Employee_ID": F.lit(None).cast("bigint"),
-        "Estimate_Date": as_of_date(as_of),
-    })
-    return Ingested(
-        {table: numbered.select(SUBMISSION, *schema_of(table).names) for table in ("Client", "Estimate")},
-        checked.rejects.select(SUBMISSION, REASON),
-    )
+
+    def build(accepted: DataFrame, starts: Starts) -> Rows:
+        both = assign_ids(assign_ids(accepted, "Client_ID", starts["Client"], checkpointed=True), "Estimate_ID", starts["Estimate"], checkpointed=True)
+        filled = both.withColumns({"Employee_ID": F.lit(None).cast("bigint"), "Estimate_Date": as_of_date(as_of)})
+        return {table: filled.select(SUBMISSION, *schema_of(table).names) for table in ("Client", "Estimate")}
+
+    checked = _typed(flag(flagged, number_rules("Estimate", numbers)), "Estimate")
+    return Ingested(checked, build, {table: tables[table] for table in ("Client", "Estimate")})
 
 
 def ingest_clients(submissions: DataFrame, tables: Tables) -> Ingested:
@@ -207,11 +238,14 @@ def ingest_clients(submissions: DataFrame, tables: Tables) -> Ingested:
         "Client_Email": F.col("client_email"),
         "Property_Address": F.col("property_address"),
     })
-    return _finish(_check(rows, "Client", tables, ["Client_Name"]), submissions, "Client", tables)
+    return _finish(_check(rows, "Client", tables, ["Client_Name"]), "Client", tables)
+
 
+def ingest_contracts(submissions: DataFrame, tables: Tables, strict: bool = False, with_scope: bool = False) -> Ingested:
+    """Contracts on an existing estimate of an existing client, with a positive price.
 
-def ingest_contracts(submissions: DataFrame, tables: Tables) -> Ingested:
-    """Contracts on an existing estimate of an existing client, with a positive price."""
+    `strict` also asks for both dates, as the form page does, `with_scope` for the scope, as the billing page does.
+    """
     fields = _with_fields(submissions, [
         "estimate_id", "client_id", "start_date", "end_date", "pricing", "service_scope", "duration"])
     rows = _rename(fields, {
@@ -223,20 +257,17 @@ def ingest_contracts(submissions: DataFrame, tables: Tables) -> Ingested:
         "Service_Scope": F.col("service_scope"),
         "Contract_Duration": F.col("duration"),
     })
-    flagged = _check(rows, "Contract", tables, ["Estimate_ID", "Client_ID", "Pricing"])
+    asked = ["Contract_StartDate", "Contract_EndDate"] * strict + ["Service_Scope"] * with_scope
+    flagged = _check(rows, "Contract", tables, ["Estimate_ID", "Client_ID", "Pricing", *asked])
     flagged = flag(flagged, [(F.col("Pricing") <= 0, "Pricing is not positive")])
-    return _finish(flagged, submissions, "Contract", tables)
-
-
-def _given(column: str) -> Column:
-    """A form value that is present and not zero."""
-    return F.col(column).isNotNull() & (F.col(column) != 0)
+    return _finish(flagged, "Contract", tables)
 
 
-def ingest_estimates(submissions: DataFrame, tables: Tables, with_costing: bool = True) -> Ingested:
+def ingest_estimates(submissions: DataFrame, tables: Tables, with_costing: bool = True, strict: bool = False) -> Ingested:
     """Estimates; a submission that names a service and its actual cost also becomes a job-cost row.
 
-    Both rows are kept or neither. Employees submit without costing.
+    Both rows are kept or neither. Employees submit without costing. `strict` also asks for address, description,
+    date, and a positive cost and number of hours, as the form page does.
     """
     costs = ["actual_labor_hours", "actual_labor_cost", "actual_materials", "total_actual_cost"]
     fields = _with_fields(submissions, [
@@ -262,25 +293,36 @@ def ingest_estimates(submissions: DataFrame, tables: Tables, with_costing: bool
     costing = [c for c in SCHEMAS["Job_Costing"].names if c in rows.columns]
     if not with_costing:
         rows = rows.drop(*costing)
-    flagged = _check(rows, "Estimate", tables, ["Client_ID"])
+    asked = ["Property_Address", "Service_Description", "Estimate_Date"] if strict else []
+    further = positive_rules(["Estimated_Cost", "Estimated_Labor_Hours"]) if strict else []
+    keys = {column: parent for column, parent in references_of("Estimate").items() if column in rows.columns}
+    flagged, named = _check(rows, "Estimate", tables, ["Client_ID", *asked], further, keys={}), rows
     if with_costing:
-        rules = _malformed_rules("Job_Costing", costing) + number_rules("Job_Costing", costing)
-        flagged = _typed(flag(flagged, rules), "Job_Costing")
         # The service only matters to submissions that carry costs.
-        flagged = flagged.withColumn(
-            "Service_ID", F.when(_given("Service_ID") & _given("Total_Actual_Cost"), F.col("Service_ID")))
-        flagged = _flag_unknown(flagged, rows, "Service_ID", tables["Service"])
-    checked = split(flagged)
-    estimates = assign_ids(checked.accepted, "Estimate_ID", tables["Estimate"])
-    output = {"Estimate": estimates.select(SUBMISSION, *schema_of("Estimate").names)}
-    if with_costing:
-        costed = assign_ids(estimates.filter(F.col("Service_ID").isNotNull()), "Job_Cost_ID", tables["Job_Costing"])
-        output["Job_Costing"] = costed.select(SUBMISSION, *schema_of("Job_Costing").names)
-    return Ingested(output, checked.rejects.select(SUBMISSION, REASON))
+        carried = _number("Service_ID", "bigint").isNotNull() & (_number("Service_ID", "bigint") != 0) & (
+            F.coalesce(_number("Total_Actual_Cost", "decimal(10,2)"), F.lit(0)) != 0)
+        named = rows.withColumn("Service_ID", F.when(carried, F.col("Service_ID")))
+        rules = _malformed_rules("Job_Costing", costing) + number_rules("Job_Costing", costing)
+        keys["Service_ID"] = "Service"
+        flagged = _typed(flag(flagged, rules), "Job_Costing").withColumn("Service_ID", F.when(carried, F.col("Service_ID")))
+    flagged = flag_unknown_keys(flagged, keys, tables, SUBMISSION, keys=named)
+
+    def build(accepted: DataFrame, starts: Starts) -> Rows:
+        estimates = assign_ids(accepted, "Estimate_ID", starts["Estimate"], checkpointed=True)
+        output = {"Estimate": estimates.select(SUBMISSION, *schema_of("Estimate").names)}
+        if with_costing:
+            costed = assign_ids(estimates.filter(F.col("Service_ID").isNotNull()), "Job_Cost_ID", starts["Job_Costing"], checkpointed=True)
+            output["Job_Costing"] = costed.select(SUBMISSION, *schema_of("Job_Costing").names)
+        return output
+
+    return Ingested(flagged, build, {table: tables[table] for table in ("Estimate", "Job_Costing")[: 1 + with_costing]})
 
 
-def ingest_invoices(submissions: DataFrame, tables: Tables) -> Ingested:
-    """Invoices on an existing contract, their status derived from the amounts."""
+def ingest_invoices(submissions: DataFrame, tables: Tables, strict: bool = False) -> Ingested:
+    """Invoices on an existing contract, their status derived from the amounts.
+
+    `strict` also asks for both dates and a positive total, as the form page does.
+    """
     fields = _with_fields(submissions, [
         "contract_id", "client_id", "invoice_date", "due_date", "total_amount", "amount_paid"])
     rows = _rename(fields, {
@@ -291,17 +333,19 @@ def ingest_invoices(submissions: DataFrame, tables: Tables) -> Ingested:
         "Total_Amount": _or_zero("total_amount"),
         "Amount_Paid": _or_zero("amount_paid"),
     })
-    flagged = _check(rows, "Invoice", tables, ["Contract_ID", "Client_ID"]).withColumns({
+    asked = ["Invoice_Date", "Due_Date"] if strict else []
+    further = positive_rules(["Total_Amount"]) if strict else []
+    flagged = _check(rows, "Invoice", tables, ["Contract_ID", "Client_ID", *asked], further).withColumns({
         "Due_Date": default_due_date(F.col("Due_Date"), F.col("Invoice_Date")),
         "Invoice_Status": new_invoice_status(F.col("Total_Amount"), F.col("Amount_Paid")),
     })
-    return _finish(flagged, submissions, "Invoice", tables)
+    return _finish(flagged, "Invoice", tables)
 
 
-def ingest_payments(submissions: DataFrame, tables: Tables) -> Ingested:
+def ingest_payments(submissions: DataFrame, tables: Tables, strict: bool = False) -> Ingested:
     """Payments on an existing contract and, where named, an existing invoice; stored as Paid.
 
-    `apply_payments` carries the accepted rows over to the invoices.
+    `strict` also asks for an invoice and a positive amount, as the form page does. `apply_payments` carries the accepted rows over to the invoices.
     """
     fields = _with_fields(submissions, [
         "contract_id", "invoice_id", "payment_amount", "payment_method", "due_date", "payment_date"])
@@ -314,12 +358,17 @@ def ingest_payments(submissions: DataFrame, tables: Tables) -> Ingested:
         "Payment_Date": F.col("payment_date"),
         "Payment_Status": F.lit("Paid"),
     })
-    flagged = _check(rows, "Payment", tables, ["Contract_ID", "Payment_Amount"])
-    return _finish(flagged, submissions, "Payment", tables)
+    asked = ["Invoice_ID"] if strict else []
+    further = positive_rules(["Payment_Amount"]) if strict else []
+    flagged = _check(rows, "Payment", tables, ["Contract_ID", "Payment_Amount", *asked], further)
+    return _finish(flagged, "Payment", tables)
 
 
-def ingest_job_costing(submissions: DataFrame, tables: Tables) -> Ingested:
-    """Job-cost rows of an existing service, with variance and budget status beside them."""
+def ingest_job_costing(submissions: DataFrame, tables: Tables, strict: bool = False) -> Ingested:
+    """Job-cost rows of an existing service, with variance and budget status beside them.
+
+    `strict` also asks for positive totals, as the form page does.
+    """
     fields = _with_fields(submissions, [
         "service_id", "estimate_id", "actual_labor_hours", "actual_labor_cost", "actual_materials",
         "total_actual_cost", "total_estimated_cost"])
@@ -332,11 +381,10 @@ def ingest_job_costing(submissions: DataFrame, tables: Tables) -> Ingested:
         "Total_Actual_Cost": _filled_or_zero("total_actual_cost"),
         "Total_Estimated_Cost": _filled_or_zero("total_estimated_cost"),
     })
-    done = _finish(_check(rows, "Job_Costing", tables, ["Service_ID"]), submissions, "Job_Costing", tables)
+    further = positive_rules(["Total_Actual_Cost", "Total_Estimated_Cost"]) if strict else []
     variance = F.round(F.col("Total_Actual_Cost") - F.col("Total_Estimated_Cost"), 2)
-    costed = done.rows["Job_Costing"].withColumn("Variance", variance).withColumn(
-        "Budget_Status", budget_status(F.col("Variance")))
-    return Ingested({"Job_Costing": costed}, done.rejects)
+    beside = {"Variance": variance, "Budget_Status": budget_status(variance)}
+    return _finish(_check(rows, "Job_Costing", tables, ["Service_ID"], further), "Job_Costing", tables, also=beside)
 
 
 def ingest_employees(submissions: DataFrame, tables: Tables) -> Ingested:
@@ -350,7 +398,7 @@ def ingest_employees(submissions: DataFrame, tables: Tables) -> Ingested:
         "Is_Available": F.lit(1).cast("tinyint"),
     })
     flagged = _check(rows, "Employee", tables, ["Employee_Name", "Employee_Role"])
-    return _finish(flagged, submissions, "Employee", tables)
+    return _finish(flagged, "Employee", tables)
 
 
 def ingest_referrals(submissions: DataFrame, tables: Tables, as_of: str | datetime.date | None = None) -> Ingested:
@@ -363,7 +411,7 @@ def ingest_referrals(submissions: DataFrame, tables: Tables, as_of: str | dateti
         "Referral_Date": as_of_date(as_of),
         "Status": F.lit("Pending"),
     })
-    return _finish(_check(rows, "Referral", tables, ["Referee_Name"]), submissions, "Referral", tables)
+    return _finish(_check(rows, "Referral", tables, ["Referee_Name"]), "Referral", tables)
 
 
 def apply_status_changes(submissions: DataFrame, tables: Tables) -> Ingested:
@@ -376,11 +424,20 @@ def apply_status_changes(submissions: DataFrame, tables: Tables) -> Ingested:
         SUBMISSION,
         _number("employee_id", "bigint").alias("Employee_ID"),
         _number("is_active", "tinyint").alias("is_active"),
+        blank_to_null(F.col("employee_id").cast("string")).alias("_given"),
+        blank_to_null(F.col("is_active").cast("string")).alias("_given_active"),
     )
-    flagged = flag(fields, required_rules(["Employee_ID", "is_active"]))
-    flagged = flag_unknown_parent(flagged, "Employee_ID", employees, SUBMISSION)
-    checked = split(flagged)
-    last = checked.accepted.groupBy("Employee_ID").agg(F.max_by("is_active", SUBMISSION).alias("_last"))
-    changed = employees.join(last, "Employee_ID", "left").withColumn(
-        "Is_Available", F.coalesce("_last", "Is_Available")).select(employees.columns)
-    return Ingested({"Employee": changed}, checked.rejects.select(SUBMISSION, REASON))
+    unread = [
+        (F.col("_given").isNotNull() & F.col("Employee_ID").isNull(), "Employee_ID is not a bigint"),
+        (F.col("_given_active").isNotNull() & F.col("is_active").isNull(), "is_active is not a tinyint"),
+    ]
+    flagged = flag(fields, unread + required_rules(["Employee_ID", "is_active"])).drop("_given", "_given_active")
+    flagged = flag_unknown_keys(flagged, {"Employee_ID": "Employee"}, tables, SUBMISSION)
+
+    def build(accepted: DataFrame, _: Starts) -> Rows:
+        last = accepted.groupBy("Employee_ID").agg(F.max_by("is_active", SUBMISSION).alias("_last"))
+        changed = employees.join(last, "Employee_ID", "left").withColumn(
+            "Is_Available", F.coalesce("_last", "Is_Available")).select(employees.columns)
+        return {"Employee": changed}
+
+    return Ingested(flagged, build)

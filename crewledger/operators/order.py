@@ -38,26 +38,41 @@ def listing(*keys: str) -> Callable[[Callable[..., DataFrame]], Callable[..., Da
 
 # Rows of a task are numbered in the low bits of Spark's own numbers, the task in the bits above.
 ROW_BITS = 33
+# Tasks whose sizes are added up in one window; the sums of that many make the second level.
+TASKS = 1024
 
 
-def with_positions(rows: DataFrame, *order: Column, name: str = "Position") -> DataFrame:
-    """The rows with their position in an order over all of them, from 1.
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Checkpointed rows with numbers from 1 in the order in which they lie in the checkpoint.
 
-    No task gets more than its range of the order: the rows are sorted by ranges and numbered within
-    each, and the ranges' sizes, one row a task, give the places before it. The sorted rows are kept in
-    the checkpoint folder, as ranges sampled anew would not be the same. Rows equal in the whole order get
-    positions of their own, in any order; end it with a primary key. A row's position counts all rows,
-    so filter afterwards to keep a rank among all, before to rank what is shown.
+    A row's number is its place within its task behind the rows of the tasks before. The sizes of tasks are added up
+    in two levels, so that no window has more than one row per task of a group, or one per group.
+    Nothing is moved, and a task that is run again reads the same rows and numbers them alike.
     """
-    use_checkpoints(rows.sparkSession)
     taken = {c.lower() for c in rows.columns}
-    at = next(n for n in ("_at", "_sorted_at", "__sorted_at") if n not in taken)
-    placed = rows.orderBy(*order).withColumn(at, F.monotonically_increasing_id()).checkpoint()
+    at = next(n for n in ("_at", "_lies_at", "__lies_at") if n not in taken)
+    placed = rows.withColumn(at, F.monotonically_increasing_id())
     task = F.shiftrightunsigned(at, ROW_BITS)
-    sizes = placed.groupBy(task.alias("_task")).agg(F.count(F.lit(1)).alias("_size"))
-    # One row for every task that sorted: small enough for a window and a broadcast.
-    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col("_task"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    sizes = placed.groupBy(task.alias("_task")).agg(F.count(F.lit(1)).alias("_size")).withColumn("_group", F.expr(f"_task div {TASKS}"))
+    before = Window.partitionBy("_group").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    groups_before = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    within = sizes.select("_task", "_group", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_within"))
+    groups = sizes.groupBy("_group").agg(F.sum("_size").alias("_sum")).select(
+        "_group", F.coalesce(F.sum("_sum").over(groups_before), F.lit(0)).alias("_earlier"))
+    # One row for every task.
+    offsets = within.join(groups, "_group").select("_task", (F.col("_within") + F.col("_earlier")).alias("_before"))
     own = F.col(at).bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    position = (F.col("_before") + own + 1).alias(name)
-    return placed.join(F.broadcast(offsets), task == F.col("_task")).select(*[placed[c] for c in rows.columns], position)
+    return placed.join(F.broadcast(offsets), task == F.col("_task")).select(
+        *[placed[c] for c in rows.columns], (F.col("_before") + own + 1).alias(name))
+
+
+def with_positions(rows: DataFrame, *order: Column, name: str = "Position") -> DataFrame:
+    """The rows with their position in an order over all of them, from 1.
+
+    No task gets more than its range of the order: the rows are sorted by ranges and numbered where they then lie. The
+    sorted rows are kept in the checkpoint folder, as ranges sampled anew would not be the same. Rows
+    equal in the whole order get positions of their own, in any order; end it with a primary key. A position counts all
+    rows, so filter afterwards to keep a rank among all, before to rank what is shown.
+    """
+    use_checkpoints(rows.sparkSession)
+    return numbered(rows.orderBy(*order).checkpoint(), name)

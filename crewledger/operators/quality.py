@@ -119,6 +119,49 @@ def check_foreign_keys(tables: Tables, table: str) -> Checked:
     return split(rows)
 
 
+def unknown_keys(rows: DataFrame, references: dict[str, str], tables: Tables) -> DataFrame:
+    """(key, missing): the keys that rows name and some parent does not have, with a bit for each such parent.
+
+    `references` names the parent of each column. All columns are unpivoted into one list of distinct keys, each with the
+    parents it is looked up in, so the rows are read once however many keys they carry. Every parent
+    is read once and reduced to the keys named. Bits follow `parent_bits`.
+    """
+    bits = parent_bits(references)
+    asked = rows.select(F.explode(F.array(*[
+        F.struct(F.expr(f"try_cast(`{column}` AS bigint)").alias("key"), F.lit(bits[parent]).alias("parent"))
+        for column, parent in references.items()])).alias("k")).filter("k.key IS NOT NULL").groupBy(
+            F.col("k.key").alias("key")).agg(F.bit_or("k.parent").alias("asked"))
+    found = functools.reduce(DataFrame.unionAll, [
+        tables[parent].select(F.col(tables[parent].columns[0]).alias("key")).join(
+            asked.filter(F.col("asked").bitwiseAND(bit) != 0), "key", "left_semi").select("key", F.lit(bit).alias("found"))
+        for parent, bit in bits.items()]).groupBy("key").agg(F.bit_or("found").alias("found"))
+    missing = F.col("asked").bitwiseAND(F.bitwise_not(F.coalesce("found", F.lit(0))))
+    return asked.join(found, "key", "left").select("key", missing.alias("missing")).filter("missing <> 0")
+
+
+def parent_bits(references: dict[str, str]) -> dict[str, int]:
+    return {parent: 1 << n for n, parent in enumerate(dict.fromkeys(references.values()))}
+
+
+def flag_unknown_keys(
+    df: DataFrame, references: dict[str, str], tables: Tables, row_key: str | list[str], keys: DataFrame | None = None
+) -> DataFrame:
+    """Flag rows that name a key no parent has; rows without a key pass. `keys` are the rows to take the keys from, if not `df`.
+
+    All columns are matched with one and the same list of unknown keys, which is computed once.
+    """
+    if not references:
+        return df
+    bits = parent_bits(references)
+    unknown = unknown_keys(df if keys is None else keys, references, tables)
+    rules, found = [], df
+    for column, parent in references.items():
+        name = f"_missing_{column}"
+        found = lookup(found, unknown.select(F.col("key").alias(column), F.col("missing").alias(name)), column, row_key)
+        rules.append((F.coalesce(F.col(name).bitwiseAND(bits[parent]) != 0, F.lit(False)), f"{column} is unknown"))
+    return flag(found, rules).drop(*[f"_missing_{column}" for column in references])
+
+
 def orphan_counts(tables: Tables, table: str) -> DataFrame:
     """Rejected rows of a stored table by reason."""
     rejects = check_foreign_keys(tables, table).rejects

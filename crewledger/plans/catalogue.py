@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,13 +99,20 @@ def client_forms(t: Tables) -> DataFrame:
         F.col("lang").alias("client_phone"), F.col("text").alias("property_address"))
 
 
+def _unless(condition: str, value) -> Column:
+    """The value, or nothing in the rows that meet the condition."""
+    return F.when(~F.expr(condition), value)
+
+
 def contract_forms(t: Tables) -> DataFrame:
-    """Events as contracts: price is the value less 20, so small ones are refused."""
+    """Events as contracts: price is the value less 20, so small ones are refused; some lack a date."""
+    day = F.date_format("ts", "yyyy-MM-dd")
     return _star(t, "events").select(
         F.col("event_id").alias("submission_id"),
         F.when(F.col("event_type") != "error", F.col("event_id") * 2).alias("estimate_id"),
         F.col("user_id").alias("client_id"),
-        F.date_format("ts", "yyyy-MM-dd").alias("start_date"),
+        _unless("event_id % 7 = 0", day).alias("start_date"),
+        _unless("event_id % 3 = 0", day).alias("end_date"),
         (F.col("value").cast("decimal(10,2)") - 20).alias("pricing"),
         F.col("event_type").alias("service_scope"),
         F.lit("1 month").alias("duration"),
@@ -113,31 +120,33 @@ def contract_forms(t: Tables) -> DataFrame:
 
 
 def estimate_forms(t: Tables) -> DataFrame:
-    """Events as estimates; purchases carry the actual cost of a service."""
+    """Events as estimates; purchases carry the actual cost of a service. Some lack what the form page asks for."""
     cost = F.col("value").cast("decimal(10,2)")
     return _star(t, "events").select(
         F.col("event_id").alias("submission_id"),
         F.col("user_id").alias("client_id"),
         F.when(F.col("event_type") != "view", F.col("user_id")).alias("employee_id"),
-        F.col("event_type").alias("property_address"),
-        F.col("props").alias("service_description"),
-        cost.alias("estimated_cost"),
-        F.date_format("ts", "yyyy-MM-dd").alias("estimate_date"),
+        _unless("event_id % 11 = 0", F.col("event_type")).alias("property_address"),
+        _unless("event_id % 13 = 0", F.col("props")).alias("service_description"),
+        _unless("event_id % 5 = 0", cost).alias("estimated_cost"),
+        (F.col("event_id") % 4).alias("estimated_labor_hours"),
+        _unless("event_id % 17 = 0", F.date_format("ts", "yyyy-MM-dd")).alias("estimate_date"),
         F.when(F.col("event_type") == "purchase", F.col("event_id") * 10 + 1).alias("service_id"),
         F.when(F.col("event_type") == "purchase", cost + 1).alias("total_actual_cost"),
     )
 
 
 def invoice_forms(t: Tables) -> DataFrame:
-    """Events as invoices; clicks are unpaid, purchases overpaid, the rest half paid."""
+    """Events as invoices; clicks are unpaid, purchases overpaid, the rest half paid. Some lack a date or a total."""
     total = F.col("value").cast("decimal(10,2)")
-    kind = F.col("event_type")
+    kind, day = F.col("event_type"), F.date_format("ts", "yyyy-MM-dd")
     return _star(t, "events").select(
         F.col("event_id").alias("submission_id"),
         F.when(kind != "error", F.col("event_id")).alias("contract_id"),
         F.col("user_id").alias("client_id"),
-        F.date_format("ts", "yyyy-MM-dd").alias("invoice_date"),
-        total.alias("total_amount"),
+        _unless("event_id % 7 = 0", day).alias("invoice_date"),
+        _unless("event_id % 3 = 0", day).alias("due_date"),
+        _unless("event_id % 5 = 0", total).alias("total_amount"),
         F.when(kind == "purchase", total + 1).when(kind != "click", F.floor(F.col("value") / 2)).alias("amount_paid"),
     )
 
@@ -147,7 +156,7 @@ def payment_forms(t: Tables) -> DataFrame:
         F.col("event_id").alias("submission_id"),
         (F.col("event_id") * 3).alias("contract_id"),
         F.when(F.col("event_type") != "view", F.col("event_id") * 6).alias("invoice_id"),
-        F.when(F.col("event_type") != "error", F.col("value").cast("decimal(10,2)")).alias("payment_amount"),
+        F.when(F.col("event_type") != "error", F.col("value").cast("decimal(10,2)") - 20).alias("payment_amount"),
         F.col("event_type").alias("payment_method"),
         F.date_format("ts", "yyyy-MM-dd").alias("payment_date"),
     )
@@ -158,8 +167,8 @@ def job_cost_forms(t: Tables) -> DataFrame:
         F.col("event_id").alias("submission_id"),
         F.when(F.col("event_type") != "signup", F.col("event_id") * 10 + 1).alias("service_id"),
         F.col("event_id").alias("estimate_id"),
-        F.col("value").cast("decimal(10,2)").alias("total_actual_cost"),
-        F.col("user_id").alias("total_estimated_cost"),
+        (F.col("value").cast("decimal(10,2)") - 20).alias("total_actual_cost"),
+        (F.col("user_id") - 100).alias("total_estimated_cost"),
     )
 
 
@@ -194,17 +203,17 @@ def _without_ids(rows: DataFrame, *ids: str) -> DataFrame:
 
 
 def _all_rejects(t: Tables) -> DataFrame:
-    """Rejects of every ingest operator by reason."""
+    """Rejects of every ingest operator by reason, with the rules of the form pages."""
     day = INGEST_DAY
     batches = {
         "feedback": ingest.ingest_feedback(feedback_forms(t), t, day),
         "estimate request": ingest.ingest_estimate_requests(estimate_request_forms(t), t, day),
         "client": ingest.ingest_clients(client_forms(t), t),
-        "contract": ingest.ingest_contracts(contract_forms(t), t),
-        "estimate": ingest.ingest_estimates(estimate_forms(t), t),
-        "invoice": ingest.ingest_invoices(invoice_forms(t), t),
-        "payment": ingest.ingest_payments(payment_forms(t), t),
-        "job costing": ingest.ingest_job_costing(job_cost_forms(t), t),
+        "contract": ingest.ingest_contracts(contract_forms(t), t, strict=True),
+        "estimate": ingest.ingest_estimates(estimate_forms(t), t, strict=True),
+        "invoice": ingest.ingest_invoices(invoice_forms(t), t, strict=True),
+        "payment": ingest.ingest_payments(payment_forms(t), t, strict=True),
+        "job costing": ingest.ingest_job_costing(job_cost_forms(t), t, strict=True),
         "employee": ingest.ingest_employees(employee_forms(t), t),
         "status change": ingest.apply_status_changes(status_forms(t), t),
         "referral": ingest.ingest_referrals(referral_forms(t), t, day),
@@ -216,6 +225,15 @@ def _all_rejects(t: Tables) -> DataFrame:
     return together.groupBy("form", "reason").agg(F.count(F.lit(1)).alias("Row_Count"))
 
 
+def _ingested_twice(t: Tables) -> DataFrame:
+    """Payments of a batch that is run, run again, and run with rows sent twice: the stored rows."""
+    spark, path = t._spark, f"{shared_folder(t._spark)}/{uuid.uuid4()}"
+    batch = payment_forms(t)
+    for sent in (batch, batch, batch.filter("submission_id % 2 = 0")):
+        ingest.ingest_once(ingest.ingest_payments, sent, t, path, "Payment")
+    return _without_ids(read_table(spark, path, "Payment"), "Payment_ID")
+
+
 def _id_summary(t: Tables) -> DataFrame:
     """Ids given to a batch: consecutive, unique and above those in use."""
     rows = ingest.ingest_payments(payment_forms(t), t).rows["Payment"]
@@ -424,6 +442,7 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "apply_status_changes": lambda t: ingest.apply_status_changes(status_forms(t), t).rows["Employee"],
     "ingest_rejects": _all_rejects,
     "assigned_ids": _id_summary,
+    "payments_ingested_twice": _ingested_twice,
     # payments and balances
     "apply_payments": lambda t: payments.apply_payments(t["Invoice"], t["Payment"]),
     "apply_payments_compat": lambda t: payments.apply_payments(t["Invoice"], t["Payment"], compat=True),

@@ -269,6 +269,44 @@ FORM_RULES: dict[str, tuple[str, list[tuple[str, str]]]] = {
 }
 
 
+# Further rules of the form pages, as (rule of the form before which they stand, condition, reason).
+PAGE_RULES: dict[str, list[tuple[str, str, str]]] = {
+    "contract": [
+        ("Estimate_ID is unknown", "event_id % 7 = 0", "Contract_StartDate is required"),
+        ("Estimate_ID is unknown", "event_id % 3 = 0", "Contract_EndDate is required"),
+    ],
+    "estimate": [
+        ("Client_ID is unknown", "event_id % 11 = 0", "Property_Address is required"),
+        ("Client_ID is unknown", "event_id % 13 = 0 OR props IS NULL OR trim(props) = ''", "Service_Description is required"),
+        ("Client_ID is unknown", "event_id % 17 = 0", "Estimate_Date is required"),
+        ("Client_ID is unknown", "event_id % 5 = 0 OR CAST(value AS DECIMAL(10,2)) <= 0", "Estimated_Cost is not positive"),
+        ("Client_ID is unknown", "event_id % 4 = 0", "Estimated_Labor_Hours is not positive"),
+    ],
+    "invoice": [
+        ("Contract_ID is unknown", "event_id % 7 = 0", "Invoice_Date is required"),
+        ("Contract_ID is unknown", "event_id % 3 = 0", "Due_Date is required"),
+        ("Contract_ID is unknown", "event_id % 5 = 0 OR CAST(value AS DECIMAL(10,2)) <= 0", "Total_Amount is not positive"),
+    ],
+    "payment": [
+        ("Contract_ID is unknown", "event_type = 'view'", "Invoice_ID is required"),
+        ("Contract_ID is unknown", "CAST(value AS DECIMAL(10,2)) <= 20", "Payment_Amount is not positive"),
+    ],
+    "job costing": [
+        ("Service_ID is unknown", "CAST(value AS DECIMAL(10,2)) <= 20", "Total_Actual_Cost is not positive"),
+        ("Service_ID is unknown", "user_id <= 100", "Total_Estimated_Cost is not positive"),
+    ],
+}
+
+
+def _page_rules(form: str) -> list[tuple[str, str]]:
+    """The rules of a form with those of its page, in the order of checking."""
+    rules = []
+    for broken, reason in FORM_RULES[form][1]:
+        rules += [(condition, further) for before, condition, further in PAGE_RULES.get(form, []) if before == reason]
+        rules.append((broken, reason))
+    return rules
+
+
 def _accepted(form: str) -> str:
     source, rules = FORM_RULES[form]
     return f"(SELECT * FROM {source} WHERE {_first(rules)} = 'accepted')"
@@ -276,8 +314,8 @@ def _accepted(form: str) -> str:
 
 def _rejects() -> str:
     parts = [
-        f"SELECT '{form}' AS form, {_first(rules)} AS reason FROM {source}"
-        for form, (source, rules) in FORM_RULES.items()
+        f"SELECT '{form}' AS form, {_first(_page_rules(form))} AS reason FROM {source}"
+        for form, (source, _) in FORM_RULES.items()
     ]
     return (f"SELECT form, reason, count(*) AS Row_Count FROM ({' UNION ALL '.join(parts)}) "
             "WHERE reason <> 'accepted' GROUP BY form, reason")
@@ -330,6 +368,7 @@ def oracle_sql() -> dict[str, str]:
                    {_num('sum(Total_Amount) - sum(Amount_Paid)')} AS Total_Outstanding FROM invoice"""),
         "balances_round_trip": found["apply_payments"],
         "views_by_name": counted,
+        "payments_ingested_twice": found["ingest_payments"].replace("event_id AS submission_id, ", "", 1),
     }
 
 
@@ -633,38 +672,41 @@ def _plain_sql() -> dict[str, str]:
             submission_id=doc_id, Client_Name=source, Client_Phone=lang, Client_Email=CAST(NULL AS VARCHAR),
             Property_Address=text"""),
         "ingest_contracts": _form("contract", f"""
-            submission_id=event_id, Estimate_ID=event_id * 2, Client_ID=user_id, Contract_StartDate:day=ts,
-            Contract_EndDate=CAST(NULL AS VARCHAR), Pricing:num={VALUE.replace(',', '~')} - 20,
+            submission_id=event_id, Estimate_ID=event_id * 2, Client_ID=user_id,
+            Contract_StartDate:day=CASE WHEN event_id % 7 <> 0 THEN ts END, Contract_EndDate:day=CASE WHEN event_id % 3 <> 0 THEN ts END, Pricing:num={VALUE.replace(',', '~')} - 20,
             Service_Scope=event_type, Contract_Duration='1 month'"""),
         "ingest_estimates": _form("estimate", f"""
             submission_id=event_id, Client_ID=user_id, Employee_ID=CASE WHEN event_type <> 'view' THEN user_id END,
-            Property_Address=event_type, Service_Description=props, Estimated_Cost:num={VALUE.replace(',', '~')},
-            Estimated_Labor_Hours=CAST(0 AS DOUBLE), Estimate_Date:day=ts"""),
+            Property_Address=CASE WHEN event_id % 11 <> 0 THEN event_type END,
+            Service_Description=CASE WHEN event_id % 13 <> 0 THEN props END,
+            Estimated_Cost:num=CASE WHEN event_id % 5 = 0 THEN 0 ELSE {VALUE.replace(',', '~')} END,
+            Estimated_Labor_Hours:num=event_id % 4, Estimate_Date:day=CASE WHEN event_id % 17 <> 0 THEN ts END"""),
         "ingest_estimates_costed": _form("estimate", f"""
             submission_id=event_id, Service_ID=event_id * 10 + 1, Actual_Labor_Hours=CAST(0 AS DOUBLE),
             Actual_Labor_Cost=CAST(0 AS DOUBLE), Actual_Materials=CAST(0 AS DOUBLE),
             Total_Actual_Cost:num={VALUE.replace(',', '~')} + 1,
-            Total_Estimated_Cost:num={VALUE.replace(',', '~')}""") + " WHERE event_type = 'purchase'",
-        "ingest_invoices": _form("invoice", f"""
-            submission_id=event_id, Contract_ID=event_id, Client_ID=user_id, Invoice_Date:day=ts,
-            Due_Date:day=CAST(ts AS DATE) + 15, Total_Amount:num={VALUE.replace(',', '~')},
-            Amount_Paid:num=CASE WHEN event_type = 'purchase' THEN {VALUE.replace(',', '~')} + 1
-                WHEN event_type <> 'click' THEN floor(value / 2) ELSE 0 END,
-            Invoice_Status=CASE WHEN event_type = 'purchase' THEN 'Paid'
-                WHEN event_type = 'click' OR floor(value / 2) <= 0 THEN 'Unpaid'
-                WHEN floor(value / 2) >= value THEN 'Paid' ELSE 'Partial' END"""),
+            Total_Estimated_Cost:num=CASE WHEN event_id % 5 = 0 THEN 0 ELSE {VALUE.replace(',', '~')} END""") + " WHERE event_type = 'purchase'",
+        "ingest_invoices": f"""
+            SELECT submission_id, Contract_ID, Client_ID, {_day('day')} AS Invoice_Date, {_day('coalesce(due, day + 15)')} AS Due_Date,
+                   {_num('total')} AS Total_Amount, {_num('paid')} AS Amount_Paid,
+                   CASE WHEN paid <= 0 THEN 'Unpaid' WHEN paid >= total THEN 'Paid' ELSE 'Partial' END AS Invoice_Status
+            FROM (SELECT event_id AS submission_id, event_id AS Contract_ID, user_id AS Client_ID,
+                         CASE WHEN event_id % 7 <> 0 THEN CAST(ts AS DATE) END AS day, CASE WHEN event_id % 3 <> 0 THEN CAST(ts AS DATE) END AS due,
+                         CASE WHEN event_id % 5 = 0 THEN 0 ELSE {VALUE} END AS total,
+                         CASE WHEN event_type = 'purchase' THEN {VALUE} + 1 WHEN event_type <> 'click' THEN floor(value / 2) ELSE 0 END AS paid
+                  FROM {_accepted('invoice')})""",
         "ingest_payments": _form("payment", f"""
             submission_id=event_id, Contract_ID=event_id * 3,
             Invoice_ID=CASE WHEN event_type <> 'view' THEN event_id * 6 END,
-            Payment_Amount:num={VALUE.replace(',', '~')}, Payment_Method=event_type,
+            Payment_Amount:num={VALUE.replace(',', '~')} - 20, Payment_Method=event_type,
             Due_Date=CAST(NULL AS VARCHAR), Payment_Date:day=ts, Payment_Status='Paid'"""),
         "ingest_job_costing": _form("job costing", f"""
             submission_id=event_id, Service_ID=event_id * 10 + 1, Estimate_ID=event_id,
             Actual_Labor_Hours=CAST(0 AS DOUBLE), Actual_Labor_Cost=CAST(0 AS DOUBLE), Actual_Materials=CAST(0 AS DOUBLE),
-            Total_Actual_Cost:num={VALUE.replace(',', '~')}, Total_Estimated_Cost:num=user_id,
-            Variance:num={VALUE.replace(',', '~')} - user_id,
-            Budget_Status=CASE WHEN {VALUE.replace(',', '~')} > user_id THEN 'Over Budget'
-                WHEN {VALUE.replace(',', '~')} < user_id THEN 'Under Budget' ELSE 'On Budget' END"""),
+            Total_Actual_Cost:num={VALUE.replace(',', '~')} - 20, Total_Estimated_Cost:num=user_id - 100,
+            Variance:num={VALUE.replace(',', '~')} - user_id + 80,
+            Budget_Status=CASE WHEN {VALUE.replace(',', '~')} + 80 > user_id THEN 'Over Budget'
+                WHEN {VALUE.replace(',', '~')} + 80 < user_id THEN 'Under Budget' ELSE 'On Budget' END"""),
         "ingest_employees": _form("employee", """
             submission_id=doc_id, Employee_Name=source,
             Employee_Role=(SELECT 'Grade ' || any_value(quality) FROM labels b WHERE b.doc_id = t.doc_id),

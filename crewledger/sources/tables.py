@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +27,8 @@ PARTITION_DATE = {
     "Payment": "Payment_Date",
 }
 STORED_YEAR = "Stored_Year"
+# The submission a row came from, where it is known. Files carry it beside the declared columns.
+SUBMISSION, SUBMITTED = "submission_id", "Stored_Submission"
 
 
 def read_table(
@@ -119,8 +122,11 @@ def append(df: DataFrame, path: str, table: str) -> None:
     """Append rows in the declared types; large tables are laid out by the year of their date.
 
     A value that does not fit its declared type stops the write: stored, it could not be read back.
+    The submission of a row, if `df` has one, goes into the same files: what is stored and what is known to
+    be stored can then not come apart (`stored_submissions`).
     """
-    rows = df.select([_declared(field) for field in schema_of(table)])
+    submitted = [F.col(SUBMISSION).cast("string").alias(SUBMITTED)] if SUBMISSION in df.columns else []
+    rows = df.select([_declared(field) for field in schema_of(table)] + submitted)
     date = PARTITION_DATE.get(table)
     target = f"{path.rstrip('/')}/{table}"
     if date is None:
@@ -132,6 +138,27 @@ def append(df: DataFrame, path: str, table: str) -> None:
          .write.mode("append").partitionBy(STORED_YEAR).parquet(target))
 
 
+def stored_submissions(spark: SparkSession, path: str, table: str, submissions: DataFrame) -> DataFrame:
+    """(Stored_Submission, key) of the given submissions that the table has rows of; two columns of the files are read."""
+    key = schema_of(table)[0]
+    named = submissions.select(F.col(SUBMISSION).cast("string").alias(SUBMITTED)).distinct()
+    schema = T.StructType([key, T.StructField(SUBMITTED, T.StringType())])
+    target = f"{path.rstrip('/')}/{table}"
+    try:
+        stored = spark.read.schema(schema).parquet(target)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = spark.createDataFrame([], schema)
+    return stored.select(SUBMITTED, key.name).filter(F.col(SUBMITTED).isNotNull()).join(named, SUBMITTED, "left_semi")
+
+
+def without_stored(spark: SparkSession, path: str, table: str, submissions: DataFrame) -> DataFrame:
+    """The submissions that the table has no rows of."""
+    stored = stored_submissions(spark, path, table, submissions).select(F.col(SUBMITTED).alias("_stored")).distinct()
+    return submissions.join(stored, F.col(SUBMISSION).cast("string") == F.col("_stored"), "left_anti")
+
+
 def scan_years(
     spark: SparkSession, path: str, table: str, first: int, last: int
 ) -> DataFrame:

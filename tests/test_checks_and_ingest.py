@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime
+import re
 from decimal import Decimal as D
 
 import pytest
 from pyspark.sql import functions as F
 
-from crewledger.operators import ingest, payments, quality
+from crewledger.operators import ingest, order, payments, quality
 from crewledger.schemas import SCHEMAS
 from crewledger.sources.tables import append, load_tables
 from tests.fixture import as_dicts, column
@@ -85,14 +86,15 @@ def test_defaults(spark):
 # ── ids ──────────────────────────────────────────────────────────────────────────────────────
 
 
-@pytest.mark.parametrize("buckets", [1, 7, 512])
-def test_ids_are_consecutive_and_repeatable(spark, tables, buckets):
-    rows = spark.range(5000).select((F.col("id") * 31).alias("submission_id")).repartition(13)
-    numbered = ingest.assign_ids(rows, "Client_ID", tables["Client"], buckets=buckets)
+@pytest.mark.parametrize("partitions, level", [(1, 1024), (13, 1024), (40, 8), (7, 1)])
+def test_ids_are_consecutive_and_repeatable(spark, tables, monkeypatch, partitions, level):
+    """Over one task and many, with groups of tasks of every size."""
+    monkeypatch.setattr(order, "TASKS", level)
+    rows = spark.range(5000).select((F.col("id") * 31).alias("submission_id")).repartition(partitions)
+    numbered = ingest.assign_ids(rows.filter("submission_id % 2 = 1 or submission_id < 90000"), "Client_ID", tables["Client"])
     first = {r["submission_id"]: r["Client_ID"] for r in numbered.collect()}
-    assert sorted(first.values()) == list(range(6, 5006))
-    again = ingest.assign_ids(rows.repartition(3), "Client_ID", 5, buckets=buckets)
-    assert {r["submission_id"]: r["Client_ID"] for r in again.collect()} == first
+    assert sorted(first.values()) == list(range(6, 6 + len(first))) and len(first) > 2500
+    assert {r["submission_id"]: r["Client_ID"] for r in numbered.orderBy("submission_id").collect()} == first
 
 
 def test_ids_of_an_empty_table_start_at_one(spark, tables):
@@ -100,6 +102,98 @@ def test_ids_of_an_empty_table_start_at_one(spark, tables):
     assert sorted(column(numbered, "Client_ID")) == [1, 2, 3]
 
 
+def test_batch_is_evaluated_once_for_rows_of_two_tables(spark, tables):
+    """An accumulator counts how often a submission passes."""
+    passed = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda name: passed.add(1) or name, "string").asNondeterministic()
+    batch = forms(spark, "client_name string, property_address string, service_description string", [(n, f"C{n}", "Road", "Mow") for n in range(9)])
+    done = ingest.ingest_estimate_requests(batch.withColumn("client_name", counted("client_name")), tables, DAY).settled()
+    assert [done.rows[t].count() for t in ("Client", "Estimate")] == [9, 9] and done.rejects.count() == 0
+    assert passed.value == 9
+
+
+def test_batch_and_parents_are_read_once_for_their_keys(spark, tables, tmp_path):
+    """Two scans of the batch, for keys and for rows, and one of a parent that two columns refer to."""
+    path = str(tmp_path)
+    append(tables["Client"], path, "Client")
+    append(tables["Referral"], path, "Referral")
+    stored = load_tables(spark, path, names=["Client", "Referral"])
+    flagged = quality.flag_unknown_keys(stored["Referral"], {"Referrer_ID": "Client", "Referee_ID": "Client"}, stored, "Referral_ID")
+    assert flagged.count() == tables["Referral"].count()
+    flagged.collect()
+    plan = flagged._jdf.queryExecution().executedPlan()
+    text = re.split("== Initial Plan ==", plan.toString())[0]
+    scans = re.findall(r"FileScan parquet \S*\[([^\]]*)\]", text)
+    assert sum("Referral_ID" in s for s in scans) == 1 and len([s for s in scans if "Referr" in s or "Referee" in s]) <= 3
+
+
+def test_unknown_keys_of_several_parents(spark, tables):
+    rows = spark.createDataFrame([(1, 1, 1), (2, 99, 1), (3, 1, 99), (4, None, None), (5, 99, 99), (6, 99, 1)], "id long, Client_ID long, Employee_ID long")
+    references = {"Client_ID": "Client", "Employee_ID": "Employee"}
+    assert {r.key: r.missing for r in quality.unknown_keys(rows, references, tables).collect()} == {99: 3}
+    flagged = quality.flag_unknown_keys(rows, references, tables, "id")
+    assert flagged.columns == ["id", "Client_ID", "Employee_ID", "reason"]
+    assert {r.id: r.reason for r in flagged.collect()} == {
+        1: None, 2: "Client_ID is unknown", 3: "Employee_ID is unknown", 4: None, 5: "Client_ID is unknown", 6: "Client_ID is unknown"}
+
+
+def test_payments_sent_twice_are_stored_once(spark, tables, tmp_path):
+    path = str(tmp_path)
+    for table, rows in tables.items():
+        append(rows, path, table)
+    batch = forms(spark, "contract_id long, invoice_id string, payment_amount string", [(1, 1, "1", "350"), (2, 1, None, "5"), (3, None, "1", "5")])
+    for again in (batch, batch, batch.unionByName(forms(spark, "contract_id long, invoice_id string, payment_amount string", [(9, 1, "1", "7")]))):
+        done = ingest.ingest_once(ingest.ingest_payments, again, load_tables(spark, path), path, "Payment")
+    assert reasons(done.rejects) == {3: "Contract_ID is required"}
+    stored = load_tables(spark, path)["Payment"]
+    new = stored.filter("Payment_ID > 6")
+    assert sorted(column(new, "Payment_Amount")) == [D(5), D(7), D(350)] and sorted(column(new, "Payment_ID")) == [7, 8, 9]
+
+
+def test_form_of_two_tables_goes_on_after_a_crash(spark, tables, tmp_path):
+    """The clients were stored, the estimates were not; other clients came in between."""
+    path = str(tmp_path)
+    for table, rows in tables.items():
+        append(rows, path, table)
+    schema = "client_name string, property_address string, service_description string"
+    batch = forms(spark, schema, [(n, f"C{n}", "Road", "Mow") for n in range(6)])
+    first = ingest.ingest_estimate_requests(batch, load_tables(spark, path), DAY).settled()
+    append(first.rows["Client"], path, "Client")
+    ingest.ingest_once(ingest.ingest_clients, forms(spark, "client_name string", [(100, "Between")]), load_tables(spark, path), path, "Client")
+    for _ in range(2):
+        ingest.ingest_once(ingest.ingest_estimate_requests, batch, load_tables(spark, path), path, "Estimate", as_of=DAY)
+    after = load_tables(spark, path)
+    assert sorted(column(after["Client"], "Client_ID")) == list(range(1, 13))
+    names = after["Estimate"].filter(f"Estimate_ID > {max(column(tables['Estimate'], 'Estimate_ID'))}").join(after["Client"], "Client_ID")
+    assert sorted(column(names, "Client_Name")) == [f"C{n}" for n in range(6)]
+
+
+def test_rules_of_the_form_pages(spark, tables):
+    done = ingest.ingest_payments(forms(spark, "contract_id long, invoice_id string, payment_amount string", [
+        (1, 1, "1", "-50"), (2, 1, None, "5"), (3, 1, "1", "0"), (4, 1, "1", "5")]), tables, strict=True)
+    assert reasons(done.rejects) == {1: "Payment_Amount is not positive", 2: "Invoice_ID is required", 3: "Payment_Amount is not positive"}
+    done = ingest.ingest_invoices(forms(spark, "contract_id long, client_id long, invoice_date string, due_date string, total_amount string", [
+        (1, 1, 1, "2024-05-01", "2024-05-09", "-5.00"), (2, 1, 1, "", "2024-05-09", "5"), (3, 1, 1, "2024-05-01", None, "5"),
+        (4, 1, 1, "2024-05-01", "2024-05-09", None), (5, 1, 1, "2024-05-01", "2024-05-09", "5")]), tables, strict=True)
+    assert reasons(done.rejects) == {1: "Total_Amount is not positive", 2: "Invoice_Date is required", 3: "Due_Date is required",
+                                     4: "Total_Amount is not positive"}
+    contract = "estimate_id long, client_id long, pricing string, start_date string, end_date string, service_scope string"
+    batch = forms(spark, contract, [(1, 1, 1, "5", None, "2024-05-01", "x"), (2, 1, 1, "5", "2024-05-01", " ", "x"),
+                                    (3, 1, 1, "5", "2024-05-01", "2024-05-01", " "), (4, 1, 1, "-1", "2024-05-01", "2024-05-01", "x")])
+    wanted = {1: "Contract_StartDate is required", 2: "Contract_EndDate is required", 4: "Pricing is not positive"}
+    assert reasons(ingest.ingest_contracts(batch, tables, strict=True).rejects) == wanted
+    assert reasons(ingest.ingest_contracts(batch, tables, strict=True, with_scope=True).rejects) == wanted | {3: "Service_Scope is required"}
+    estimate = "client_id long, property_address string, service_description string, estimated_cost string, estimated_labor_hours string, estimate_date string"
+    batch = forms(spark, estimate, [(1, 1, "", "d", "5", "1", "2024-05-01"), (2, 1, "a", None, "5", "1", "2024-05-01"), (3, 1, "a", "d", "", "1", "2024-05-01"),
+                                    (4, 1, "a", "d", "5", "-1", "2024-05-01"), (5, 1, "a", "d", "5", "1", None), (6, 1, "a", "d", "5", "1", "2024-05-01")])
+    assert reasons(ingest.ingest_estimates(batch, tables, strict=True).rejects) == {
+        1: "Property_Address is required", 2: "Service_Description is required", 3: "Estimated_Cost is not positive",
+        4: "Estimated_Labor_Hours is not positive", 5: "Estimate_Date is required"}
+    batch = forms(spark, "service_id string, total_actual_cost string, total_estimated_cost string", [(1, "1", "0", "5"), (2, "1", "5", ""), (3, "1", "5", "5")])
+    assert reasons(ingest.ingest_job_costing(batch, tables, strict=True).rejects) == {
+        1: "Total_Actual_Cost is not positive", 2: "Total_Estimated_Cost is not positive"}
+
+
 # ── forms ────────────────────────────────────────────────────────────────────────────────────
 
 
