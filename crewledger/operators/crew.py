@@ -52,9 +52,10 @@ def service_employees(tables: Tables) -> DataFrame:
     )
 
 
+@listing("Employee_Name", "Employee_ID")
 def vw_service_employees(tables: Tables) -> DataFrame:
     """As above, without the e-mail address."""
-    return service_employees(tables).drop("Employee_Email")
+    return service_employees(tables, ordered=False).drop("Employee_Email")
 
 
 @listing("Service_Date", "Service_ID", "Employee_Name")

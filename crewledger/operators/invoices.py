@@ -15,7 +15,7 @@ from crewledger.functions.status import aging_bucket
 from crewledger.operators.filters import apply_filters, match_ids, whole_number
 from crewledger.operators.joins import lookup
 from crewledger.operators.order import listing
-from crewledger.sources.tables import Tables, in_stored_period, in_stored_year
+from crewledger.sources.tables import STORED_YEAR, Tables, in_stored_period, in_stored_year
 
 OPEN_STATUSES = ["Unpaid", "Partial"]
 
@@ -158,15 +158,33 @@ def _period_key(month, year):
     )
 
 
+def in_asked_years(invoices: DataFrame, asked: DataFrame) -> DataFrame:
+    """The invoices that periods (Month, Year) may cover, by the folders they are stored in.
+
+    Where every period names its year, only those years are listed; a period of any year needs all of them. The years
+    come from a scalar subquery over the small table of periods, which prunes the folders while the query runs.
+    Files without a stored year are always read.
+    """
+    if STORED_YEAR not in invoices.columns:
+        return invoices
+    # At most one entry per calendar year.
+    wanted = asked.agg(F.struct(
+        F.coalesce(F.bool_or(F.col("Year").isNull()), F.lit(False)).alias("all"), F.collect_set("Year").alias("years"))).scalar()
+    year = F.col(STORED_YEAR)
+    return invoices.filter(year.isNull() | wanted["all"] | F.array_contains(wanted["years"], year))
+
+
 def period_totals(invoices: DataFrame, periods: DataFrame) -> DataFrame:
-    """Invoice totals of each period asked for.
+    """Invoice totals of each period asked for. Stored invoices of other years are not read (`in_asked_years`).
 
     `periods` has Month and Year; NULL in either means any. A period asked for twice counts once,
     periods may overlap, and a period without invoices has totals of 0. The invoices are reduced
     to one row per month before the months are rolled up to years, months of any year and all
     time, so the match with the periods is an equi-join of two small tables.
     """
-    by_month = invoices.groupBy(
+    asked = periods.select(
+        F.col("Month").cast("int").alias("Month"), F.col("Year").cast("int").alias("Year")).distinct()
+    by_month = in_asked_years(invoices, asked).groupBy(
         F.month("Invoice_Date").alias("Month"), F.year("Invoice_Date").alias("Year"),
     ).agg(
         F.count(F.lit(1)).alias("n"), F.sum("Total_Amount").alias("billed"), F.sum("Amount_Paid").alias("paid"),
@@ -180,8 +198,6 @@ def period_totals(invoices: DataFrame, periods: DataFrame) -> DataFrame:
     any_year = F.col("level").bitwiseAND(1) != 0
     rolled = rolled.filter((any_month | F.col("Month").isNotNull()) & (any_year | F.col("Year").isNotNull()))
     sums = rolled.select(_period_key(F.col("Month"), F.col("Year")).alias("Period"), "n", "billed", "paid")
-    asked = periods.select(
-        F.col("Month").cast("int").alias("Month"), F.col("Year").cast("int").alias("Year")).distinct()
     asked = asked.withColumn("Period", _period_key(F.col("Month"), F.col("Year")))
     return asked.join(sums, "Period", "left").select(
         "Period", "Month", "Year", month_name(F.col("Month")).alias("Month_Name"),

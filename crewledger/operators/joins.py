@@ -7,6 +7,8 @@ Broadcasting is left to the optimizer, which checks the size of a side before it
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,14 +27,30 @@ def lookup(rows: DataFrame, parents: DataFrame, key: str, row_key: str | list[st
     return left.join(right, matches, "left").drop("_spread", "_parent_key", "_parent_spread")
 
 
-def with_childless(children: DataFrame, parents: DataFrame, key: str, owners: DataFrame) -> DataFrame:
-    """The children plus one row of NULLs for every parent without any.
+def presence(links: list[tuple[DataFrame, dict[str, int]]]) -> DataFrame:
+    """(key, present): for every key the bits of all columns it occurs in, from (table, {column: bit}).
+
+    Each table is read once for all its columns, and all levels of a tree of tables share one aggregation on the
+    keys alone. Equal numbers of different tables are told apart by their bits. As `present` is no grouping key, a
+    filter on it stays above the aggregation, which is then computed once for all who ask.
+    """
+    parts = [
+        table.select(F.explode(F.array(*[F.struct(F.col(c).alias("key"), F.lit(bit).alias("bit")) for c, bit in columns.items()])).alias("k"))
+        for table, columns in links
+    ]
+    keys = functools.reduce(DataFrame.unionAll, parts).select("k.key", "k.bit").filter("key IS NOT NULL")
+    return keys.groupBy("key").agg(F.bit_or("bit").alias("present"))
+
+
+def childless(present: DataFrame, own: int, children: int, key: str) -> DataFrame:
+    """The keys that have the bit `own` and none of the bits `children`."""
+    return present.filter(F.col("present").bitwiseAND(own | children) == own).select(F.col("key").alias(key))
+
+
+def with_childless(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """The children plus one row of NULLs for each of `parents`, the keys of those without any.
 
-    An inner join of the parents with the result equals their left join with the children. The
-    inner join can be split when one parent owns most children; the left join could not. `owners`
-    is the table whose keys tell which parents have children, so that deep children are computed
-    once. Its keys are made distinct first, which shrinks a hot parent to one row per task.
+    An inner join of all parents with the result equals their left join with the children. The
+    inner join can be split when one parent owns most children; the left join could not.
     """
-    owned = owners.select(key).distinct()
-    childless = parents.select(key).join(owned, key, "left_anti")
-    return children.filter(F.col(key).isNotNull()).unionByName(childless, allowMissingColumns=True)
+    return children.filter(F.col(key).isNotNull()).unionByName(parents, allowMissingColumns=True)

@@ -31,6 +31,7 @@ def listing(*keys: str) -> Callable[[Callable[..., DataFrame]], Callable[..., Da
             rows = operator(*args, **options)
             return rows.orderBy(*map(sort_key, keys)) if ordered else rows
 
+        sorted_listing.order = keys
         return sorted_listing
 
     return decorate
@@ -76,3 +77,8 @@ def with_positions(rows: DataFrame, *order: Column, name: str = "Position") -> D
     """
     use_checkpoints(rows.sparkSession)
     return numbered(rows.orderBy(*order).checkpoint(), name)
+
+
+def positioned(operator: Callable[..., DataFrame], *args, **options) -> DataFrame:
+    """The rows of a listing with the position that its order gives each."""
+    return with_positions(operator(*args, ordered=False, **options), *map(sort_key, operator.order))

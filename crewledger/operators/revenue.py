@@ -35,16 +35,20 @@ def without_case(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.withColumns({c: F.collate(F.col(c), "UTF8_LCASE") for c in columns})
 
 
-def _billed_groups(tables: Tables, services: DataFrame, keys: list[str], dedupe: bool) -> DataFrame:
+def _billed_groups(tables: Tables, services: DataFrame, keys: list[str], dedupe: bool, distinct: bool = False) -> DataFrame:
     """One row per contract and report group beside the contract's invoice sums.
 
-    `weight` is how often each invoice of the contract counts in the group.
+    `weight` is how often each invoice of the contract counts in the group. `services` counts rows; with `distinct` there is
+    `distinct_services` as well, which counts a service once however often it is stored.
     """
-    groups = services.filter(F.col("Contract_ID").isNotNull()).groupBy("Contract_ID", *keys).agg(
-        F.count(F.lit(1)).alias("services"),
-        F.min("Service_Date").alias("first"),
-        F.max("Service_Date").alias("last"),
-    )
+    rows = services.filter(F.col("Contract_ID").isNotNull())
+    dates = [F.min("Service_Date").alias("first"), F.max("Service_Date").alias("last")]
+    if distinct:
+        once = rows.groupBy("Contract_ID", *keys, "Service_ID").agg(F.count(F.lit(1)).alias("services"), *dates)
+        groups = once.groupBy("Contract_ID", *keys).agg(
+            F.sum("services").alias("services"), F.count("Service_ID").alias("distinct_services"), F.min("first").alias("first"), F.max("last").alias("last"))
+    else:
+        groups = rows.groupBy("Contract_ID", *keys).agg(F.count(F.lit(1)).alias("services"), *dates)
     weight = F.lit(1).cast("bigint") if dedupe else F.col("services")
     return groups.withColumn("weight", weight).join(_billed_contracts(tables), "Contract_ID")
 
@@ -70,9 +74,9 @@ def revenue_by_service(
     if ignore_case:
         services = without_case(services, ["Service_Type"])
     services = apply_filters(services, {"Service_Type": service_type})
-    rows = _billed_groups(tables, services, ["Service_Type"], dedupe_invoices)
+    rows = _billed_groups(tables, services, ["Service_Type"], dedupe_invoices, distinct=True)
     return rows.groupBy("Service_Type").agg(
-        F.sum("services").alias("Total_Services"),
+        F.sum("distinct_services").alias("Total_Services"),
         _weighted_sum("billed").alias("Total_Revenue"),
         _weighted_mean().alias("Avg_Revenue"),
         F.min("first").alias("First_Service"),
@@ -80,6 +84,7 @@ def revenue_by_service(
     ).orderBy(F.desc("Total_Revenue"), "Service_Type")
 
 
+@listing("-Total_Revenue", "Service_Type")
 def vw_revenue_by_service_type(
     tables: Tables, dedupe_invoices: bool = False, ignore_case: bool = False
 ) -> DataFrame:
@@ -92,9 +97,10 @@ def vw_revenue_by_service_type(
         _weighted_mean().alias("Avg_Revenue_Per_Service"),
         F.min("first").alias("Earliest_Service"),
         F.max("last").alias("Latest_Service"),
-    ).orderBy(F.desc("Total_Revenue"), "Service_Type")
+    )
 
 
+@listing("-Total_Revenue", "Property_Location")
 def vw_revenue_by_location(
     tables: Tables, dedupe_invoices: bool = False, ignore_case: bool = False
 ) -> DataFrame:
@@ -107,7 +113,7 @@ def vw_revenue_by_location(
         F.sum(F.col("services") * F.col("invoices")).alias("Total_Services"),
         _weighted_sum("billed").alias("Total_Revenue"),
         _weighted_mean().alias("Avg_Revenue"),
-    ).orderBy(F.desc("Total_Revenue"), "Property_Location")
+    )
 
 
 @listing("-Revenue_Year", "-Revenue_Month", "Service_Type", "Client_Name", "Property_Location")
@@ -151,11 +157,15 @@ def _client_revenue(tables: Tables) -> DataFrame:
 REVENUE_COLUMNS = ["Total_Contracts", "Total_Billed", "Total_Collected", "Outstanding_Balance"]
 
 
+def client_revenue(tables: Tables) -> DataFrame:
+    """Every client with invoices by name, in no order."""
+    clients = tables["Client"].select("Client_ID", "Client_Name")
+    return clients.join(_client_revenue(tables), "Client_ID").select("Client_ID", "Client_Name", *REVENUE_COLUMNS)
+
+
 def top_clients(tables: Tables, limit: int | str = 10) -> DataFrame:
     """The clients that paid most; equal sums are ordered by client id."""
-    clients = tables["Client"].select("Client_ID", "Client_Name")
-    return (clients.join(_client_revenue(tables), "Client_ID")
-            .select("Client_ID", "Client_Name", *REVENUE_COLUMNS)
+    return (client_revenue(tables)
             .orderBy(F.desc("Total_Collected"), "Client_ID").limit(int(limit)))
 
 

@@ -18,6 +18,7 @@ from crewledger.functions.text import stars
 from crewledger.operators import (
     clients, costing, crew, estimates, ingest, invoices, payments, quality, revenue, services, totals,
 )
+from crewledger.operators.order import positioned, with_positions
 from crewledger.plans import views
 from crewledger.session import prepare, shared_folder
 from crewledger.sources import bindings
@@ -311,6 +312,22 @@ def _view_sizes(t: Tables) -> DataFrame:
 
 
 
+def _view(name: str) -> Callable[[Tables], DataFrame]:
+    """All rows of a reporting view, selected by its name."""
+
+    def rows(t: Tables) -> DataFrame:
+        views.register_views(t._spark, t, AGING_DAY if name == "vw_OutstandingInvoices" else
+                             SCHEDULE_DAY if name == "vw_ScheduleWorkload" else VIEW_DAY, [name])
+        return t._spark.sql(f"SELECT * FROM {name}")
+
+    return rows
+
+
+def _referrals_in_order(t: Tables) -> DataFrame:
+    rows = clients.referrals(t, ordered=False)
+    return with_positions(rows, *clients.referral_order(rows, "Referrer_Name", True))
+
+
 TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     # look-ups, projections, filters
     "clients_list": clients.clients_list,
@@ -396,11 +413,19 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "outstanding_with_total": lambda t: totals.with_total_row(
         invoices.outstanding_invoices(t, AGING_DAY).select("Invoice_ID", "Total_Amount", "Amount_Paid", "Balance_Due"),
         ["Total_Amount", "Amount_Paid", "Balance_Due"]),
+    "clients_ranked": lambda t: clients.rank_clients(t, 1_000_000),
+    "clients_in_order": lambda t: positioned(clients.clients_list, t),
+    "contracts_in_order": lambda t: positioned(invoices.contracts_list, t),
+    "outstanding_in_order": lambda t: positioned(invoices.outstanding_invoices, t, AGING_DAY).select("Invoice_ID", "Days_Overdue", "Position"),
+    "referrals_in_order": _referrals_in_order,
+    "client_history_entries": clients.client_history_entries,
+    "client_history_entries_at": lambda t: clients.client_history_entries(t, location="tion_1"),
     # checks
     "foreign_key_check": lambda t: quality.orphan_counts(t, "Client_Feedback"),
     "foreign_key_checks": quality.all_orphan_counts,
     # Tables stored twice over: counts and checks are those of the tables stored once.
     "foreign_key_check_repeated": lambda t: quality.orphan_counts(_doubled(t, "Service", "Client"), "Client_Feedback"),
+    "revenue_by_service_repeated": lambda t: revenue.revenue_by_service(_doubled(t, "Service"), dedupe_invoices=True),
     "employee_clients_repeated": lambda t: crew.employee_clients(_doubled(t, "Service", "Service_Employee")),
     # stored and read again, and read by name
     "stored_round_trip": _stored_totals,
@@ -450,6 +475,9 @@ TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 
+TABLE_QUERIES |= {f"{name}_by_name": _view(name) for name in views.NAMES}
+
+
 def _over_folder(query: Callable[[Tables], DataFrame]) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         return plain(query(bindings.bound_tables(prepare(spark), folder)))

@@ -368,6 +368,8 @@ def oracle_sql() -> dict[str, str]:
                    {_num('sum(Total_Amount) - sum(Amount_Paid)')} AS Total_Outstanding FROM invoice"""),
         "balances_round_trip": found["apply_payments"],
         "views_by_name": counted,
+        "revenue_by_service_repeated": found["revenue_by_service_deduplicated"],
+        **{f"{view}_by_name": found[query] for view, query in VIEW_QUERIES.items()},
         "payments_ingested_twice": found["ingest_payments"].replace("event_id AS submission_id, ", "", 1),
     }
 
@@ -588,6 +590,22 @@ def _plain_sql() -> dict[str, str]:
             "client contract invoice feedback",
             "SELECT * FROM (SELECT *, row_number() OVER (ORDER BY Total_Collected DESC, Client_ID) AS Rank "
             f"FROM ({_top_clients(100)})) WHERE Client_ID IN {wanted}"),
+        "clients_ranked": _sql(
+            "client contract invoice",
+            f"SELECT *, row_number() OVER (ORDER BY Total_Collected DESC, Client_ID) AS Rank FROM ({_top_clients(1_000_000)})"),
+        "clients_in_order": _sql(
+            "client", "SELECT Client_ID, Client_Name, row_number() OVER (ORDER BY Client_Name, Client_ID) AS Position FROM client"),
+        "contracts_in_order": _sql("client contract", f"""
+            SELECT Contract_ID, Client_Name, {_num('Pricing')} AS Pricing, Service_Scope,
+                   row_number() OVER (ORDER BY Contract_ID DESC) AS Position
+            FROM contract k JOIN client c ON k.Client_ID = c.Client_ID"""),
+        "outstanding_in_order": _sql("invoice client", f"""
+            SELECT Invoice_ID, {OVERDUE} AS Days_Overdue, row_number() OVER (ORDER BY {OVERDUE} DESC, Invoice_ID) AS Position
+            FROM invoice JOIN client USING (Client_ID) WHERE Invoice_Status IN ('Unpaid', 'Partial')"""),
+        "referrals_in_order": "SELECT *, row_number() OVER (ORDER BY lower(coalesce(Referrer_Name, '')), Referral_ID) AS Position "
+                              f"FROM ({_referrals()})",
+        "client_history_entries": _entries("TRUE"),
+        "client_history_entries_at": _entries("Property_Location ILIKE '%tion_1%'"),
         "vw_employee_clients": _sql("crew employee service client", EMPLOYEE_CLIENTS),
         "my_clients": _sql("crew employee service client", f"""
             SELECT * EXCLUDE (Employee_Name) FROM ({EMPLOYEE_CLIENTS})
@@ -744,6 +762,21 @@ def _history(condition: str) -> str:
         f"JOIN invoice i ON k.Contract_ID = i.Contract_ID WHERE {condition}")
 
 
+def _entries(condition: str) -> str:
+    pairs = (f"SELECT s.Client_ID, Client_Name, s.Contract_ID, s.Service_ID, Service_Date, Service_Type, i.Invoice_ID, Invoice_Date, Invoice_Status, Total_Amount "
+             f"FROM service s JOIN client c ON s.Client_ID = c.Client_ID JOIN contract k ON s.Contract_ID = k.Contract_ID "
+             f"JOIN invoice i ON k.Contract_ID = i.Contract_ID WHERE {condition}")
+    head = "Client_ID, Client_Name, Contract_ID"
+    return _sql("client service contract invoice payment", f"""
+        SELECT DISTINCT {head}, 'service' AS Entry_Kind, Service_ID AS Entry_ID, {_day('Service_Date')} AS Entry_Date, Service_Type AS Detail,
+               CAST(NULL AS DOUBLE) AS Amount FROM ({pairs})
+        UNION ALL
+        SELECT DISTINCT {head}, 'invoice', Invoice_ID, {_day('Invoice_Date')}, Invoice_Status, {_num('Total_Amount')} FROM ({pairs})
+        UNION ALL
+        SELECT DISTINCT Client_ID, Client_Name, p.Contract_ID, 'payment', Payment_ID, {_day('Payment_Date')}, Payment_Method, {_num('Payment_Amount')}
+        FROM ({pairs}) x JOIN payment p ON x.Contract_ID = p.Contract_ID""")
+
+
 def _referrals() -> str:
     return _select(
         "referral client",

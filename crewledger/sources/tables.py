@@ -48,10 +48,11 @@ def read_table(
 
 
 def load_tables(
-    spark: SparkSession, path: str, fmt: str = "parquet", names: Iterable[str] = SCHEMAS, stored_years: bool = False
+    spark: SparkSession, path: str, fmt: str = "parquet", names: Iterable[str] = SCHEMAS, stored_years: bool | None = None
 ) -> Tables:
-    """All tables below one folder, each in a sub-folder of its own name."""
-    return {name: read_table(spark, path, name, fmt, stored_years) for name in names}
+    """All tables below one folder, each in a sub-folder of its own name; from Parquet with their stored years."""
+    years = fmt == "parquet" if stored_years is None else stored_years
+    return {name: read_table(spark, path, name, fmt, years) for name in names}
 
 
 def in_stored_year(rows: DataFrame, year: Column) -> DataFrame:

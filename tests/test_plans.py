@@ -8,17 +8,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from crewledger.operators import clients, costing, crew, estimates, invoices, payments, quality, revenue
-from crewledger.plans import catalogue
+from crewledger.plans import catalogue, views
 from crewledger.schemas import SCHEMAS
 from crewledger.sources.tables import append, load_tables
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES = catalogue.queries()
 
-# Windows are used only over rows whose number is bounded: one per id bucket, one
+# Windows are used only over rows whose number is bounded: one per task, one
 # per calendar month, or the rows left by a limit.
 BOUNDED_WINDOWS = {name for name in QUERIES if name.startswith("ingest_")} | {
-    "assigned_ids", "monthly_chart", "rank_clients", "rank_clients_with_feedback"}
+    "assigned_ids", "monthly_chart", "rank_clients", "rank_clients_with_feedback", "payments_ingested_twice", "clients_ranked"} | {
+    name for name in QUERIES if name.endswith("_in_order")}
 
 
 def plan_of(df) -> str:
@@ -187,3 +188,70 @@ def test_hot_invoice_is_summed_before_the_join(skewed):
     assert "partial_sum(Payment_Amount" in plan_of(after)
     paid = {r["Invoice_ID"]: r["Amount_Paid"] for r in after.filter("Invoice_ID IN (8, 11)").collect()}
     assert paid == {8: 3, 11: 1 + 2 * 13_335}
+
+
+def test_period_totals_read_the_years_asked_for(spark, tables, tmp_path):
+    """Other years hold files that cannot be read; with a period of any year they are needed."""
+    path = str(tmp_path)
+    rows = tables["Invoice"].filter("year(Invoice_Date) = 2024").limit(3).unionByName(
+        tables["Invoice"].limit(2).withColumn("Invoice_Date", F.lit("2019-05-05").cast("date"))).unionByName(
+        tables["Invoice"].limit(1).withColumn("Invoice_Date", F.lit(None).cast("date")))
+    append(rows, path, "Invoice")
+    stored = load_tables(spark, path, names=["Invoice"])["Invoice"]
+    kept = spark.createDataFrame([r.asDict() for r in rows.collect()], tables["Invoice"].schema)
+    dated = spark.createDataFrame([(5, 2024), (None, 2024), (1, 2031)], "Month int, Year int")
+    everything = spark.createDataFrame([(5, None), (None, 2024)], "Month int, Year int")
+    for periods in (dated, everything, dated.limit(0)):
+        got, wanted = (sorted(map(str, invoices.period_totals(x, periods).collect())) for x in (stored, kept))
+        assert got == wanted
+    totals = invoices.period_totals(stored, dated)
+    assert re.search(r"PartitionFilters: \[[^\]]*isnull\(Stored_Year[^\]]*subquery", plan_of(totals))
+    (tmp_path / "Invoice" / "Stored_Year=2019" / "part-broken.parquet").write_bytes(b"not a file of ours")
+    broken = load_tables(spark, path, names=["Invoice"])["Invoice"]
+    assert invoices.period_totals(broken, dated).count() == 3
+    with pytest.raises(Exception, match="(?i)parquet"):
+        invoices.period_totals(broken, everything).collect()
+
+
+def test_totals_of_job_costs_share_the_exchanges_of_the_rows(stored):
+    """Service and Job_Costing are read once for the rows and for their totals."""
+    jobs = costing.job_costing(stored, ordered=False)
+    jobs.collect()
+    plan = plan_of(jobs).split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan or "ReusedSubquery" in plan or plan.count("/Job_Costing]") <= 2
+
+
+def test_history_reads_every_table_twice_at_most(stored):
+    plan = plan_of(clients.vw_client_service_history(stored, ordered=False))
+    present = [line for line in plan.splitlines() if "bit_or" in line and "partial_bit_or" not in line]
+    assert present and len(set(re.sub(r"#\d+L?|^[^A-Z]*", "", line) for line in present)) == 1
+    for level in ("left_anti", "LeftAnti"):
+        assert level not in plan
+
+
+def test_registered_views_carry_no_sort(spark, tables):
+    names = views.register_views(spark, tables, "2024-07-15")
+    assert names == views.NAMES and len(names) == 13
+    for name in names:
+        assert "rangepartitioning" not in plan_of(spark.sql(f"SELECT * FROM {name}")), name
+
+
+def test_positions_do_not_meet_in_one_task(spark, tables):
+    """Positions over many rows: no window over all of them, only over the tasks."""
+    ranked = clients.rank_clients(tables, limit=1_000_000)
+    plan = plan_of(ranked)
+    assert "_task" in plan and "windowspecdefinition(Total_Collected" not in plan
+    short, long = clients.rank_clients(tables, 2), ranked.filter("Rank <= 2")
+    assert short.select(long.columns).collect() == long.orderBy("Rank").collect()
+    assert [r.Rank for r in clients.rank_clients(tables, 1_000_000, client_id=2, keep_global_rank=False).collect()] == [1]
+
+
+def test_history_entries_are_linear(spark, tables):
+    """A contract with 30 services and 40 invoices has 70 entries, not 1200 rows."""
+    one = tables["Service"].filter("Contract_ID IS NOT NULL").limit(1).drop("Service_ID").crossJoin(spark.range(100, 130).withColumnRenamed("id", "Service_ID"))
+    contract = one.first()["Contract_ID"]
+    bill = tables["Invoice"].limit(1).drop("Invoice_ID", "Contract_ID").crossJoin(
+        spark.range(100, 140).withColumnRenamed("id", "Invoice_ID")).withColumn("Contract_ID", F.lit(contract))
+    few = tables | {"Service": one.select(tables["Service"].columns), "Invoice": bill.select(tables["Invoice"].columns), "Payment": tables["Payment"].limit(0)}
+    assert clients.client_service_history(few).count() == 1200
+    assert clients.client_history_entries(few).count() == 70
