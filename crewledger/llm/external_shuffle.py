@@ -39,7 +39,8 @@ def shuffled(
     docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, id_column: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """`docs` with new last columns for the shard, the grown shard and the slot, in that order."""
-    shard, grown, bucket, place, slot = (free_name(docs, n) for n in ("shard", "grown_shard", "bucket", "place", "slot"))
+    shard, grown, bucket, place, slot, earlier, s, b = (
+        free_name(docs, n) for n in ("shard", "grown_shard", "bucket", "place", "slot", "before", "s", "b"))
     total = docs.agg(F.sum(size_of(text))).first()[0] or 0
     buckets = max(1, -(-total // (shards * bucket_bytes)))
     scattered = docs.withColumns({
@@ -49,8 +50,8 @@ def shuffled(
     sizes = scattered.groupBy(shard, bucket).agg(F.count(F.lit(1)).alias("n"))
     # One row per bucket; a window holds those of one shard.
     before = sizes.select(
-        F.col(shard).alias("s"), F.col(bucket).alias("b"),
-        (F.sum("n").over(Window.partitionBy(shard).orderBy(bucket)) - F.col("n")).alias("before"))
+        F.col(shard).alias(s), F.col(bucket).alias(b),
+        (F.sum("n").over(Window.partitionBy(shard).orderBy(bucket)) - F.col("n")).alias(earlier))
 
     def shuffle(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([(id_column, "ascending"), (text, "ascending")])
@@ -62,8 +63,8 @@ def shuffled(
     reach_package(docs.sparkSession)
     schema = T.StructType([*scattered.schema.fields, T.StructField(place, T.LongType())])
     placed = scattered.groupBy(shard, bucket).applyInArrow(shuffle, schema)
-    found = placed.join(before, (F.col(shard) == F.col("s")) & (F.col(bucket) == F.col("b")))
-    return found.select(*docs.columns, shard, grown, (F.col("before") + F.col(place)).alias(slot))
+    found = placed.join(before, (F.col(shard) == F.col(s)) & (F.col(bucket) == F.col(b)))
+    return found.select(*docs.columns, shard, grown, (F.col(earlier) + F.col(place)).alias(slot))
 
 
 def write_shards(rows: DataFrame, folder: str) -> None:

@@ -203,21 +203,21 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     counted = with_counts(docs.select(F.col(text).alias("text"), _key(lang).alias("lang"), _key(source).alias("source")), "c")
     usable = counted.filter(~base_failed("c")).select("lang", "source", *[e.alias(x) for e, x in zip(transformed("c"), X, strict=True)])
     units, model = estimates(settled(usable))
+    name, c, m, v, d, m_lang, m_source = (
+        free_name(docs, n) for n in ("judged", "judged_counts", "model", "v", "d", "model_lang", "model_source"))
     models = units.join(model, "unit").select(
-        F.col("lang").alias("model_lang"), F.col("source").alias("model_source"), F.struct(*[c for c in model.columns if c != "unit"]).alias("model"))
-    name = free_name(docs, "judged")
-    c = f"{name}_counts"
+        F.col("lang").alias(m_lang), F.col("source").alias(m_source), F.struct(*[c for c in model.columns if c != "unit"]).alias(m))
     rows = with_counts(docs, c, text)
-    found = rows.join(models, (_key(lang) == F.col("model_lang")) & (_key(source) == F.col("model_source")), "left")
+    found = rows.join(models, (_key(lang) == F.col(m_lang)) & (_key(source) == F.col(m_source)), "left")
     point = F.struct(*[e.alias(x) for e, x in zip(transformed(c), X, strict=True)])
     squared = " + ".join(
-        f"{1 if i == j else 2} * model.p{i}{j} * (v.x{i} - model.m{i}) * (v.x{j} - model.m{j})" for i, j in PAIRS)
-    found = found.withColumn("v", point).withColumn("d", F.expr(squared))
+        f"{1 if i == j else 2} * {m}.p{i}{j} * ({v}.x{i} - {m}.m{i}) * ({v}.x{j} - {m}.m{j})" for i, j in PAIRS)
+    found = found.withColumn(v, point).withColumn(d, F.expr(squared))
     limit = chi_square_point(DIMENSIONS, 1 - TAIL)
     failed = base_failed(c)
     verdict = F.struct(
-        *[F.col(f"{c}.{k}").alias(k) for k in COUNTS], failed.alias("base_failed"), F.col("d").alias("distance"),
-        (~failed & F.coalesce(F.col("d") <= limit, F.lit(True))).alias("kept"))
+        *[F.col(f"{c}.{k}").alias(k) for k in COUNTS], failed.alias("base_failed"), (~failed & F.coalesce(F.col(d) <= limit, F.lit(True))).alias("kept"),
+        F.col(d).alias("distance"))
     return found.select(*[rows[x] for x in docs.columns], verdict.alias(name))
 
 

@@ -24,22 +24,23 @@ BLOCK_TOKENS = 1 << 16
 FILE_DOCUMENTS = 20_000
 
 
+# Stands for a separator that is part of a text; no token has this id.
+SPELLED_OUT = 0xFFFF
+
+
 def write_flat(docs: DataFrame, folder: str, path: str, separator: int, text: str = "text") -> None:
     """Writes the ids of all texts to flat files in `folder`, each text followed by `separator`.
 
-    A null text is an empty document. A task writes what it reads, so nothing is shuffled. The line end of Spark's
+    A null text is an empty document. A separator within a text is written as SPELLED_OUT and counts as the token it is. A task writes what it reads, so nothing is shuffled. The line end of Spark's
     text writer is the separator's two bytes.
     """
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         flat, counts = pieces_of(path).encode(batch.column("text"))
-        if len(flat) and (flat.max() > 0xFFFF or (flat == separator).any()):
-            # A text that spells the separator out would end early.
-            owner = np.repeat(np.arange(len(counts)), counts)
-            flat, owner = flat[flat != separator], owner[flat != separator]
-            counts = np.bincount(owner, minlength=len(counts))
-            if len(flat) and flat.max() > 0xFFFF:
-                raise ValueError("ids do not fit into 16 bits")
+        if len(flat) and flat.max() >= SPELLED_OUT:
+            raise ValueError("ids do not fit into 16 bits beside the one that stands for a separator in a text")
+        # A text that spells the separator out would end early.
+        flat = np.where(flat == separator, SPELLED_OUT, flat)
         starts = segment_starts(counts)
         ids = flat.astype("<u2")
         return pa.RecordBatch.from_arrays(

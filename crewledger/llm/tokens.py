@@ -15,6 +15,7 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 
 from crewledger.llm.frames import segment_starts
 
@@ -68,6 +69,8 @@ def special_ids(path: str) -> dict[str, int]:
         return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
 
 
+# The faster library splits by backtracking, which overflows its stack on very long runs of blanks; these go to the other one.
+LONG_BLANKS = regex.compile(r"\p{White_Space}{4096,}")
 # The splitting rule of byte-level tokenizers.
 BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -97,11 +100,25 @@ def byte_encoder(path: str) -> Callable[[str], list[int]]:
     ranks = {token: number for number, token in enumerate(table) if number not in special.values()}
     fast = tiktoken.Encoding("file", pat_str=BYTE_SPLIT, mergeable_ranks=ranks, special_tokens=special)
 
-    def encode(text: str) -> list[int]:
+    def part(text: str) -> list[int]:
         if any(s in text for s in special):
             return fast.encode(text, allowed_special="all")
         return fast.encode_ordinary(text)
 
+    def encode(text: str) -> list[int]:
+        found = LONG_BLANKS.search(text)
+        if found is None:
+            return part(text)
+        ids, done = [], 0
+        while found:
+            # A run of blanks is cut off from what stands before it, and its last one goes with what follows.
+            end = found.end() - (found.end() < len(text))
+            ids += part(text[done : found.start()])
+            ids += tokenizer(path).encode(text[found.start() : end], add_special_tokens=False).ids
+            done = end
+            found = LONG_BLANKS.search(text, end)
+        return ids + part(text[done:])
+
     return encode
 
 
