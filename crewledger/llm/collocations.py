@@ -1,14 +1,15 @@
 """Collocations from the counts of longest windows alone.
 
-Every word occurrence stands in front of a window: itself and the up to three words that follow in its piece, one column a
-word, padded with null at the end of the piece. Only these longest windows are counted. Spark's ROLLUP over (lang,
-w1, w2, w3, w4) then sums each count into ever shorter prefixes, which gives the occurrences of all phrases of one to
-four words, and per language of all words, without counting each length on its own.
+Every word occurrence stands in front of a window: itself and the up to three words that follow in its piece,
+padded at the end of the piece. Only these longest windows are counted. Spark's ROLLUP over (lang, w1, w2, w3, w4) then
+sums each count into ever shorter prefixes, which gives the occurrences of all phrases of one to four
+words, and per language of all words, without counting each length on its own.
 
-Most windows of ordinary text occur once. What cannot be part of a phrase with enough occurrences is
-padded before counting: a first pass counts words and neighbouring pairs by hash into SKETCH saturating
-counters, which never count too low, so a window ends before a pair whose counter is under the limit, and a word under it
-only counts as a word. The sketch has a fixed size and costs no exactness: where it is too full to tell, windows stay whole.
+Most windows of ordinary text occur once, so they travel packed: a task puts the distinct windows of a slice of text into
+lines, and the lines of windows that begin with the same pair of words go to the same part. There all windows of a pair are
+together, a window is cut back to its longest prefix with enough occurrences, and the rollup gets few rows. A pair that holds
+a good share of a sample of the text is dealt by its third word as well and never cut back to one word, as its
+occurrences are spread. No step depends on how large the table is.
 
 Defined cases: a null text is empty; a null language is `und`; repeated rows count again; an empty table has no
 phrases; other columns are not looked at.
@@ -21,7 +22,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,11 +29,12 @@ from crewledger.llm.frames import reach_package, settled, slices
 from crewledger.llm.words import Words, encoded, mix, seeds, word_hashes
 
 LONGEST, LEAST, INSIDE, FIRST = 4, 30, 80, 2000
-# One-byte counters; what is sent to every task.
-SKETCH = 1 << 24
-BLOCK = 1 << 16
+# Parts that windows are dealt to by their first two words.
+PARTS = 1 << 14
+# Pairs with more than this share of a task's sampled windows are dealt by three words; at most MOST_HOT of them are sent to every task.
+HOT_SHARE, MOST_HOT, SAMPLED = 1 / 2000, 4096, 0.02
 WORDS = [f"w{k}" for k in range(1, LONGEST + 1)]
-WINDOW = "lang string, " + ", ".join(f"{w} string" for w in WORDS) + ", c long"
+PACKED = "part int, hot boolean, lang string, c long, lines string"
 
 PIECE_END = b"\xff"  # a byte that UTF-8 never holds
 READABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\v\f\r", b"abcdefghijklmnopqrstuvwxyz" + PIECE_END * 10)
@@ -85,93 +86,95 @@ def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[Stream]:
                 yield found
 
 
-def place(hashes: np.ndarray, size: int) -> np.ndarray:
-    return (hashes % np.uint64(size)).astype(np.int64)
+def hot_pairs(texts: DataFrame, share: float = HOT_SHARE, sampled: float = SAMPLED) -> np.ndarray:
+    """Hashes of the pairs of words that a sample of the texts is full of, in ascending order.
 
-
-def sketch(texts: DataFrame, size: int = SKETCH) -> np.ndarray:
-    """Counters, up to 255, of the words and neighbouring pairs of each language, by hash.
-
-    Every task adds up a sketch of its own and sends its blocks that are not empty, packed.
+    They only decide how windows are dealt; any set gives the same counts.
     """
     reach_package(texts.sparkSession)
-    block = min(BLOCK, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(size, np.uint8)
         for found in streams(batches):
-            pairs = found.pair_hashes()[found.followed()[:-1]]
-            at, times = np.unique(place(np.concatenate([found.hashes, pairs]), size), return_counts=True)
-            counters[at] = np.minimum(counters[at] + times, 255).astype(np.uint8)
-        packer = zstandard.ZstdCompressor(1)
-        for number in range(size // block):
-            part = counters[number * block : (number + 1) * block]
-            if part.any():
-                yield pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int32()), "packed": [packer.compress(part.tobytes())]})
-
-    def added(key: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(block, np.int64)
-        for group in groups:
-            for packed in group.column("packed").to_pylist():
-                total = np.minimum(total + np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8), 255)
-        yield pa.RecordBatch.from_pydict(
-            {"block": pa.array([key[0].as_py()], pa.int32()), "packed": [zstandard.ZstdCompressor(1).compress(total.astype(np.uint8).tobytes())]})
-
-    schema = "block int, packed binary"
-    counters = np.zeros(size, np.uint8)
-    # At most size / block rows, one byte a counter.
-    for row in texts.mapInArrow(run, schema).groupBy("block").applyInArrow(added, schema).collect():
-        counters[row.block * block : (row.block + 1) * block] = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.packed), np.uint8)
-    return counters
-
-
-def longest_windows(found: Stream, counters: np.ndarray, least: int) -> pa.RecordBatch:
-    """The windows of a slice, each counted once with how often it occurs."""
-    size, count = len(counters), len(found.ids)
-    frequent = counters[place(found.hashes, size)] >= least
-    joined = found.followed()
-    if count > 1:
-        joined[:-1] &= counters[place(found.pair_hashes(), size)] >= least
+            pairs, times = np.unique(found.pair_hashes()[found.followed()[:-1]], return_counts=True)
+            often = times > max(1, share * len(found.ids))
+            yield pa.RecordBatch.from_pydict({"pair": pa.array(pairs[often].view(np.int64)), "n": pa.array(times[often].astype(np.int64))})
+
+    counted = texts.sample(sampled, seed=1).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    rows = counted.orderBy(F.desc("n"), "pair").limit(MOST_HOT).collect()
+    return np.sort(np.array([r.pair for r in rows], np.int64).view(np.uint64))
+
+
+def longest_windows(found: Stream) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct windows of a slice as word numbers (0 pads), where each first stands, and how often it occurs."""
+    count = len(found.ids)
     columns = np.zeros((count, LONGEST), np.int64)
-    columns[:, 0] = np.where(frequent, found.ids, 0)
-    going = frequent
-    for k in range(1, LONGEST):
-        if count <= k:
-            break
-        going = going[: count - k] & joined[k - 1 : count - 1]
-        columns[: count - k, k] = np.where(going, found.ids[k:], 0)
-    high = (found.lang.astype(np.int64) << 32) | columns[:, 0]
-    rest = columns[:, 1:]
-    alone = ~rest.any(axis=1)
-    # Most windows are one word: they are counted apart, without a sort over all columns.
-    values, times = np.unique(high[alone], return_counts=True)
-    keys = np.column_stack([high[~alone], rest[~alone]])
-    order = np.lexsort(keys.T[::-1])
-    keys = keys[order]
-    first = np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]) if len(keys) else np.zeros(0, bool)
-    starts = np.flatnonzero(first)
-    table = np.concatenate([np.column_stack([values, np.zeros((len(values), LONGEST - 1), np.int64)]), keys[starts]])
-    counted = np.concatenate([times, np.diff(np.concatenate([starts, [len(keys)]]))])
-    # Only the words that the windows name are made into text.
-    ids = np.column_stack([table[:, 0] & 0xFFFFFFFF, table[:, 1:]])
-    named, number = np.unique(ids, return_inverse=True)
-    names = pa.array([None if n == 0 else found.vocabulary[n - 1].decode() for n in named.tolist()], pa.string())
-    number = number.reshape(ids.shape)
-    langs = pa.array(found.langs, pa.string()).take(pa.array(table[:, 0] >> 32))
+    columns[:, 0] = found.ids
+    for k in range(1, min(LONGEST, count)):
+        columns[: count - k, k] = np.where(found.followed(k)[: count - k], found.ids[k:], 0)
+    if len(found.vocabulary) < (1 << 21) - 1:
+        keys = [(columns[:, 0] << 42) | (columns[:, 1] << 21) | columns[:, 2], (columns[:, 3] << 32) | found.lang]
+    else:
+        keys = [*columns.T, found.lang]
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(count, bool)
+    new[0] = True
+    for key in keys:
+        new[1:] |= key[order[1:]] != key[order[:-1]]
+    starts = np.flatnonzero(new)
+    first = order[starts]
+    return columns[first], first, np.diff(np.append(starts, count))
+
+
+def packed_windows(found: Stream, hot: np.ndarray) -> pa.RecordBatch:
+    """The distinct windows of a slice in lines by part, those that occur once together and each other one in a row of its own."""
+    table, first, times = longest_windows(found)
+    names = pa.array([w.decode(errors="ignore") for w in found.vocabulary], pa.string())  # the mark between pieces is no text
+    # A window of one word goes by that word, one of more by its first two, a hot one by three.
+    pairs = np.append(found.pair_hashes(), np.uint64(0))[first]
+    is_hot = (table[:, 1] > 0) & np.isin(pairs, hot)
+    third = np.append(found.hashes, np.zeros(2, np.uint64))[first + 2]
+    with np.errstate(over="ignore"):
+        key = np.where(table[:, 1] > 0, pairs, found.hashes[first])
+        key = np.where(is_hot & (table[:, 2] > 0), mix(key + third * np.uint64(3)), key)
+    part = (key % np.uint64(PARTS)).astype(np.int64)
+    lang = found.lang[first].astype(np.int64)
+    alone = times == 1
+    group = (((lang << 1) | is_hot) << 15 | part) << 1 | ~alone
+    order = np.argsort(group, kind="stable")
+    group, times = group[order], times[order]
+    begins = np.ones(len(order), bool)
+    begins[1:] = (group[1:] != group[:-1]) | (times[1:] > 1)
+    at = np.flatnonzero(begins)
+    words = [names.take(pa.array(np.maximum(table[order, k] - 1, 0), mask=table[order, k] == 0)) for k in range(LONGEST)]
+    windows = pc.binary_join_element_wise(*words, " ", null_handling="skip")
+    lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(at, len(order)).astype(np.int32)), windows), "\n")
+    group = group[at] >> 1
+    langs = pa.array(found.langs, pa.string()).take(pa.array(group >> 16))
     return pa.RecordBatch.from_arrays(
-        [langs, *(names.take(pa.array(number[:, k])) for k in range(LONGEST)), pa.array(counted.astype(np.int64))], names=["lang", *WORDS, "c"])
+        [pa.array((group & 0x7FFF).astype(np.int32)), pa.array(((group >> 15) & 1).astype(bool)), langs, pa.array(times[at].astype(np.int64)), lines],
+        names=["part", "hot", "lang", "c", "lines"])
 
 
-def windows(texts: DataFrame, counters: np.ndarray, least: int) -> DataFrame:
-    """(lang, w1..w4, c): the counted longest windows."""
+def windows(texts: DataFrame, hot: np.ndarray, least: int) -> DataFrame:
+    """(lang, w1..w4, c): the counted longest windows, each cut back to a prefix that may have `least` occurrences."""
     reach_package(texts.sparkSession)
-    shared = texts.sparkSession.sparkContext.broadcast(counters)
+    shared = texts.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in streams(batches):
-            yield longest_windows(found, shared.value, least)
+            yield packed_windows(found, shared.value)
 
-    return texts.mapInArrow(run, WINDOW).groupBy("lang", *WORDS).agg(F.sum("c").alias("c"))
+    dealt = texts.mapInArrow(run, PACKED).repartition("part")
+    # From here to the rollup everything stays in its part.
+    counted = dealt.select("part", "hot", "lang", "c", F.explode(F.split("lines", "\n")).alias("line")).groupBy(
+        "part", "lang", "line", "hot").agg(F.sum("c").alias("c"))
+    split = counted.select(
+        "part", "hot", "lang", "c", F.split("line", " ").alias("w"), F.substring_index("line", " ", 2).alias("two"), F.substring_index("line", " ", 3).alias("three"))
+    of_three = F.sum("c").over(Window.partitionBy("two", "lang", "part", "three"))
+    of_two = F.sum("c").over(Window.partitionBy("two", "lang", "part"))
+    summed = split.withColumn("f3", of_three).withColumn("f2", of_two)
+    enough = [F.lit(True), F.col("hot") | (F.col("f2") >= least), F.col("f3") >= least, F.col("c") >= least]
+    return summed.select("lang", *[F.when(enough[k], F.get("w", F.lit(k))).alias(word) for k, word in enumerate(WORDS)], "c")
 
 
 def phrases(counted: DataFrame, least: int) -> DataFrame:
@@ -187,12 +190,13 @@ def phrases(counted: DataFrame, least: int) -> DataFrame:
 
 
 def collocations(
-    docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, inside: int = INSIDE, first: int = FIRST, size: int = SKETCH
+    docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, inside: int = INSIDE, first: int = FIRST,
+    hot_share: float = HOT_SHARE, sampled: float = SAMPLED,
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of each language's best phrases."""
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"))
-    counters = sketch(texts, size)
-    return best_phrases(settled(phrases(windows(texts, counters, least), least)), inside, first)
+    counted = windows(texts, hot_pairs(texts, hot_share, sampled), least)
+    return best_phrases(settled(phrases(counted, least)), inside, first)
 
 
 def best_phrases(found: DataFrame, inside: int = INSIDE, first: int = FIRST) -> DataFrame:

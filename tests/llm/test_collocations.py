@@ -11,6 +11,7 @@ import pytest
 from crewledger.llm import collocations, queries
 from tests.compare import connect, differences
 
+WINDOW = "lang string, w1 string, w2 string, w3 string, w4 string, c long"
 FOLDER = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, c long, w1 string, phrase string, level string, f string, rank string"
@@ -54,12 +55,12 @@ def corpus():
     return rows + [(None, "en"), ("", "en"), (" ,.\n", "fr"), ("of the state " * 4000, "en"), ("once", "es"), rows[3], rows[3]]
 
 
-# A sketch of 64 counters is full at once: nothing is pruned then, and the result must not change.
-@pytest.mark.parametrize("size, least, first", [(1 << 16, 5, 50), (64, 5, 2000), (1 << 16, 30, 2000), (1 << 12, 1, 20)])
-def test_against_counting_all_phrases(spark, size, least, first):
+# With a share of 0 every sampled pair counts as hot, with a sample of nothing none does: the result must not change.
+@pytest.mark.parametrize("share, sampled, least, first", [(1 / 2000, 0.5, 5, 50), (0.0, 1.0, 5, 2000), (0.2, 0.0, 30, 2000), (0.01, 1.0, 1, 20)])
+def test_against_counting_all_phrases(spark, share, sampled, least, first):
     rows = corpus()
     docs = spark.createDataFrame([(i, *r, 1, "w", "p", "l", "f", "r") for i, r in enumerate(rows)], SCHEMA).repartition(5)
-    found = collocations.collocations(docs, least=least, first=first, size=size)
+    found = collocations.collocations(docs, least=least, first=first, hot_share=share, sampled=sampled)
     assert sorted(map(tuple, found.collect())) == brute(rows, least, first)
 
 
@@ -71,7 +72,7 @@ def test_scores_past_64_bits(spark):
     """Counts whose products do not fit into 64 bits, from made-up windows."""
     big = 9_000_000_000_000_000
     rows = [("en", "a", "b", None, None, big), ("en", "b", None, None, None, big), ("en", "a", None, None, None, 7)]
-    counted = spark.createDataFrame(rows, collocations.WINDOW)
+    counted = spark.createDataFrame(rows, WINDOW)
     found = {r.phrase: r.f for r in collocations.phrases(counted, 1).collect() if r.k}
     assert found == {"a": big + 7, "b": big, "a b": big}
     (best,) = collocations.best_phrases(collocations.phrases(counted, 1)).collect()
@@ -79,7 +80,7 @@ def test_scores_past_64_bits(spark):
 
 
 def test_plan_rolls_up_windows(spark, capsys):
-    counted = spark.createDataFrame([("en", "a", "b", None, None, 3)], collocations.WINDOW)
+    counted = spark.createDataFrame([("en", "a", "b", None, None, 3)], WINDOW)
     collocations.phrases(counted, 1).explain()
     assert "Expand" in capsys.readouterr().out
 
