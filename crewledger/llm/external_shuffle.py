@@ -39,8 +39,7 @@ def shuffled(
     docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, id_column: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """`docs` with new last columns for the shard, the grown shard and the slot, in that order."""
-    shard, grown, bucket, place, slot, earlier, s, b = (
-        free_name(docs, n) for n in ("shard", "grown_shard", "bucket", "place", "slot", "before", "s", "b"))
+    shard, grown, bucket, slot = (free_name(docs, n) for n in ("shard", "grown_shard", "bucket", "slot"))
     total = docs.agg(F.sum(size_of(text))).first()[0] or 0
     buckets = max(1, -(-total // (shards * bucket_bytes)))
     scattered = docs.withColumns({
@@ -50,21 +49,20 @@ def shuffled(
     sizes = scattered.groupBy(shard, bucket).agg(F.count(F.lit(1)).alias("n"))
     # One row per bucket; a window holds those of one shard.
     before = sizes.select(
-        F.col(shard).alias(s), F.col(bucket).alias(b),
-        (F.sum("n").over(Window.partitionBy(shard).orderBy(bucket)) - F.col("n")).alias(earlier))
+        shard, bucket, (F.sum("n").over(Window.partitionBy(shard).orderBy(bucket)) - F.col("n")).alias("before"))
 
-    def shuffle(rows: pa.Table) -> pa.Table:
+    def shuffle(rows: pa.Table, ahead: pa.Table) -> pa.Table:
         rows = rows.sort_by([(id_column, "ascending"), (text, "ascending")])
         number = [seed, rows.column(shard)[0].as_py(), rows.column(bucket)[0].as_py()]
         order = np.arange(rows.num_rows)
         np.random.default_rng(number).shuffle(order)
-        return rows.append_column(place, pa.array(np.argsort(order), pa.int64()))
+        place = np.argsort(order) + ahead.column("before")[0].as_py()
+        return rows.drop_columns([bucket]).append_column(slot, pa.array(place, pa.int64()))
 
     reach_package(docs.sparkSession)
-    schema = T.StructType([*scattered.schema.fields, T.StructField(place, T.LongType())])
-    placed = scattered.groupBy(shard, bucket).applyInArrow(shuffle, schema)
-    found = placed.join(before, (F.col(shard) == F.col(s)) & (F.col(bucket) == F.col(b)))
-    return found.select(*docs.columns, shard, grown, (F.col(earlier) + F.col(place)).alias(slot))
+    schema = T.StructType([*scattered.drop(bucket).schema.fields, T.StructField(slot, T.LongType())])
+    # A record moves once, to its bucket; the number of rows ahead of the bucket comes to it there.
+    return scattered.groupBy(shard, bucket).cogroup(before.groupBy(shard, bucket)).applyInArrow(shuffle, schema)
 
 
 def write_shards(rows: DataFrame, folder: str) -> None:
