@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crewledger.llm import minhash_bbit
-from crewledger.llm.frames import SLICE_BYTES, map_slices, reach_package, segment_starts, settled
+from crewledger.llm.frames import SLICE_BYTES, map_slices, reach_package, segment_starts, settled, tidy
 from crewledger.llm.words import encoded, mix, seeds, window_hashes
 
 # Blocks end where a hash of CONTEXT characters has its low bits clear, or at LONGEST characters.
@@ -217,7 +217,7 @@ def ranges_of(ids: DataFrame) -> tuple[list[int], dict[int, int | None]]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([range_of(batch.column("doc_id"), bounds), batch.column("doc_id")], names=["r", "doc_id"])
 
-    found = ids.mapInArrow(run, "r int, doc_id long").groupBy("r").agg(
+    found = ids.mapInArrow(tidy(run), "r int, doc_id long").groupBy("r").agg(
         F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("has_null")).collect()
     return bounds, {row["r"]: None if row["has_null"] else row["first"] for row in sorted(found, key=lambda row: row["r"])}
 
@@ -291,7 +291,7 @@ def compared(docs: DataFrame, id_column: str = "doc_id", text: str = "text") ->
 
     prepared = map_slices(rows, "text", PREPARED, prepare)
     dealt = prepared.repartition("r").sortWithinPartitions("r", "copied", F.col("doc_id").asc_nulls_first(), "tie")
-    return dealt.mapInArrow(walk, COMPARED)
+    return dealt.mapInArrow(tidy(walk), COMPARED)
 
 
 def compare(pairs: list) -> pa.RecordBatch:

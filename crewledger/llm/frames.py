@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -15,6 +17,8 @@ from crewledger.session import use_checkpoints
 
 # A Python worker holds the words of this much text at once, or one text if that is longer.
 SLICE_BYTES = 4 << 20
+# Spark hands a worker Arrow batches of about this size, or of one row if that is larger.
+BATCH_BYTES = 8 << 20
 PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -23,6 +27,41 @@ def reach_package(spark: SparkSession) -> None:
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if PACKAGE_ROOT not in known.split(":"):
         spark.sparkContext.environment["PYTHONPATH"] = ":".join(filter(None, [PACKAGE_ROOT, known]))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+# What workers keep from one slice to the next.
+KEPT: list = []
+
+
+def kept_for_task(make: Callable) -> Callable:
+    """`make` with its results kept until the task ends."""
+    found = lru_cache(maxsize=4)(make)
+    KEPT.append(found)
+    return found
+
+
+def task_end() -> None:
+    """Drop what the task kept and give free memory back: Spark keeps idle workers for other tasks."""
+    for held in KEPT:
+        held.cache_clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` followed by `task_end`, also where it fails or is not read to its end."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            task_end()
+
+    return tidied
 
 
 def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -54,7 +93,7 @@ def add_columns(
             for part in slices(batch, text):
                 yield pa.RecordBatch.from_arrays(part.columns + make(part.column(text)), names=names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def map_slices(
@@ -70,7 +109,7 @@ def map_slices(
                 if out is not None and out.num_rows:
                     yield out
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def settled(rows: DataFrame) -> DataFrame:

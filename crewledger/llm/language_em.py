@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crewledger.llm.frames import add_columns, free_name, reach_package, segment_starts, slices
+from crewledger.llm.frames import add_columns, free_name, reach_package, segment_starts, slices, tidy
 from crewledger.llm.words import Words, encoded, mix
 
 # N-grams are counted in this many cells per language, which bounds the model a task is sent.
@@ -82,7 +82,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 [pa.array([name] * len(cell), pa.string()), pa.array(cell.astype(np.int32)), pa.array(found[cell].astype(np.int64))],
                 names=["lang", "cell", "n"])
 
-    return docs.mapInArrow(run, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(tidy(run), "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
 
 
 def held_out(id_column: str = "doc_id") -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crewledger.llm.components import components
-from crewledger.llm.frames import map_slices, segment_starts, settled
+from crewledger.llm.frames import map_slices, segment_starts, settled, tidy
 from crewledger.llm.words import Words, encoded, mix, seeds, window_hashes, word_hashes
 
 WIDTH = 5
@@ -201,7 +201,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, sets_of: Sets = s
                 mask.append(100 * shared >= percent * ((len(x) + len(y)) // 8 - shared))
             yield batch.select(["u", "v"]).filter(pa.array(mask, pa.bool_()))
 
-    return both.select("u", "v", "a", "b").mapInArrow(keep, "u long, v long")
+    return both.select("u", "v", "a", "b").mapInArrow(tidy(keep), "u long, v long")
 
 
 def spanning_links(label: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:

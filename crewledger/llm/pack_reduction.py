@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crewledger.llm.frames import map_slices, reach_package, segment_starts, settled
+from crewledger.llm.frames import map_slices, reach_package, segment_starts, settled, tidy
 from crewledger.llm.tokens import pieces_of
 
 CAPACITY = 4096
@@ -251,7 +251,7 @@ def pack(
 
     reach_package(docs.sparkSession)
     schema = T.StructType([*cut.schema.fields]).add("sequence_id", "long").add("offset", "long")
-    return placed.select(*cut.columns, "rank").mapInArrow(place, schema)
+    return placed.select(*cut.columns, "rank").mapInArrow(tidy(place), schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

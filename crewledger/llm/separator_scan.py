@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crewledger.llm.frames import map_slices, reach_package, segment_starts, settled
+from crewledger.llm.frames import map_slices, reach_package, segment_starts, settled, tidy
 from crewledger.llm.tokens import pieces_of, special_ids
 
 BLOCK_TOKENS = 1 << 16
@@ -88,7 +88,7 @@ def scan_blocks(cut: DataFrame, separator: int, block_tokens: int = BLOCK_TOKENS
                 [batch.column("file"), batch.column("block"), pa.array(stops, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat))],
                 names=["file", "block", "stop", "ends"])
 
-    return cut.mapInArrow(run, schema)
+    return cut.mapInArrow(tidy(run), schema)
 
 
 def count_documents(spark: SparkSession, folder: str, separator: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:

@@ -9,7 +9,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
-from functools import lru_cache
 from itertools import compress
 
 import numpy as np
@@ -17,10 +16,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-from crewledger.llm.frames import segment_starts
+from crewledger.llm.frames import kept_for_task, segment_starts
 
-# Distinct pieces a worker remembers before it starts anew; about 100 bytes each.
-REMEMBERED = 400_000
+# Distinct pieces a worker remembers before it forgets the rarer ones, about 100 bytes each beside their own, and the bytes of all of them.
+REMEMBERED, REMEMBERED_BYTES = 200_000, 16 << 20
 PER_CALL = 4096
 
 def public_path(name: str) -> str:
@@ -30,7 +29,7 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@lru_cache(maxsize=4)
+@kept_for_task
 def tokenizer(path: str):
     """The library's tokenizer of a file, without truncation and padding."""
     import os
@@ -51,7 +50,7 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(others)}
 
 
-@lru_cache(maxsize=4)
+@kept_for_task
 def byte_table(path: str) -> tuple[list[bytes], np.ndarray]:
     """The bytes every id of a byte-level tokenizer stands for, and their lengths."""
     byte_of = byte_alphabet()
@@ -63,7 +62,7 @@ def byte_table(path: str) -> tuple[list[bytes], np.ndarray]:
     return table, np.fromiter(map(len, table), np.int64, len(table))
 
 
-@lru_cache(maxsize=4)
+@kept_for_task
 def special_ids(path: str) -> dict[str, int]:
     with open(path) as file:
         return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
@@ -75,7 +74,7 @@ LONG_BLANKS = regex.compile(r"\p{White_Space}{4096,}")
 BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-@lru_cache(maxsize=4)
+@kept_for_task
 def byte_encoder(path: str) -> Callable[[str], list[int]]:
     """Ids of a text with a byte-level tokenizer file, by the faster of the two installed BPE libraries.
 
@@ -129,7 +128,7 @@ SIMPLE_WORD = re.compile(rb"(?:[\x02-\x3b\x3d-\x7f]|<(?!\|)|\xc2[\x80-\x84\x86-\
 WORD_END, APART = b"\x00", b"\x01"
 
 
-@lru_cache(maxsize=4)
+@kept_for_task
 def word_encoder(path: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]] | None:
     """Ids of distinct simple words with a tokenizer file that marks word ends; None if it works otherwise.
 
@@ -173,15 +172,17 @@ class Pieces:
     def __init__(self, path: str) -> None:
         self.path = path
         self.known: dict[bytes, int] = {}
+        self.bytes = 0
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.length, self.hits = (np.zeros(1 << 12, np.int64) for _ in range(3))
 
     def forget(self) -> None:
-        """Keep the words that came up most often, half of what is remembered at most."""
+        """Keep the words that came up most often, half of what is remembered at most, in number and bytes."""
         count = len(self.known)
         kept = np.argsort(-self.hits[:count], kind="stable")[: REMEMBERED // 2]
-        kept = np.sort(kept[self.hits[kept] > 1])
         words = list(self.known)
+        sizes = np.fromiter((len(words[k]) for k in kept.tolist()), np.int64, len(kept))
+        kept = np.sort(kept[(self.hits[kept] > 1) & (np.cumsum(sizes) <= REMEMBERED_BYTES // 2)])
         lengths = self.length[kept]
         ends = np.cumsum(lengths)
         flat = self.flat[np.repeat(self.start[kept] - (ends - lengths), lengths) + np.arange(lengths.sum())]
@@ -190,6 +191,7 @@ class Pieces:
         self.start, self.length = np.concatenate([ends - lengths, room]), np.concatenate([lengths, room])
         self.hits = np.concatenate([np.ones(len(kept), np.int64), room])
         self.known = {words[k]: n for n, k in enumerate(kept.tolist())}
+        self.bytes = sum(map(len, self.known))
 
     def _library(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         found = tokenizer(self.path).encode([p.decode() for p in pieces], is_pretokenized=True, add_special_tokens=False)
@@ -225,11 +227,12 @@ class Pieces:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         coded = pa.DictionaryArray.from_arrays(coded.indices, coded.dictionary.cast(pa.binary()))
         distinct: list[bytes] = coded.dictionary.to_pylist()
-        if len(self.known) + len(distinct) > max(REMEMBERED, 2 * len(distinct)):
+        if len(self.known) + len(distinct) > max(REMEMBERED, 2 * len(distinct)) or self.bytes > REMEMBERED_BYTES:
             self.forget()
         missing = [p for p in distinct if p not in self.known]
         if missing:
             self._add(missing)
+            self.bytes += sum(map(len, missing))
         number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
         self.hits[number] += 1
         piece = number[coded.indices.to_numpy(zero_copy_only=False)]
@@ -240,6 +243,6 @@ class Pieces:
         return ids, np.diff(edges)
 
 
-@lru_cache(maxsize=4)
+@kept_for_task
 def pieces_of(path: str) -> Pieces:
     return Pieces(path)
