@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crewledger.llm import minhash_bbit
-from crewledger.llm.frames import SLICE_BYTES, map_slices, reach_package, segment_starts, settled, tidy
+from crewledger.llm.frames import map_slices, reach_package, segment_starts, settled, tidy
 from crewledger.llm.words import encoded, mix, seeds, window_hashes
 
 # Blocks end where a hash of CONTEXT characters has its low bits clear, or at LONGEST characters.
@@ -41,6 +41,8 @@ BAND = 4
 ALIKE = 70
 # Documents of one range of ids, which one task walks through in order.
 PER_RANGE = 4_000
+# Characters of documents that are walked together, beside those of their edited texts.
+HELD_CHARACTERS = 2 << 20
 MOST_RANGES = 20_000
 
 
@@ -92,29 +94,57 @@ def embedded(points: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndar
     return out
 
 
+class Blocks:
+    """The blocks of texts in order, each with its text's number and a 64-bit hash of what it says."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        raw = [t.decode().encode("utf-32-le") for t in texts]
+        counts = np.fromiter((len(r) // 4 for r in raw), np.int64, len(raw))
+        self.points = np.frombuffer(b"".join(raw), "<u4")
+        starts = segment_starts(counts)
+        begin, size = block_ends(self.points, starts, counts)
+        empty, filled = np.flatnonzero(counts == 0), np.flatnonzero(counts > 0)
+        owner = np.concatenate([empty, filled[np.searchsorted(starts[filled], begin[len(empty) :], "right") - 1]]).astype(np.int64)
+        order = np.lexsort((begin, owner))
+        self.begin, self.size, self.owner, self.texts = begin[order], size[order], owner[order], len(texts)
+        self.value = np.zeros(len(order), np.uint64)
+        if len(self.points):
+            first, length = self.begin[self.size > 0], self.size[self.size > 0]
+            place = np.arange(len(self.points)) - np.repeat(first, length)
+            with np.errstate(over="ignore"):
+                self.value[self.size > 0] = mix(np.add.reduceat(mix(self.points.astype(np.uint64) ^ seeds(LONGEST, 16)[place]), first))
+
+    def components(self) -> np.ndarray:
+        """The 64-bit components of each text, before bits are dropped. Blocks that say the same are walked once."""
+        out = np.zeros((self.texts, COMPONENTS), np.uint64)
+        if not self.texts:
+            return out
+        _, one, number = np.unique(self.value, return_index=True, return_inverse=True)
+        written = embedded(self.points, self.begin[one], self.size[one])
+        first = np.searchsorted(self.owner, np.arange(self.texts))
+        factors = (seeds(COMPONENTS * SAMPLES, 15) | np.uint64(1)).reshape(COMPONENTS, SAMPLES)
+        with np.errstate(over="ignore"):
+            for n, steps in enumerate(sampled_steps()):
+                key = np.full(len(one), factors[n, 0], np.uint64)
+                for factor, step in zip(factors[n], steps, strict=True):
+                    key += written[step] * factor
+                out[:, n] = np.minimum.reduceat(mix(key)[number], first)
+        return out
+
+    def sets(self, texts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct hashes of the blocks of the first `texts` end to end, and how many each has; 0 for an empty text."""
+        chosen = (self.size > 0) & (self.owner < texts)
+        value, owner = self.value[chosen], self.owner[chosen]
+        order = np.lexsort((value, owner))
+        value, owner = value[order], owner[order]
+        first = np.ones(len(value), bool)
+        first[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+        return value[first], np.bincount(owner[first], minlength=texts).astype(np.int64)
+
+
 def components(texts: list[bytes]) -> np.ndarray:
-    """The 64-bit components of each text, before bits are dropped."""
-    raw = [t.decode().encode("utf-32-le") for t in texts]
-    counts = np.fromiter((len(r) // 4 for r in raw), np.int64, len(raw))
-    points = np.frombuffer(b"".join(raw), "<u4")
-    starts = segment_starts(counts)
-    begin, size = block_ends(points, starts, counts)
-    written = embedded(points, begin, size)
-    empty = np.flatnonzero(counts == 0)
-    filled = np.flatnonzero(counts > 0)
-    owner = np.concatenate([empty, filled[np.searchsorted(starts[filled], begin[len(empty) :], "right") - 1]]).astype(np.int64)
-    order = np.argsort(owner, kind="stable")
-    first = np.searchsorted(owner[order], np.arange(len(texts)))
-    out = np.zeros((len(texts), COMPONENTS), np.uint64)
-    factors = (seeds(COMPONENTS * SAMPLES, 15) | np.uint64(1)).reshape(COMPONENTS, SAMPLES)
-    with np.errstate(over="ignore"):
-        for n, steps in enumerate(sampled_steps()):
-            key = np.full(len(begin), factors[n, 0], np.uint64)
-            for factor, step in zip(factors[n], steps, strict=True):
-                key += written[step] * factor
-            if len(texts):
-                out[:, n] = np.minimum.reduceat(mix(key)[order], first)
-    return out
+    """The 64-bit components of each text."""
+    return Blocks(texts).components()
 
 
 def kept_bits(found: np.ndarray) -> np.ndarray:
@@ -164,44 +194,15 @@ def near_documents(docs: DataFrame, least: float = 0.7, id_column: str = "doc_id
     return near.union(copies)
 
 
-def block_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct 64-bit hashes of the blocks of all texts end to end, and how many each text has; 0 for an empty text."""
-    raw = [t.decode().encode("utf-32-le") for t in texts]
-    lengths = np.fromiter((len(r) // 4 for r in raw), np.int64, len(raw))
-    points = np.frombuffer(b"".join(raw), "<u4")
-    if not len(points):
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    starts = segment_starts(lengths)
-    begin, size = block_ends(points, starts, lengths)
-    begin, size = begin[size > 0], size[size > 0]
-    order = np.argsort(begin)
-    begin, size = begin[order], size[order]
-    place = np.arange(len(points)) - np.repeat(begin, size)
-    with np.errstate(over="ignore"):
-        value = mix(np.add.reduceat(mix(points.astype(np.uint64) ^ seeds(LONGEST, 16)[place]), begin))
-    filled = np.flatnonzero(lengths > 0)
-    owner = filled[np.searchsorted(starts[filled], begin, "right") - 1]
-    order = np.lexsort((value, owner))
-    value, owner = value[order], owner[order]
-    first = np.ones(len(value), bool)
-    first[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-    return value[first], np.bincount(owner[first], minlength=len(texts)).astype(np.int64)
-
-
-def near_components(docs: DataFrame, percent: int = ALIKE, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, component_id) for every id: component_id is the smallest id reachable over links.
+def near_components(found: DataFrame, percent: int = ALIKE) -> DataFrame:
+    """(id, component_id) for every id of stored rows of `walked`: component_id is the smallest id reachable over links.
 
     A link is a pair of documents that share a band and have 100 * common >= percent * all of their distinct blocks.
     """
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
-
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = encoded(batch.column("text"))
-        value, counts = block_sets(texts)
-        return minhash_bbit.sketch(batch.column("id"), value, counts, components(texts)[counts > 0], COMPONENTS // BAND, BAND)
-
-    found = minhash_bbit.linked(map_slices(rows, "text", minhash_bbit.SKETCH, make), rows, percent, block_sets, COMPONENTS)
-    return found.filter("id is not null").select("id", "component_id").distinct()
+    sketched = found.select(F.col("doc_id").alias("id"), *minhash_bbit.SKETCH.names[1:])
+    sets = found.select(F.col("doc_id").alias("id"), "shingles")
+    linked = minhash_bbit.linked(sketched, sets, percent, None, COMPONENTS)
+    return linked.filter("id is not null").select("id", "component_id").distinct()
 
 
 def ranges_of(ids: DataFrame) -> tuple[list[int], dict[int, int | None]]:
@@ -228,16 +229,22 @@ def range_of(ids: pa.Array, bounds: list[int]) -> pa.Array:
     return pa.array(np.searchsorted(np.array(bounds, np.int64), ids.fill_null(low).to_numpy(zero_copy_only=False), "left").astype(np.int32))
 
 
-PREPARED = "r int, copied boolean, doc_id long, tie long, kept binary, packed binary"
-COMPARED = (
-    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+PREPARED = "r int, copied boolean, doc_id long, tie long, packed binary"
+WALKED = T.StructType([
+    *(T.StructField(n, T.LongType()) for n in ("doc_id", "n_chars")),
+    *(T.StructField(n, T.BinaryType()) for n in ("edited_sha256", "fingerprint", "edited_fingerprint")),
+    *(T.StructField(n, T.DoubleType()) for n in ("near_edited", "near_next")),
+    *minhash_bbit.SKETCH.fields[1:], T.StructField("shingles", T.BinaryType()),
+])
+COMPARED = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
 
-def compared(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every document's fingerprint beside that of its edited text and of the next document, by ascending id.
+def walked(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every document's fingerprint beside that of its edited text and of the next document, its sketch and its set of blocks.
 
     The edited text has its last quarter of characters replaced by the first as many of the next document.
-    Documents are dealt by ranges of ids, compressed, and each range also gets the first document of the next.
+    Documents are dealt by ranges of ids, compressed, and each range also gets the first document of the next. A text
+    moves once and is walked once, together with the edited texts, whose blocks are mostly the same.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
     bounds, firsts = ranges_of(rows.select("doc_id"))
@@ -245,19 +252,17 @@ def compared(docs: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     follows = {order[n]: order[n - 1] for n in range(len(order))}  # the first range follows the last
 
     def prepare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = encoded(batch.column("text"))
-        found = kept_bits(components(texts))
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         where, ids = range_of(batch.column("doc_id"), bounds).to_pylist(), batch.column("doc_id").to_pylist()
         out: list[tuple] = []
-        for n, value in enumerate(texts):
+        for n, value in enumerate(encoded(batch.column("text"))):
             tie = int.from_bytes(hashlib.blake2b(value, digest_size=8).digest(), "little", signed=True)
-            rest = (ids[n], tie, found[n].tobytes(), pack.compress(value))
+            rest = (ids[n], tie, pack.compress(value))
             out.append((where[n], False, *rest))
             if firsts[where[n]] == ids[n]:
                 out.append((follows[where[n]], True, *rest))
         columns = list(zip(*out, strict=True))
-        kinds = (pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        kinds = (pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in PREPARED.split(", ")])
 
     def walk(batches):
@@ -265,14 +270,14 @@ def compared(docs: DataFrame, id_column: str = "doc_id", text: str = "text") ->
 
         def read():
             for batch in batches:
-                for row in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+                for row in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
                     yield row
 
         def pairs():
             for _, group in itertools.groupby(read(), key=lambda row: row[0]):
                 before = None
-                for _, copied, number, _, kept, packed in group:
-                    here = (number, kept, unpack.decompress(packed).decode())
+                for _, copied, number, _, packed in group:
+                    here = (number, unpack.decompress(packed).decode())
                     if before is not None:
                         yield before, here
                     if copied:
@@ -282,8 +287,8 @@ def compared(docs: DataFrame, id_column: str = "doc_id", text: str = "text") ->
         held, size = [], 0
         for pair in pairs():
             held.append(pair)
-            size += len(pair[0][2])
-            if size > SLICE_BYTES:
+            size += len(pair[0][1])
+            if size > HELD_CHARACTERS:
                 yield compare(held)
                 held, size = [], 0
         if held:
@@ -291,21 +296,52 @@ def compared(docs: DataFrame, id_column: str = "doc_id", text: str = "text") ->
 
     prepared = map_slices(rows, "text", PREPARED, prepare)
     dealt = prepared.repartition("r").sortWithinPartitions("r", "copied", F.col("doc_id").asc_nulls_first(), "tie")
-    return dealt.mapInArrow(tidy(walk), COMPARED)
+    return dealt.mapInArrow(tidy(walk), WALKED)
 
 
 def compare(pairs: list) -> pa.RecordBatch:
-    """The columns of COMPARED for pairs of documents (id, kept bits, text)."""
-    edited = []
-    for (_, _, here), (_, _, following) in pairs:
+    """The columns of WALKED for pairs of documents (id, text); the second of a pair is mostly the first of the next one."""
+    n, edited, following, own = len(pairs), [], [], [here for (_, here), _ in pairs]
+    others: list[str] = []
+    for k, ((_, here), after) in enumerate(pairs):
         quarter = len(here) // 4
-        edited.append((here[: len(here) - quarter] + following[:quarter]).encode())
-    found = kept_bits(components(edited))
-    own = [np.frombuffer(a[1], np.uint8) for a, _ in pairs]
+        edited.append((here[: len(here) - quarter] + after[1][:quarter]).encode())
+        if k + 1 < n and pairs[k + 1][0] is after:
+            following.append(k + 1)
+        else:
+            following.append(2 * n + len(others))
+            others.append(after[1])
+    blocks = Blocks([*(t.encode() for t in own), *edited, *(t.encode() for t in others)])
+    found = blocks.components()
+    kept = kept_bits(found)
+    value, counts = blocks.sets(n)
+    ids = pa.array([a[0] for a, _ in pairs], pa.int64())
+    sketch = minhash_bbit.sketch(ids, value, counts, found[:n][counts > 0], COMPONENTS // BAND, BAND)
+    ends = np.concatenate([[0], np.cumsum(counts)]) * 8
     columns = [
-        pa.array([a[0] for a, _ in pairs], pa.int64()), pa.array([len(a[2]) for a, _ in pairs], pa.int64()),
-        pa.array([hashlib.sha256(e).hexdigest() for e in edited]), pa.array([a[1].hex() for a, _ in pairs]),
-        pa.array([f.tobytes().hex() for f in found]), pa.array([likeness(o, f) for o, f in zip(own, found, strict=True)]),
-        pa.array([likeness(o, np.frombuffer(b[1], np.uint8)) for o, (_, b) in zip(own, pairs, strict=True)]),
+        ids, pa.array([len(t) for t in own], pa.int64()), pa.array([hashlib.sha256(e).digest() for e in edited]),
+        pa.array([r.tobytes() for r in kept[:n]]), pa.array([r.tobytes() for r in kept[n : 2 * n]]),
+        pa.array([likeness(kept[k], kept[n + k]) for k in range(n)]), pa.array([likeness(kept[k], kept[f]) for k, f in enumerate(following)]),
+        *sketch.columns[1:],
+        pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(value.tobytes())]).cast(pa.binary()),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in COMPARED.split(", ")])
+    return pa.RecordBatch.from_arrays(columns, names=WALKED.names)
+
+
+def presented(found: DataFrame) -> DataFrame:
+    """The columns COMPARED of `walked`, digests and fingerprints in hex."""
+    return found.select(*(F.lower(F.hex(c)).alias(c) if isinstance(WALKED[c].dataType, T.BinaryType) else c for c in COMPARED))
+
+
+def compared(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every document's fingerprint beside that of its edited text and of the next document, by ascending id."""
+    return presented(walked(docs, id_column, text))
+
+
+def compared_and_linked(docs: DataFrame, folder: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """`compared` with the component of linked documents; what the walks give is stored in `folder`, which executors share."""
+    walked(docs, id_column, text).write.parquet(folder)
+    found = docs.sparkSession.read.parquet(folder)
+    linked = near_components(found)
+    rows = presented(found)
+    return rows.join(linked, rows.doc_id == linked.id, "left").select(*rows.columns, "component_id")

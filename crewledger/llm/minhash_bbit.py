@@ -167,7 +167,8 @@ def estimate(a: str, b: str, lanes: int = LANES) -> Column:
     return (1 - F.expr(differ) / F.lit(float(lanes)) - chance) / (1 - chance)
 
 
-Sets = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
+# Makes the sets of texts; None where the rows bring their sets along.
+Sets = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]] | None
 
 
 def set_bytes(docs: DataFrame, sets_of: Sets) -> DataFrame:
@@ -184,10 +185,17 @@ def set_bytes(docs: DataFrame, sets_of: Sets) -> DataFrame:
     return map_slices(docs, "text", "id long, shingles binary", make)
 
 
+def sets_for(ids: DataFrame, rows: DataFrame, sets_of: Sets) -> DataFrame:
+    """(id, shingles) of `ids`, from rows (id, text), or from rows (id, shingles) without `sets_of`."""
+    chosen = rows.join(ids, "id", "left_semi")
+    found = set_bytes(chosen, sets_of) if sets_of else chosen
+    return found.groupBy("id").agg(F.first("shingles").alias("shingles"))
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, sets_of: Sets = shingle_sets) -> DataFrame:
     """The pairs (u, v) whose whole shingle sets have 100 * intersection >= percent * union."""
     ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    sets = settled(set_bytes(docs.join(ids, "id", "left_semi"), sets_of).groupBy("id").agg(F.first("shingles").alias("shingles")))
+    sets = settled(sets_for(ids, docs, sets_of))
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(
         sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v"
     )
@@ -245,7 +253,7 @@ def links_across(members: DataFrame, docs: DataFrame, percent: int, sets_of: Set
     it has members: those that connect what its links connect, confirmed on whole sets.
     """
     ids = members.select(F.col("node").alias("id")).distinct()
-    sets = set_bytes(docs.join(ids, "id", "left_semi"), sets_of).groupBy("id").agg(F.first("shingles").alias("shingles"))
+    sets = sets_for(ids, docs, sets_of)
     blocks = members.groupBy("bucket").agg(F.ceil(F.greatest(
         F.count(F.lit(1)) / F.lit(BLOCK_ROWS), F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("k"))
     cells = members.join(blocks, "bucket").withColumn("b", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).select(
@@ -278,8 +286,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 
 
 def linked(sketched: DataFrame, rows: DataFrame, percent: int, sets_of: Sets = shingle_sets, n_lanes: int = LANES) -> DataFrame:
-    """`near_duplicates` of `rows` (id, text) by their SKETCH rows, whose sets are those of `sets_of`."""
-    sketched = settled(sketched)
+    """`near_duplicates` of `rows` (id, text) by their SKETCH rows, whose sets are those of `sets_of`.
+
+    Without `sets_of` the rows are (id, shingles), and both frames are stored already.
+    """
+    sketched = settled(sketched) if sets_of else sketched
     filled = sketched.filter("n_shingles > 0 and id is not null")
     prints = ["n_shingles", "print_a", "print_b"]
     nodes = settled(
@@ -288,7 +299,7 @@ def linked(sketched: DataFrame, rows: DataFrame, percent: int, sets_of: Sets = s
     )
     copies = filled.join(nodes.select(*prints, "node"), prints).filter("id <> node").select(
         F.col("node").alias("u"), F.col("id").alias("v"))
-    node_rows = rows.filter("text is not null and id is not null")
+    node_rows = rows.filter("text is not null and id is not null" if sets_of else "id is not null")
 
     # Buckets with more than one node, and each member with the smallest of its bucket.
     keys = nodes.select("node", F.explode("bands").alias("bucket"))

@@ -89,9 +89,7 @@ def op9_minhash_bbit(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_edit_embedding(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of every document and its edited text, their likeness, and the component of linked documents."""
-    docs = table(spark, folder, "documents")
-    found, linked = edit_embedding.compared(docs), edit_embedding.near_components(docs)
-    return found.join(linked, found.doc_id == linked.id, "left").select(*found.columns, "component_id")
+    return edit_embedding.compared_and_linked(table(spark, folder, "documents"), f"{working_folder(spark)}/walked")
 
 
 def op11_toxicity_lexicon(spark: SparkSession, folder: str) -> DataFrame:
