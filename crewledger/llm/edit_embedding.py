@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crewledger.llm import minhash_bbit
-from crewledger.llm.frames import map_slices, reach_package, segment_starts, settled, tidy
+from crewledger.llm.frames import map_slices, reach_package, segment_starts, settled, shuffles_dropped, tidy
 from crewledger.llm.words import encoded, mix, seeds, window_hashes
 
 # Blocks end where a hash of CONTEXT characters has its low bits clear, or at LONGEST characters.
@@ -340,8 +340,9 @@ def compared(docs: DataFrame, id_column: str = "doc_id", text: str = "text") ->
 
 def compared_and_linked(docs: DataFrame, folder: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """`compared` with the component of linked documents; what the walks give is stored in `folder`, which executors share."""
-    walked(docs, id_column, text).write.parquet(folder)
-    found = docs.sparkSession.read.parquet(folder)
-    linked = near_components(found)
+    with shuffles_dropped(docs.sparkSession):
+        walked(docs, id_column, text).write.parquet(folder)
+        found = docs.sparkSession.read.parquet(folder)
+        linked = near_components(found)
     rows = presented(found)
     return rows.join(linked, rows.doc_id == linked.id, "left").select(*rows.columns, "component_id")
