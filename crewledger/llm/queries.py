@@ -143,7 +143,7 @@ _FITS = " ".join(
 _VERDICTS = " ".join(f"WHEN '{rule}' THEN '{verdict}'" for verdict, rule in url_rules.RULES)
 
 URL_VERDICTS = rf"""
-    WITH rests AS (
+    WITH RECURSIVE rests AS (
         SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
     parts AS (
         SELECT page_id, url, rest, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
@@ -155,15 +155,17 @@ URL_VERDICTS = rf"""
             list_concat(list_transform(list_filter([scheme], lambda x: x <> ''), lambda x: 's:' || x),
                         list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || x)),
             list_concat(
-                list_concat(list_transform(list_filter(string_split(low, '/'), lambda x: regexp_full_match(x, '[a-z_-]+')), lambda x: 'p:' || x),
+                list_concat(list_transform(list_filter(string_split(low, '/'), lambda x: regexp_full_match(x, '[^\x09-\x0D\x20.]+') AND NOT regexp_full_match(x, '[0-9]+')), lambda x: 'p:' || x),
                             list_transform(list_filter([regexp_extract(low, '\.([a-z]{{1,5}})$', 1)], lambda x: x <> ''), lambda x: 'e:' || x)),
                 list_transform(list_filter(list_transform(string_split(query, '&'), lambda x: split_part(x, '=', 1)), lambda x: x <> ''), lambda x: 'q:' || x)))) END AS t
         FROM low),
     labelled AS (SELECT row_number() OVER () AS n, own, t FROM tokens WHERE own IS NOT NULL),
-    items AS (SELECT n, own, unnest(t) AS i FROM labelled),
+    items AS (
+        SELECT n, own, i FROM (SELECT n, own, unnest(t) AS i FROM labelled)
+        QUALIFY count(*) OVER (PARTITION BY i) >= ceil({url_rules.SUPPORT} * (SELECT count(*) FROM labelled))),
     sets AS (
-        SELECT i AS name, 1 AS size, own FROM items
-        UNION ALL SELECT a.i || ' ' || b.i, 2, a.own FROM items a JOIN items b ON a.n = b.n AND a.i < b.i),
+        SELECT n AS owner, i AS name, 1 AS size, own, i AS last FROM items
+        UNION ALL SELECT owner, name || ' ' || i, size + 1, sets.own, i FROM sets JOIN items ON n = owner AND i > last),
     counted AS (SELECT name, size, own, count(*) AS n, sum(count(*)) OVER (PARTITION BY name) AS all_n FROM sets GROUP BY name, size, own),
     rules AS (
         SELECT name, string_split(name, ' ') AS t, size, own AS verdict, n::DOUBLE / all_n::DOUBLE AS confidence, n AS support FROM counted

@@ -22,8 +22,8 @@ RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 DEFAULT = "allow"
 # Share of the labelled pages a combination must occur in, and of its pages that must agree.
 SUPPORT, CONFIDENCE = 0.01, 0.75
-# Tokens that a mined rule may combine.
-MOST_TOKENS = 2
+# A path word that may be a token: letters of any script, digits, marks; a bare number only names one page.
+PATH_WORD = r"^(?![0-9]+\z)[^\x09-\x0D\x20.]+\z"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,7 +49,7 @@ def tokens_of(url: str, rest: Column) -> Column:
         return F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.concat(F.lit(mark + ":"), x))
 
     scheme = F.translate(F.substring_index(F.coalesce(F.col(url), F.lit("")), "://", 1), UPPER, LOWER)
-    words = F.filter(F.split(F.translate(path, UPPER, LOWER), "/"), lambda x: x.rlike("^[a-z_-]+$"))
+    words = F.filter(F.split(F.translate(path, UPPER, LOWER), "/"), lambda x: x.rlike(PATH_WORD))
     ending = F.regexp_extract(F.translate(path, UPPER, LOWER), r"\.([a-z]{1,5})$", 1)
     keys = F.transform(F.split(query, "&"), lambda x: F.substring_index(x, "=", 1))
     found = F.concat(marked("s", F.array(scheme)), marked("h", F.split(host, r"\.")), marked("p", words), marked("e", F.array(ending)), marked("q", keys))
@@ -67,10 +67,10 @@ def fitting(rules: tuple[tuple[str, str], ...]) -> Column:
 
 
 def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """(tokens, verdict, confidence, support) of association rules, from rows (tokens, verdict)."""
+    """(tokens, verdict, confidence, support) of association rules of any length, from rows (tokens, verdict)."""
     items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("=:"), "verdict"))).alias("items"))
     rules = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items).associationRules
-    return rules.filter(F.col("consequent")[0].startswith("=:") & (F.size("antecedent") <= MOST_TOKENS)).select(
+    return rules.filter(F.col("consequent")[0].startswith("=:")).select(
         F.sort_array("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], 3, 1000).alias("verdict"), "confidence", "support")
 
 
