@@ -1,10 +1,12 @@
 """Quality rules, and robust multivariate outliers among the documents that pass them.
 
 Per language and source a minimum-covariance-determinant estimate of five transformed statistics tells how
-documents of that kind look; one too far away by Mahalanobis distance is rejected. The estimate starts
-from medians and median deviations and takes concentration steps over all documents: distances, the
-three quarters that are nearest, their mean and covariance. Steps run as grouped sums, so that a group that
-holds a third of all documents reaches the reducers as one partial sum per task.
+documents of that kind look; one too far away by Mahalanobis distance is rejected. An estimate has several starts:
+medians and median deviations, and the best that concentration steps from many random subsets find on a
+bounded sample of each group. From every start, concentration steps run over all documents: distances, the three
+quarters that are nearest, their mean and covariance. The start with the least determinant goes on until its
+determinant is stable. Steps run as grouped sums, so that a group that holds a third of all documents reaches the
+reducers as one partial sum per task, and models come to rows by broadcast or, if they are many, by a salted join.
 
 Defined cases: a null or blank text has no words and fails the base rules; null languages and sources
 are groups of their own; a group too small for an estimate is judged by that of all documents of its language, and
@@ -15,6 +17,7 @@ judged alike.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -31,8 +34,15 @@ LEAST_WORDS, MOST_REPEATED = 20, 30
 SPAN = 8
 
 DIMENSIONS = 5
-# Share of a group that an estimate rests on, and steps taken towards it.
-CORE, STEPS = 0.75, 4
+# Share of a group that an estimate rests on.
+CORE = 0.75
+# Distinct points of a group that starts are sought among (about), random subsets tried, and starts kept besides the medians.
+SAMPLE, SUBSETS, KEPT_STARTS = 1500, 60, 2
+# Steps of every start over all documents, then most steps of the best one, and the change of its log determinant that ends them.
+FIRST_STEPS, MOST_STEPS, STABLE = 2, 12, 0.005
+# Models that are broadcast: about 250 bytes each. More are joined by unit and salt.
+MOST_BROADCAST, SALTS = 20_000, 32
+QUANTILE_STEPS = 4000
 # Groups with fewer usable documents get no estimate of their own.
 LEAST_GROUP = 60
 # Least standard deviation of each transformed statistic: closer differences are no sign of bad quality.
@@ -120,7 +130,9 @@ def chi_square_point(degrees: int, share: float) -> float:
 
 X = [f"x{i}" for i in range(DIMENSIONS)]
 PAIRS = [(i, j) for i in range(DIMENSIONS) for j in range(i, DIMENSIONS)]
-MODEL = "unit string, " + ", ".join([f"m{i} double" for i in range(DIMENSIONS)] + [f"p{i}{j} double" for i, j in PAIRS])
+PARAMETERS = [*[f"m{i}" for i in range(DIMENSIONS)], *[f"p{i}{j}" for i, j in PAIRS]]
+MODEL = "unit string, start int, logdet double, " + ", ".join(f"{name} double" for name in PARAMETERS)
+MODEL_COLUMNS = ["unit", "start", "logdet", *PARAMETERS]
 
 
 def distance() -> Column:
@@ -129,23 +141,67 @@ def distance() -> Column:
     return F.expr(" + ".join(terms))
 
 
-def _inverted(mean: np.ndarray, covariance: np.ndarray) -> list[float]:
-    floor = np.square(FLOORS)
-    covariance = covariance + np.diag(np.maximum(0, floor - np.diag(covariance)))
-    inverse = np.linalg.inv(covariance)
-    return [*mean, *(inverse[i, j] for i, j in PAIRS)]
+def _floored(covariance: np.ndarray) -> np.ndarray:
+    return covariance + np.diag(np.maximum(0, np.square(FLOORS) - np.diag(covariance)))
 
 
-def _start(groups: DataFrame) -> DataFrame:
-    def run(frames):
+def _fitted(mean: np.ndarray, covariance: np.ndarray) -> list[float]:
+    """Log determinant, mean and inverse of a covariance with floors."""
+    covariance = _floored(covariance)
+    inverse = np.linalg.inv(covariance)
+    return [float(np.linalg.slogdet(covariance)[1]), *mean, *(inverse[i, j] for i, j in PAIRS)]
+
+
+def concentrated(x: np.ndarray, mean: np.ndarray, covariance: np.ndarray, factor: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """One concentration step: the points nearest to (mean, covariance), as (log determinant, mean, covariance)."""
+    away = x - mean
+    d = np.einsum("ni,ij,nj->n", away, np.linalg.inv(covariance), away)
+    core = x[np.argsort(d, kind="stable")[: max(1, math.ceil(CORE * len(x)))]]
+    covariance = _floored(np.cov(core.T, bias=True) * factor)
+    return float(np.linalg.slogdet(covariance)[1]), core.mean(axis=0), covariance
+
+
+def best_subsets(x: np.ndarray, factor: float, seed: int) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """The KEPT_STARTS different estimates with the least determinants that random subsets of DIMENSIONS + 1 points lead to."""
+    r = np.random.default_rng(seed)
+    tried = []
+    for _ in range(SUBSETS):
+        few = x[r.choice(len(x), DIMENSIONS + 1, replace=False)]
+        found = (0.0, few.mean(axis=0), _floored(np.cov(few.T, bias=True)))
+        for _ in range(2):
+            found = concentrated(x, *found[1:], factor)
+        tried.append(found)
+    tried.sort(key=lambda f: f[0])
+    ends = []
+    for found in tried[:10]:
+        for _ in range(30):
+            before, found = found[0], concentrated(x, *found[1:], factor)
+            if abs(before - found[0]) < 1e-9:
+                break
+        if not any(np.allclose(found[1], e[1], atol=1e-6) for e in ends):
+            ends.append(found)
+    return sorted(ends, key=lambda f: f[0])[:KEPT_STARTS]
+
+
+def _starts(spread: DataFrame, sample: DataFrame, factor: float) -> DataFrame:
+    """Models of all starts: number 0 from medians, the others from subsets of a unit's sample."""
+
+    def medians(frames):
         for frame in frames:
             rows = []
             for r in frame.itertuples(index=False):
-                centre, spread = np.array(r.centre, float), 1.4826 * np.array(r.spread, float)
-                rows.append([r.unit, *_inverted(centre, np.diag(np.square(spread)))])
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in MODEL.split(", ")])
+                centre, deviation = np.array(r.centre, float), 1.4826 * np.array(r.spread, float)
+                rows.append([r.unit, 0, *_fitted(centre, np.diag(np.square(deviation)))])
+            yield pd.DataFrame(rows, columns=MODEL_COLUMNS)
 
-    return groups.mapInPandas(run, MODEL)
+    def subsets(frame):
+        unit, x = frame["unit"].iloc[0], frame[X].sort_values(X).to_numpy(float)
+        if len(x) < 2 * DIMENSIONS:  # nearly all rows are equal
+            return pd.DataFrame([], columns=MODEL_COLUMNS)
+        best = best_subsets(x, factor, zlib.crc32(unit.encode()))
+        return pd.DataFrame([[unit, n, *_fitted(f[1], f[2])] for n, f in enumerate(best, 1)], columns=MODEL_COLUMNS)
+
+    return spread.mapInPandas(medians, MODEL).unionByName(sample.groupBy("unit").applyInPandas(subsets, MODEL))
 
 
 def _moments(groups: DataFrame, factor: float) -> DataFrame:
@@ -158,12 +214,29 @@ def _moments(groups: DataFrame, factor: float) -> DataFrame:
                 covariance = np.zeros((DIMENSIONS, DIMENSIONS))
                 for i, j in PAIRS:
                     covariance[i, j] = covariance[j, i] = r[f"s{i}{j}"] / n - mean[i] * mean[j]
-                rows.append([r["unit"], *_inverted(mean, covariance * factor)])
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in MODEL.split(", ")])
+                rows.append([r["unit"], r["start"], *_fitted(mean, covariance * factor)])
+            yield pd.DataFrame(rows, columns=MODEL_COLUMNS)
 
     return groups.mapInPandas(run, MODEL)
 
 
+def _with_units(rows: DataFrame, small: DataFrame, count: int, on: list[str]) -> DataFrame:
+    """Rows with what `small` says about their unit; it has at most `count` units."""
+    if count <= MOST_BROADCAST:
+        return rows.join(F.broadcast(small), on)
+    return rows.join(small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, "salt"])
+
+
+def _step(rows: DataFrame, model: DataFrame, count: int, factor: float) -> DataFrame:
+    """The models after a concentration step over all rows."""
+    far = _with_units(rows, model, count, ["unit"]).withColumn("d", distance()).select("unit", "salt", "start", "d", *X)
+    limit = far.groupBy("unit", "start").agg(F.percentile_approx("d", CORE, QUANTILE_STEPS).alias("limit"))
+    core = _with_units(far, limit, count, ["unit", "start"]).filter("d <= limit")
+    return settled(_moments(core.groupBy("unit", "start").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(X)],
+        *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"s{i}{j}") for i, j in PAIRS]), factor))
+
+
 def _key(column: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(column)), F.lit("-"))
 
@@ -173,29 +246,42 @@ def estimates(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = points.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
     langs = sizes.groupBy("lang").agg(F.sum("n").alias("lang_n"), F.min("n").alias("least_n"))
     short = langs.agg(F.max(F.expr(f"lang_n < {LEAST_GROUP}")).alias("any_short"))
-    own = F.when(F.col("n") >= LEAST_GROUP, F.concat_ws("/", "lang", "source"))
-    whole = F.when(F.col("lang_n") >= LEAST_GROUP, F.col("lang"))
+    # The length of the language in front tells its end, whatever languages and sources are called.
+    language = F.concat_ws(":", F.length("lang").cast("string"), "lang")
+    own = F.when(F.col("n") >= LEAST_GROUP, F.concat(language, F.col("source")))
+    whole = F.when(F.col("lang_n") >= LEAST_GROUP, language)
     # A document counts for its own group, and for its language and the whole table if a small group falls back to them.
     units = settled(sizes.join(langs, "lang").crossJoin(short).select(
         "lang", "source", F.coalesce(own, whole, F.lit("all")).alias("unit"),
         F.array_compact(F.array(own, F.when(F.col("least_n") < LEAST_GROUP, whole), F.when(F.col("any_short"), F.lit("all")))).alias("counted")))
-    rows = settled(points.join(units, ["lang", "source"]).select(F.explode("counted").alias("unit"), *X))
+    rows = settled(points.join(units, ["lang", "source"]).select(
+        F.explode("counted").alias("unit"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"), *X))
     units = units.drop("counted")
-    enough = rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(x, 0.5, 1000).alias(f"c{x}") for x in X]).filter(f"n >= {LEAST_GROUP}")
-    spread = rows.join(enough, "unit").groupBy("unit").agg(
+    point = F.xxhash64(*X)
+    enough = settled(rows.groupBy("unit").agg(
+        F.count(F.lit(1)).alias("n"), F.approx_count_distinct(point).alias("points"),
+        *[F.percentile_approx(x, 0.5, QUANTILE_STEPS).alias(f"c{x}") for x in X]).filter(f"n >= {LEAST_GROUP}"))
+    count = enough.count()
+    spread = _with_units(rows, enough, count, ["unit"]).groupBy("unit").agg(
         F.array(*[F.max(f"c{x}") for x in X]).alias("centre"),
-        F.array(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"c{x}")), 0.5, 1000) for x in X]).alias("spread"))
-    model = settled(_start(spread))
+        F.array(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"c{x}")), 0.5, QUANTILE_STEPS) for x in X]).alias("spread"))
+    parts = 1 << 40
+    sample = _with_units(rows, enough.select("unit", "points"), count, ["unit"]).filter(
+        F.pmod(point, F.lit(parts)) < F.lit(parts) * F.lit(SAMPLE) / F.col("points")).select("unit", *X).distinct()
     # A core of normal data has a smaller covariance than the whole, by this factor.
     factor = CORE / chi_square(DIMENSIONS + 2, chi_square_point(DIMENSIONS, CORE))
-    for _ in range(STEPS):
-        far = rows.join(model, "unit").withColumn("d", distance()).select("unit", "d", *X)
-        limit = far.groupBy("unit").agg(F.percentile_approx("d", CORE, 1000).alias("limit"))
-        core = far.join(limit, "unit").filter("d <= limit")
-        model = settled(_moments(core.groupBy("unit").agg(
-            F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(X)],
-            *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"s{i}{j}") for i, j in PAIRS]), factor))
-    return units, model
+    model = settled(_starts(spread, sample, factor))
+    for _ in range(FIRST_STEPS):
+        model = _step(rows, model, count, factor)
+    # One row per unit and start.
+    best = F.min_by(F.struct(*MODEL_COLUMNS), F.struct("logdet", "start")).alias("best")
+    model = settled(model.groupBy("unit").agg(best).select("best.*"))
+    for _ in range(MOST_STEPS):
+        before, model = model, _step(rows, model, count, factor)
+        change = before.select("unit", F.col("logdet").alias("was")).join(model, "unit").agg(F.max(F.abs(F.col("logdet") - F.col("was"))))
+        if (change.first()[0] or 0.0) < STABLE:
+            break
+    return units, model.drop("start", "logdet")
 
 
 def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

@@ -295,30 +295,79 @@ def test_small_groups_fall_back_to_their_language_then_to_all(spark):
     assert quality_mcd.kept(few).count() == 40
 
 
-def test_determinant_estimate_against_numpy(spark):
-    """One group: the concentration steps with exact quantiles end near the distributed ones."""
-    r = np.random.default_rng(1)
-    x = r.multivariate_normal([5, 1.5, 0.3, 0.3, 0.4], np.diag([1, 0.04, 0.02, 0.02, 0.03]), 2000)
-    x[:200] += [0, 2, 2, 2, 2]
-    frame = spark.createDataFrame([("l", "s", *map(float, row)) for row in x], "lang string, source string, " + ", ".join(f"x{i} double" for i in range(5)))
-    _, model = quality_mcd.estimates(frame)
-    row = model.first()
-    mean = np.median(x, axis=0)
-    spread = 1.4826 * np.median(np.abs(x - mean), axis=0)
-    params = quality_mcd._inverted(mean, np.diag(spread**2))
+def plain_determinant_estimate(x, starts):
+    """Concentration steps with exact quantiles from every start; the end with the least determinant."""
     factor = quality_mcd.CORE / quality_mcd.chi_square(7, quality_mcd.chi_square_point(5, quality_mcd.CORE))
-    for _ in range(quality_mcd.STEPS):
-        centre, inverse = np.array(params[:5]), np.zeros((5, 5))
-        for v, (i, j) in zip(params[5:], quality_mcd.PAIRS, strict=True):
-            inverse[i, j] = inverse[j, i] = v
-        d = np.einsum("ni,ij,nj->n", x - centre, inverse, x - centre)
-        core = x[d <= np.quantile(d, quality_mcd.CORE, method="inverted_cdf")]
-        params = quality_mcd._inverted(core.mean(axis=0), np.cov(core.T, bias=True) * factor)
-    assert np.allclose([row[f"m{i}"] for i in range(5)], params[:5], atol=0.02)
-    assert np.allclose([row[f"p{i}{j}"] for i, j in quality_mcd.PAIRS], params[5:], rtol=0.1, atol=0.5)
+    ends = []
+    for mean, covariance in starts:
+        for _ in range(100):
+            covariance = covariance + np.diag(np.maximum(0, np.square(quality_mcd.FLOORS) - np.diag(covariance)))
+            d = np.einsum("ni,ij,nj->n", x - mean, np.linalg.inv(covariance), x - mean)
+            core = x[d <= np.quantile(d, quality_mcd.CORE, method="inverted_cdf")]
+            mean, covariance = core.mean(axis=0), np.cov(core.T, bias=True) * factor
+        ends.append((np.linalg.slogdet(covariance)[1], mean, covariance))
+    return min(ends, key=lambda e: e[0])
+
+
+def model_of(spark, groups):
+    frame = spark.createDataFrame(
+        [(lang, source, *map(float, row)) for (lang, source), x in groups.items() for row in x],
+        "lang string, source string, " + ", ".join(f"x{i} double" for i in range(5)))
+    units, model = quality_mcd.estimates(frame)
+    return {(r["lang"], r["source"]): r for r in units.join(model, "unit").collect()}
+
+
+def by_medians(x):
+    mean = np.median(x, axis=0)
+    return mean, np.diag((1.4826 * np.median(np.abs(x - mean), axis=0)) ** 2)
+
+
+def test_determinant_estimate_against_numpy(spark, monkeypatch):
+    """Several groups, whose names could be taken for each other's; also with the join that many models take."""
+    r = np.random.default_rng(1)
+    groups = {}
+    for n, name in enumerate([("=a", "=b"), ("=a/=b", "-"), ("=a", "-")]):
+        x = r.multivariate_normal([5 + n, 1.5, 0.3, 0.3, 0.4], np.diag([1, 0.04, 0.02, 0.02, 0.03]), 2000)
+        x[:200] += [0, 2, 2, 2, 2]
+        groups[name] = x
+    plain = model_of(spark, groups)
+    monkeypatch.setattr(quality_mcd, "MOST_BROADCAST", 0)
+    salted = model_of(spark, groups)
+    for name, x in groups.items():
+        _, mean, covariance = plain_determinant_estimate(x, [by_medians(x), (x.mean(axis=0), np.cov(x.T))])
+        inverse = np.linalg.inv(covariance)
+        for row in (plain[name], salted[name]):
+            assert np.allclose([row[f"m{i}"] for i in range(5)], mean, atol=0.02)
+            assert np.allclose([row[f"p{i}{j}"] for i, j in quality_mcd.PAIRS], [inverse[i, j] for i, j in quality_mcd.PAIRS], rtol=0.1, atol=0.5)
     assert abs(quality_mcd.chi_square(5, 11.0705) - 0.95) < 1e-4
 
 
+def test_least_determinant_wins_where_medians_mislead(spark):
+    """Points on a tilted line and a fifth of the group beside it: steps from the medians hold on to some of these, subsets do not."""
+    r = np.random.default_rng(3)
+    along = r.normal(0, 1.0, 2000)
+    x = np.stack([5 + 2 * along, 1.5 + along, 0.3 + 0.5 * along, 0.3 - 0.5 * along, 0.4 + along], axis=1) + r.normal(0, 0.15, (2000, 5))
+    x[:480] = np.array([5, 1.5, 0.3, 0.3, 0.4]) + np.array([0.9, -0.9, 0.8, 0.8, -0.9]) + r.normal(0, 0.05, (480, 5))
+    row = model_of(spark, {("=l", "=s"): x})["=l", "=s"]
+    starts = [by_medians(x)] + [(x[few].mean(axis=0), np.cov(x[few].T)) for few in (r.choice(2000, 6, replace=False) for _ in range(60))]
+    _, mean, covariance = plain_determinant_estimate(x, starts)
+    inverse = np.linalg.inv(covariance)
+    assert np.allclose([row[f"m{i}"] for i in range(5)], mean, atol=0.1)
+    centre, away = np.array([row[f"m{i}"] for i in range(5)]), np.zeros((5, 5))
+    for i, j in quality_mcd.PAIRS:
+        away[i, j] = away[j, i] = row[f"p{i}{j}"]
+    mine = np.einsum("ni,ij,nj->n", x - centre, away, x - centre)
+    theirs = np.einsum("ni,ij,nj->n", x - mean, inverse, x - mean)
+    assert np.allclose(mine, theirs, rtol=0.15, atol=0.5)
+    assert mine[:480].min() > mine[480:].max()
+
+
+def test_units_of_equal_points(spark):
+    """Repeated rows only: no subset has points enough, the medians still give a model."""
+    rows = model_of(spark, {("=l", "=s"): np.tile([5.0, 1.5, 0.0, 0.0, 0.1], (80, 1))})
+    assert np.allclose([rows["=l", "=s"][f"m{i}"] for i in range(5)], [5.0, 1.5, 0.0, 0.0, 0.1])
+
+
 # ── language ─────────────────────────────────────────────────────────────────────────────────
 
 
