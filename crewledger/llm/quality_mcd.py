@@ -45,7 +45,8 @@ MOST_BROADCAST, SALTS = 20_000, 32
 QUANTILE_STEPS = 4000
 # Groups with fewer usable documents get no estimate of their own.
 LEAST_GROUP = 60
-# Least standard deviation of each transformed statistic: closer differences are no sign of bad quality.
+# Least standard deviation of each transformed statistic, and in these units of any mixture of them: closer differences
+# are no sign of bad quality.
 # Where no text has symbols, the third one rejects a text from about 4.4 symbols in 100 characters on.
 FLOORS = (0.35, 0.08, 0.035, 0.06, 0.12)
 # Clean documents beyond the cut-off if the statistics were normal.
@@ -142,7 +143,10 @@ def distance() -> Column:
 
 
 def _floored(covariance: np.ndarray) -> np.ndarray:
-    return covariance + np.diag(np.maximum(0, np.square(FLOORS) - np.diag(covariance)))
+    """The covariance with a deviation of at least one floor in every direction, so that it always has an inverse."""
+    unit = np.outer(FLOORS, FLOORS)
+    values, axes = np.linalg.eigh(covariance / unit)
+    return (axes * np.maximum(values, 1.0)) @ axes.T * unit
 
 
 def _fitted(mean: np.ndarray, covariance: np.ndarray) -> list[float]:

@@ -295,16 +295,24 @@ def test_small_groups_fall_back_to_their_language_then_to_all(spark):
     assert quality_mcd.kept(few).count() == 40
 
 
+def floored(covariance):
+    """Every direction has a deviation of at least one floor."""
+    floors = np.diag(quality_mcd.FLOORS)
+    left, size, right = np.linalg.svd(np.linalg.inv(floors) @ covariance @ np.linalg.inv(floors))
+    return floors @ left @ np.diag(np.maximum(size, 1)) @ right @ floors
+
+
 def plain_determinant_estimate(x, starts):
     """Concentration steps with exact quantiles from every start; the end with the least determinant."""
     factor = quality_mcd.CORE / quality_mcd.chi_square(7, quality_mcd.chi_square_point(5, quality_mcd.CORE))
     ends = []
     for mean, covariance in starts:
         for _ in range(100):
-            covariance = covariance + np.diag(np.maximum(0, np.square(quality_mcd.FLOORS) - np.diag(covariance)))
+            covariance = floored(covariance)
             d = np.einsum("ni,ij,nj->n", x - mean, np.linalg.inv(covariance), x - mean)
             core = x[d <= np.quantile(d, quality_mcd.CORE, method="inverted_cdf")]
             mean, covariance = core.mean(axis=0), np.cov(core.T, bias=True) * factor
+        covariance = floored(covariance)
         ends.append((np.linalg.slogdet(covariance)[1], mean, covariance))
     return min(ends, key=lambda e: e[0])
 
@@ -363,9 +371,11 @@ def test_least_determinant_wins_where_medians_mislead(spark):
 
 
 def test_units_of_equal_points(spark):
-    """Repeated rows only: no subset has points enough, the medians still give a model."""
-    rows = model_of(spark, {("=l", "=s"): np.tile([5.0, 1.5, 0.0, 0.0, 0.1], (80, 1))})
+    """Repeated rows only, where the medians alone give a model, and points on one line, whose covariance has no inverse."""
+    along = np.random.default_rng(5).normal(0, 3, (200, 1)) * np.ones(5)
+    rows = model_of(spark, {("=l", "=s"): np.tile([5.0, 1.5, 0.0, 0.0, 0.1], (80, 1)), ("=l", "=line"): along})
     assert np.allclose([rows["=l", "=s"][f"m{i}"] for i in range(5)], [5.0, 1.5, 0.0, 0.0, 0.1])
+    assert np.isfinite([rows["=l", "=line"][f"p{i}{j}"] for i, j in quality_mcd.PAIRS]).all()
 
 
 # ── language ─────────────────────────────────────────────────────────────────────────────────
