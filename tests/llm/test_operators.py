@@ -633,7 +633,8 @@ def test_boosted_spans(spark):
     assert got[902]["spans"] == got[903]["spans"] == got[904]["spans"] == ""
     clean = pii_boost.redacted(frame.selectExpr("*", "length(text) n_chars"))
     assert clean.filter("doc_id = 901").first()["text"] == "call [PHONE] today"
-    assert pii_boost.train(np.zeros((0, pii_boost.FEATURES + 1), np.int64)).thresholds == (np.inf,) * 4
+    none = np.zeros((0, pii_boost.FEATURES + 1), np.int64)
+    assert pii_boost.train(none, np.zeros(0), np.zeros(0, bool)).thresholds == (np.inf,) * 4
 
 
 # ── sharding ─────────────────────────────────────────────────────────────────────────────────
