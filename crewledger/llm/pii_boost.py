@@ -2,7 +2,7 @@
 
 The base rules find e-mail addresses, IP addresses, card and phone numbers. Generators propose further spans of
 the same kinds in looser forms ("ann at host dot com", a phone number without its plus). Boosted trees score
-a proposal by its format and its surroundings. They are trained on a bounded sample of different texts: base spans and
+a proposal by its format and its surroundings. They are trained on every different text: base spans and
 looser spellings of them are the positives, other proposals and spoilt spellings the negatives. Equal examples
 are one, weighted by the number of texts that have it. Texts are split before examples are made of them: a third is
 held out, and on its examples a logistic curve per kind turns scores into probabilities, from which the
@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crewledger.llm.frames import add_columns, free_name, map_slices
+from crewledger.llm.frames import add_columns, free_name, map_slices, reach_package, tidy
 
 KINDS = ("email", "ip", "card", "phone")
-# Training sees about this many different texts, drawn by a hash, and at most this many different examples of them.
-SAMPLE_TEXTS, MOST_EXAMPLES = 20_000, 100_000
+# Training sees every different text and all its examples; this number only seeds the hash that holds texts out.
+SAMPLE_TEXTS = 20_000
 TREES, DEPTH, RATE, LEAST_LEAF = 80, 3, 0.3, 8
 # A span is added if it is personal with at least this probability, by a curve on which spans above the threshold keep this precision on
 # the examples held out. A kind needs as many of both classes there.
@@ -324,14 +324,11 @@ def train(rows: np.ndarray, weight: np.ndarray, held: np.ndarray) -> Model:
 
 
 def sampled_examples(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(example, held, n): the different examples in a sample of about SAMPLE_TEXTS different texts, and how many texts have each."""
+    """(example, held, n): the different examples of every different text, and how many texts have each."""
     key = F.xxhash64(F.lit(SAMPLE_TEXTS), "text")
     texts = docs.select(F.col(text).alias("text")).filter("text is not null")
-    different = texts.agg(F.approx_count_distinct(key, 0.02)).first()[0] or 1
-    parts = 1 << 30
-    sample = texts.withColumn("key", key).filter(F.pmod("key", F.lit(parts)) < int(parts * min(1.0, SAMPLE_TEXTS / different)))
     # Copies meet as one text per task, whatever their number.
-    sample = sample.groupBy("key").agg(F.first("text").alias("text"))
+    every = texts.withColumn("key", key).groupBy("key").agg(F.first("text").alias("text"))
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         rows = [(k, e) for k, t in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True)
@@ -339,16 +336,110 @@ def sampled_examples(docs: DataFrame, text: str = "text") -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([e for _, e in rows], pa.binary())],
                                           names=["key", "example"]) if rows else None
 
-    found = map_slices(sample, "text", "key long, example binary", make)
+    found = map_slices(every, "text", "key long, example binary", make)
     held = F.pmod(F.xxhash64(F.lit("held"), "key"), F.lit(HELD)) == 0
     return found.groupBy("example", held.alias("held")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def decoded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and weights of a batch of (example, n)."""
+    rows = np.frombuffer(b"".join(batch.column("example").to_pylist()), np.uint8).reshape(-1, FEATURES + 1).astype(np.int64)
+    return rows[:, :-1], rows[:, -1].astype(float), batch.column("n").to_numpy().astype(float)
+
+
+def spread_tree(fit: DataFrame, trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The next tree of grow() over the examples of `fit`: each level's sums by node, feature and value are added up in tasks."""
+    size = 2 ** (DEPTH + 1) - 1
+    feature, limit, value = np.full(size, -1), np.zeros(size, np.int64), np.zeros(size)
+    known: dict[int, tuple[float, float, float]] = {}  # node: sums of gradient, curvature and weight
+    for level in range(DEPTH):
+        first = 2**level - 1
+        if level and not any(first <= n < 2 * first + 1 for n in known):
+            break
+        partial = (feature.copy(), limit.copy())
+
+        def sums(batches, level=level, first=first, partial=partial):
+            total = np.zeros((first + 1, FEATURES, 3, 64))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, y, w = decoded(batch)
+                p = 1 / (1 + np.exp(-Model(trees).score(x)))
+                g, h = w * (p - y), w * p * (1 - p)
+                node, live = np.zeros(len(x), np.int64), np.ones(len(x), bool)
+                for _ in range(level):
+                    f = partial[0][node]
+                    live &= f >= 0
+                    node = np.where(live, 2 * node + 1 + (x[np.arange(len(x)), np.maximum(f, 0)] > partial[1][node]), node)
+                place = node[live] - first
+                for f in range(FEATURES):
+                    at = place * 64 + x[live, f]
+                    for k, v in enumerate((g, h, w)):
+                        total[:, f, k] += np.bincount(at, v[live], minlength=(first + 1) * 64).reshape(first + 1, 64)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+        found = fit.mapInArrow(tidy(sums), "sums binary").collect()
+        hist = sum((np.frombuffer(r["sums"], np.float64).reshape(first + 1, FEATURES, 3, 64) for r in found), np.zeros((first + 1, FEATURES, 3, 64)))
+        for node in range(first, 2 * first + 1):
+            if level and node not in known:
+                continue
+            gs, hs, ns = (hist[node - first, :, k].cumsum(axis=1) for k in range(3))
+            if not level:
+                if not ns[0, -1]:
+                    return feature, limit, value
+                known[0] = (gs[0, -1], hs[0, -1], ns[0, -1])
+            g, h, n = known[node]
+            value[node] = -RATE * g / (h + 1.0)
+            if n < 2 * LEAST_LEAF:
+                continue
+            best = (1e-6, -1, 0)
+            whole = g**2 / (h + 1.0)
+            for f in range(FEATURES):
+                gain = gs[f] ** 2 / (hs[f] + 1) + (gs[f, -1] - gs[f]) ** 2 / (hs[f, -1] - hs[f] + 1) - whole
+                gain[(ns[f] < LEAST_LEAF) | (ns[f, -1] - ns[f] < LEAST_LEAF)] = 0
+                at = int(gain.argmax())
+                if gain[at] > best[0]:
+                    best = (float(gain[at]), f, at)
+            if best[1] >= 0:
+                f, at = best[1], best[2]
+                feature[node], limit[node] = f, at
+                known[2 * node + 1] = (gs[f, at], hs[f, at], ns[f, at])
+                known[2 * node + 2] = (g - gs[f, at], h - hs[f, at], n - ns[f, at])
+    for node in range(2**DEPTH - 1, size):
+        if node in known:
+            value[node] = -RATE * known[node][0] / (known[node][1] + 1.0)
+    return feature, limit, value
+
+
 def learn(docs: DataFrame, text: str = "text") -> Model:
-    """A model from the examples of a sample of texts; the driver gets at most MOST_EXAMPLES, drawn by a hash if there are more."""
-    found = sampled_examples(docs, text).orderBy(F.xxhash64("example", "held"), "example", "held").limit(MOST_EXAMPLES).toArrow()
-    rows = np.frombuffer(b"".join(found.column("example").to_pylist()), np.uint8).reshape(-1, FEATURES + 1).astype(np.int64)
-    return train(rows, found.column("n").to_numpy(), found.column("held").to_numpy())
+    """A model from the examples of every text: trees grown level by level from sums made in tasks, thresholds from the
+    held-out examples summed by kind, score and label. The driver gets sums, never the examples."""
+    reach_package(docs.sparkSession)
+    found = sampled_examples(docs, text).persist()
+    try:
+        model = Model()
+        weights = {r["held"]: r["n"] for r in found.groupBy("held").agg(F.sum("n").alias("n")).collect()}
+        if weights.get(False, 0) < 2 * LEAST_EXAMPLES:
+            return model
+        fit, held = found.filter(~F.col("held")), found.filter(F.col("held"))
+        for _ in range(TREES):
+            model.trees.append(spread_tree(fit, model.trees))
+        trees = model.trees
+
+        def scored(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    x, y, w = decoded(batch)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(Model(trees).score(x)), pa.array(y), pa.array(w)],
+                                                     names=["kind", "score", "truth", "n"])
+
+        sums = (held.mapInArrow(tidy(scored), "kind long, score double, truth double, n double")
+                .groupBy("kind", "score", "truth").agg(F.sum("n").alias("n")).orderBy("kind", "score", "truth").toArrow())
+        kind, score, truth, n = (sums.column(c).to_numpy() for c in ("kind", "score", "truth", "n"))
+        model.thresholds = tuple(threshold(score[kind == k], truth[kind == k], n[kind == k]) for k in range(len(KINDS)))
+        return model
+    finally:
+        found.unpersist()
 
 
 def spans_of(text: str, model: Model) -> tuple[list[Span], list[Span]]:

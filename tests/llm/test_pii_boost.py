@@ -142,3 +142,20 @@ def test_spoken_and_international_forms_are_found(spark):
     assert added("server 10[.]20[.]30[.]40 is down") == [("ip", "10[.]20[.]30[.]40")]
     for clean in ("pages 120-130 of 1914 1918", "version 1-2-3-4 of the form", "in 2020 2021 and 2022", "it was at home. Then"):
         assert added(clean) == [], clean
+
+
+def test_every_text_is_learnt_from_and_trees_match_the_plain_ones(spark, monkeypatch):
+    some = texts()[:120]
+    monkeypatch.setattr(pii_boost, "SAMPLE_TEXTS", 10)  # once a bound on the texts drawn; now only a seed
+    frame = spark.createDataFrame([(t,) for t in some], "text string")
+    found = pii_boost.sampled_examples(frame).collect()
+    got = collections.Counter()
+    for r in found:
+        got[bytes(r["example"])] += r["n"]
+    assert got == collections.Counter(e for t in set(some) for e in {bytes(e) for e in pii_boost.examples(t)})
+    monkeypatch.setattr(pii_boost, "TREES", 3)
+    model = pii_boost.learn(frame)
+    rows = np.array([list(r["example"]) for r in found], np.int64)
+    plain = pii_boost.train(rows, np.array([r["n"] for r in found]), np.array([r["held"] for r in found]))
+    assert len(model.trees) == len(plain.trees) == 3
+    assert np.allclose(model.score(rows[:, :-1]), plain.score(rows[:, :-1]))
