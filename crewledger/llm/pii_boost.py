@@ -35,6 +35,8 @@ TREES, DEPTH, RATE, LEAST_LEAF = 80, 3, 0.3, 8
 PROBABILITY, PRECISION, LEAST_EXAMPLES = 0.9, 0.995, 10
 # One text in this many is held out.
 HELD = 3
+# Examples a task of a training pass reads at most, if there are more than cores to spread them over.
+EXAMPLES_PER_TASK = 2_000_000
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -418,10 +420,14 @@ def learn(docs: DataFrame, text: str = "text") -> Model:
     found = sampled_examples(docs, text).persist()
     try:
         model = Model()
-        weights = {r["held"]: r["n"] for r in found.groupBy("held").agg(F.sum("n").alias("n")).collect()}
+        counts = found.groupBy("held").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+        weights = {r["held"]: r["n"] for r in counts}
         if weights.get(False, 0) < 2 * LEAST_EXAMPLES:
             return model
-        fit, held = found.filter(~F.col("held")), found.filter(F.col("held"))
+        # Each of the TREES * DEPTH passes reads every example, in as many tasks as cores or bounded slices of examples need, not
+        # one per shuffle partition: the driver keeps an account of every task of every pass.
+        tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-sum(r["rows"] for r in counts) // EXAMPLES_PER_TASK))
+        fit, held = found.filter(~F.col("held")).coalesce(tasks), found.filter(F.col("held")).coalesce(tasks)
         for _ in range(TREES):
             model.trees.append(spread_tree(fit, model.trees))
         trees = model.trees

@@ -159,3 +159,21 @@ def test_every_text_is_learnt_from_and_trees_match_the_plain_ones(spark, monkeyp
     plain = pii_boost.train(rows, np.array([r["n"] for r in found]), np.array([r["held"] for r in found]))
     assert len(model.trees) == len(plain.trees) == 3
     assert np.allclose(model.score(rows[:, :-1]), plain.score(rows[:, :-1]))
+
+
+def test_training_passes_take_tasks_by_cores_not_by_shuffle_partitions(spark, monkeypatch):
+    monkeypatch.setattr(pii_boost, "TREES", 4)
+    frame = spark.createDataFrame([(t,) for t in texts()[:200]], "text string")
+    sc, before = spark.sparkContext, {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    sc.setJobGroup("pii-passes", "training passes")
+    try:
+        pii_boost.learn(frame)
+    finally:
+        sc.setJobGroup("", "")
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    stages = [s for j in sc.statusTracker().getJobIdsForGroup("pii-passes") for s in sc.statusTracker().getJobInfo(j).stageIds]
+    wide = [s for s in set(stages) if (info := sc.statusTracker().getStageInfo(s)) and info.numCompletedTasks > sc.defaultParallelism]
+    assert len(wide) < pii_boost.TREES * pii_boost.DEPTH, len(wide)  # the passes are not among them
