@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crewledger.llm import minhash_bbit
-from crewledger.llm.frames import map_slices, reach_package, segment_starts, settled, shuffles_dropped, tidy
+from crewledger.llm.frames import map_slices, reach_package, segment_starts, settled, tidy
 from crewledger.llm.words import encoded, mix, seeds, window_hashes
+from crewledger.session import shuffles_dropped
 
 # Blocks end where a hash of CONTEXT characters has its low bits clear, or at LONGEST characters.
 CONTEXT, ENDS, LONGEST = 8, 32, 96

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from functools import lru_cache
 from pathlib import Path
 
@@ -119,18 +118,6 @@ def settled(rows: DataFrame) -> DataFrame:
     return rows.checkpoint(eager=True)
 
 
-@contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Inside, the shuffle files of an action go when it has ended, as its rows are in a table or checkpoint by then."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def free_name(rows: DataFrame, wanted: str) -> str:
     """`wanted`, with underscores in front until no column has that name."""
     taken = {c.lower() for c in rows.columns}

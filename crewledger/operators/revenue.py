@@ -120,14 +120,23 @@ def vw_revenue_by_location(
 def vw_monthly_revenue_report(
     tables: Tables, dedupe_invoices: bool = False, ignore_case: bool = False
 ) -> DataFrame:
-    """Revenue by month of service, service type, client name and location."""
+    """Revenue by month of service, service type, client name and location.
+
+    Few services of a contract share all of these, so they meet the contract's sums one by one; only with
+    `dedupe_invoices` are they reduced per contract before.
+    """
     keys = ["Revenue_Year", "Revenue_Month", "Service_Type", "Client_Name", "Property_Location"]
-    named = tables["Service"].join(tables["Client"].select("Client_ID", "Client_Name"), "Client_ID")
-    services = named.withColumns({
+    services = tables["Service"].withColumns({
         "Revenue_Year": F.year("Service_Date"), "Revenue_Month": F.month("Service_Date")})
+    clients = tables["Client"].select("Client_ID", "Client_Name")
     if ignore_case:
-        services = without_case(services, keys[2:])
-    rows = _billed_groups(tables, services, keys, dedupe_invoices)
+        services, clients = without_case(services, [keys[2], keys[4]]), without_case(clients, [keys[3]])
+    if dedupe_invoices:
+        rows = _billed_groups(tables, services.join(clients, "Client_ID"), keys, True)
+    else:
+        one = F.lit(1).cast("bigint")
+        rows = (services.filter(F.col("Contract_ID").isNotNull()).join(_billed_contracts(tables), "Contract_ID")
+                .join(clients, "Client_ID").withColumns({"services": one, "weight": one}))
     return rows.groupBy(keys).agg(
         _weighted_sum("billed").alias("Total_Revenue"),
         _weighted_sum("received").alias("Total_Received"),

@@ -113,16 +113,17 @@ def _from_cents(cents: str) -> Column:
 
 
 def services(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders meet their customers before their lines, so that lines move once for both and end up beside those of their order."""
     visits = read(spark, folder, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
         F.min("l_partkey").alias("partkey"), F.min("l_shipdate").alias("shipdate"))
-    orders = read(spark, folder, "orders").select("o_orderkey", "o_custkey")
     homes = read(spark, folder, "customer").join(
         read(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"),
     ).select("c_custkey", "n_name")
+    orders = read(spark, folder, "orders").select("o_orderkey", "o_custkey").join(
+        homes, F.col("o_custkey") == F.col("c_custkey"))
     parts = read(spark, folder, "part").select("p_partkey", "p_type", "p_name")
     joined = (visits.join(parts, F.col("partkey") == F.col("p_partkey"))
-              .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-              .join(homes, F.col("o_custkey") == F.col("c_custkey")))
+              .join(orders, F.col("l_orderkey") == F.col("o_orderkey")))
     return _as(
         "Service", joined,
         Service_ID=_service_id(), Client_ID=F.col("o_custkey"), Contract_ID=F.col("l_orderkey"),

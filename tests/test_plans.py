@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from crewledger.operators import clients, costing, crew, estimates, invoices, payments, quality, revenue
 from crewledger.plans import catalogue, views
 from crewledger.schemas import SCHEMAS
+from crewledger.sources import bindings
 from crewledger.sources.tables import append, load_tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -255,3 +257,77 @@ def test_history_entries_are_linear(spark, tables):
     few = tables | {"Service": one.select(tables["Service"].columns), "Invoice": bill.select(tables["Invoice"].columns), "Payment": tables["Payment"].limit(0)}
     assert clients.client_service_history(few).count() == 1200
     assert clients.client_history_entries(few).count() == 70
+
+
+# ── disk ─────────────────────────────────────────────────────────────────────────────────────
+
+
+def shuffle_files(spark) -> set[str]:
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {f for f in files.splitlines() if f.endswith(".data") and "shuffle_" in f}
+
+
+@pytest.fixture(scope="module")
+def star(spark, tmp_path_factory):
+    """Tables of the driver's schema with unknown, repeated and null keys."""
+    path = str(tmp_path_factory.mktemp("star"))
+    day = "timestamp_ntz'1997-03-04 00:00:00'"
+    rows = {
+        "region": "SELECT id, 'R' || id FROM range(2)",
+        "nation": "SELECT id, 'N' || id, id % 2 FROM range(3)",
+        "customer": "SELECT nullif(id, 9), 'C' || id % 7, id % 4, 10.5, 'MACHINERY' FROM range(12) UNION ALL SELECT 3, 'again', 1, 1.0, 'X'",
+        "supplier": "SELECT id, 'S' || id, id % 3, id * 1000.0 FROM range(8)",
+        "part": "SELECT nullif(id, 5), 'P' || id, 'B', 'T' || id % 3, 1, 1.0 FROM range(20) UNION ALL SELECT 4, 'again', 'B', 'T9', 1, 1.0",
+        "orders": f"""SELECT nullif(id, 8), id % 14, element_at(array('F', 'P', 'O'), int(id % 3 + 1)), id * 10.0, {day} + make_interval(0, id % 5),
+            if(id % 4 = 0, '1-URGENT', '4-NOT SPECIFIED') FROM range(60) UNION ALL SELECT 6, 2, 'O', 5.0, {day}, '1-URGENT'""",
+        "lineitem": f"""SELECT nullif(id % 70, 33), nullif(id % 23, 11), id % 9, int(id % 3), 1.0, id * 1.5, 0.1, 0.1, 'N', 'O',
+            nullif({day} + make_interval(0, 0, 0, int(id % 90)), {day} + make_interval(0, 0, 0, 7)) FROM range(400)""",
+        "events": "SELECT id, timestamp_ntz'2024-01-10 00:00:00' + make_interval(0, id % 2), id, if(id % 3 = 0, 'purchase', 'view'), id * 1.0, '{}' FROM range(90)",
+        "documents": "SELECT id, 'text', if(id % 3 = 0, 'de', 'en'), 's', id FROM range(40)",
+    }
+    for table, sql in rows.items():
+        wanted = spark.createDataFrame([], bindings.STAR[table]).schema
+        made = spark.sql(sql).toDF(*wanted.names)
+        made.select([F.col(f.name).cast(f.dataType) for f in wanted]).write.parquet(f"{path}/{table}.parquet")
+    return path
+
+
+def test_views_are_counted_one_after_another_and_leave_no_shuffle_files(spark, star):
+    """The disk holds the shuffles of one view at a time, not those of all thirteen until the query has ended."""
+    plain = views.views(bindings.bound_tables(spark, star), catalogue.VIEW_DAY)
+    expected = {name: plain[name]().count() for name in views.NAMES}
+    assert min(expected.values()) > 0
+    before, setting = shuffle_files(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting, None)
+    got = {r["View_Name"]: r["Row_Count"] for r in QUERIES["views_by_name"](spark, star).collect()}
+    assert got == expected
+    for _ in range(100):  # files go in the background
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert spark.conf.get(setting, "false") == (was or "false")
+
+
+@pytest.fixture
+def no_broadcasts(spark):
+    before = {key: spark.conf.get(key, None) for key in SMALL if "Broadcast" in key}
+    for key in before:
+        spark.conf.set(key, "-1")
+    yield
+    for key, value in before.items():
+        spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+
+
+def test_lines_move_once_for_their_order_and_its_customer(spark, star, no_broadcasts):
+    joins = [line for line in plan_of(bindings.services(spark, star)).splitlines() if "SortMergeJoin" in line]
+    assert "[l_orderkey" in joins[0] and "[partkey" in joins[1] and "[o_custkey" in joins[2]
+
+
+def test_months_move_once_by_all_their_keys(tables, no_broadcasts):
+    """Services meet the sums of their contract unreduced, unless an invoice is to count once per group."""
+    def moves(**options) -> int:
+        return len(re.findall(r"Exchange hashpartitioning\([^)]*Service_Type", plan_of(
+            revenue.vw_monthly_revenue_report(tables, ordered=False, **options))))
+
+    assert (moves(), moves(dedupe_invoices=True)) == (1, 2)
