@@ -4,7 +4,8 @@ Services and invoices both hang off a contract, and the reports add up an invoic
 service of its contract. That sum is computed without forming the service-invoice pairs: invoices
 are reduced to one row per contract, services to one row per contract and report group, and a
 group's sum is its number of services times the contract's sum. Both reductions combine on the map
-side, so a contract with a third of all invoices and services reaches the join as a few rows.
+side, so a contract with a third of all invoices and services reaches the join as a few rows. The
+report by month, whose keys few services share, reduces the invoices only.
 """
 
 from __future__ import annotations
